@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import simhash
+from folio.llm import mixing, simhash, sketch
 
 QUERIES = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
+    "op2_scaled_sketch": sketch.op2_scaled_sketch,
+    "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_sainte_lague_mix": mixing.SQL}
