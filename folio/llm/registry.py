@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio.llm import mixing, simhash, sketch
+from folio.llm import mixing, pii, simhash, sketch
 
 QUERIES = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
     "op2_scaled_sketch": sketch.op2_scaled_sketch,
     "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
+    "op9_weak_supervision_pii": pii.op9_weak_supervision_pii,
 }
 ORACLES: dict[str, str] = {"op8_sainte_lague_mix": mixing.SQL}
