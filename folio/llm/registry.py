@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from folio.llm import mixing, pii, simhash, sketch
+from folio.llm import mixing, packing, pii, simhash, sketch, token_files, wordpiece
 
 QUERIES = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
     "op2_scaled_sketch": sketch.op2_scaled_sketch,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_nnls_packing": packing.op4_nnls_packing,
+    "op5_longest_match_counts": wordpiece.op5_longest_match_counts,
     "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
     "op9_weak_supervision_pii": pii.op9_weak_supervision_pii,
 }
