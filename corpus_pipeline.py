@@ -1,4 +1,61 @@
-STAGES = []
+"""From raw documents to packed sequences: quality, near-duplicates, personal data, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
+columns of documents; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folio.llm import mixing, packing, pii, quality, simhash
+from folio.llm.common import table, written
+from folio.llm.tokens import load, vocabulary
+
+VOCABULARY = "byte_bpe_50k.json"
+END_ID = 0
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from labels, doesn't reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "__score").where(f"__score >= {quality.LEAST}").drop("__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: close fingerprints and a likeness of 0.8 on five-word shingles."""
+    return simhash.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked."""
+    return pii.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, repeated or cut as it takes them."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, load(vocabulary(VOCABULARY)), END_ID)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources", source_mix),
+    ("packing", packing_stage),
+]
+
+#: The classifier, the fingerprints and the library's token ids have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -111,7 +111,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     keep = keep or []
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("__source"), word_count(F.col("text").cast("string")).alias("size"), *keep)
-    own = own if keep else written(own)
+    own = written(own)
     by_source = {r["__source"]: r["n"] for r in own.groupBy("__source").agg(F.sum("size").alias("n")).collect()}
     names = sorted((s for s in by_source if s is not None)) + [None] * (None in by_source)
     sizes = [by_source[s] for s in names]
@@ -138,6 +138,26 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("first")).select("doc_id", "size", "source_size", "target", "whole", "first", "taken", *keep)
 
 
+def first_words(text: Column, count: Column) -> Column:
+    """text up to the end of its count-th word, white space before it as it is."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    return F.rtrim(F.array_join(F.slice(parts, F.lit(1), (count + blank).cast("int")), ""), F.lit(BLANK))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of docs, whole as often as they are taken, and cut to the first words where blocks end.
+
+    Documents of which no word is taken go; n_chars, if there, follows the text.
+    """
+    rows = mix(docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), keep=["__row"], **options).where("taken > 0")
+    text = F.col("__row.text")
+    copies = F.concat(F.array_repeat(text, F.col("whole").cast("int")), F.when(F.col("first") > 0, F.array(first_words(text, F.col("first")))).otherwise(F.array().cast("array<string>")))
+    out = rows.select("__row", F.explode(copies).alias("__text"))
+    changed = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
+    return out.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

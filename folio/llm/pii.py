@@ -292,6 +292,13 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with personal data masked in their texts; n_chars, if there, follows the text."""
+    rows = personal_data(docs, fit(docs), column="__spans")
+    out = rows.withColumn("text", masked(F.col("text").cast("string"), F.col("__spans"))).drop("__spans")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = personal_data(docs, fit(docs)).select("doc_id", "spans")

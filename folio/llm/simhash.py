@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import components, table, written
@@ -256,6 +256,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: f
     return joined.select("doc_id", "print", "component_id")
 
 
+def deduplicated(docs: DataFrame, size: int = 3, radius: int = 6, likeness: float | None = 0.8, likeness_words: int = 5) -> DataFrame:
+    """docs with one document of each near-duplicate group: that with the smallest doc_id.
+
+    Of rows with one doc_id, the one with the least text stays. Rows without doc_id are held
+    against each other only: one of each text stays.
+    """
+    groups = near_duplicates(docs.where("doc_id is not null"), size, radius, likeness, likeness_words)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    order = Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text")
+    rows = rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
