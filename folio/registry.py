@@ -1,14 +1,585 @@
-"""Registry of the library's queries over the driver's tables, with their SQL oracles."""
+"""The library's queries over the driver's tables, each with the SQL that gives the same rows where SQL can.
+
+The tables stand in for a library's: orders are references, parts documents and line items the
+links between them; documents, pages, customers and events give texts, names and times.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import text as X
+from folio.functions import udf
+from folio.operators import ingest, library, linkage, search, stats
+from folio.plans.planner import matches, query
+from folio.sources import bibtex, files, records
+from folio.types import QueryTable
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _add(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The query language
+
+_TABLES = {
+    "documents": (("doc_id", "lang", "source"), "text", "n_chars", ("doc_id",)),
+    "orders": (("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderpriority", "o_orderdate", ("o_orderkey",)),
+    "events": (("event_id", "event_type", "value"), "event_type", "ts", ("event_id",)),
+    "part": (("p_partkey", "p_name", "p_brand"), "p_name", "p_retailprice", ("p_partkey",)),
+    "customer": (("c_custkey", "c_name"), "c_name", "c_acctbal", ("c_custkey",)),
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, df: DataFrame | None = None) -> QueryTable:
+    base, bang, recent, keys = _TABLES[name]
+    return QueryTable(df if df is not None else read(spark, sf_dir, name), base, bang, recent, keys)
+
+
+FLAGSHIP = 'top 10 select n_chars ! /the/ where lang == "en" order -n_chars'
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return query(_table(spark, sf_dir, "documents"), FLAGSHIP).df
+
+
+def _asked(name: str, table: str, text: str, sql: str) -> None:
+    _add(name, sql)(lambda spark, sf_dir: query(_table(spark, sf_dir, table), text).df)
+
+
+_asked("qx_flagship", "documents", FLAGSHIP, "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND regexp_matches(text, 'the', 'i') ORDER BY n_chars DESC, doc_id LIMIT 10")
+_asked("qx_empty", "documents", "", "SELECT doc_id, lang, source FROM documents")
+_asked("qx_top", "documents", "top 7", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 7")
+_asked("qx_top_all", "orders", "top 0", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+_asked("qx_recent", "events", "recent top 25", "SELECT ts, event_id, event_type, value FROM events ORDER BY ts DESC, event_id LIMIT 25")
+_asked("qx_recent_overrides_order", "orders", "order o_totalprice recent top 10", "SELECT o_orderdate, o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+_asked("qx_select_star", "part", "select *", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+_asked("qx_select_drop", "documents", "select n_chars, missing_column, -source", "SELECT doc_id, lang, n_chars FROM documents")
+_asked("qx_order_multi", "orders", "top 50 order o_orderstatus, -o_totalprice", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 50")
+_asked("qx_where_str", "orders", 'where o_orderstatus == "F" and o_orderpriority >= 3', "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority >= '3'")
+_asked("qx_where_num", "documents", "where n_chars > 2000 and n_chars <= 9000.5", "SELECT doc_id, lang, source FROM documents WHERE n_chars > 2000 AND n_chars <= 9000.5")
+_asked("qx_where_date", "orders", "select o_orderdate where o_orderdate >= 1995-03 and o_orderdate < 1996-07-15", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-07-15'")
+_asked("qx_where_moment", "events", 'where ts > "2024-01-02 10:30"', "SELECT event_id, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-02 10:30:00'")
+_asked("qx_where_dt_part", "events", "where ts.dt.day == 13 and ts.dt.hour < 12", "SELECT event_id, event_type, value FROM events WHERE extract(day FROM ts) = 13 AND extract(hour FROM ts) < 12")
+_asked("qx_where_weekday", "orders", "where o_orderdate.dt.weekday == 0", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE extract(isodow FROM o_orderdate) = 1")
+_asked("qx_regex", "documents", r"text ~ /\b[tw]h(e|as)\b/", r"SELECT doc_id, lang, source FROM documents WHERE regexp_matches(text, '\b[tw]h(e|as)\b', 'i')")
+_asked("qx_regex_unicode", "documents", "text ~ ÉÄ|ÑE|ÜB", "SELECT doc_id, lang, source FROM documents WHERE regexp_matches(text, 'ÉÄ|ÑE|ÜB', 'i')")
+_asked("qx_bang", "part", "! /^[A-M].*(ng|ut|g.r)$/", "SELECT p_partkey, p_name, p_brand FROM part WHERE regexp_matches(p_name, '^[A-M].*(ng|ut|g.r)$', 'i')")
+_asked("qx_regex_and", "documents", "! and and lang ~ ^(en|de)$ source ~ 1", "SELECT doc_id, lang, source FROM documents WHERE regexp_matches(text, 'and', 'i') AND regexp_matches(lang, '^(en|de)$', 'i') AND regexp_matches(source, '1', 'i')")
+_asked("qx_combo", "documents", 'verbose top 20 select n_chars, -lang ! /on/ and source ~ src1 where n_chars >= 500 order -n_chars, doc_id', "SELECT doc_id, source, n_chars FROM documents WHERE n_chars >= 500 AND regexp_matches(text, 'on', 'i') AND regexp_matches(source, 'src1', 'i') ORDER BY n_chars DESC, doc_id LIMIT 20")
+
+
+@_add("qx_total", "SELECT count(*) AS total FROM documents WHERE lang = 'de'")
+def qx_total(spark, sf_dir):
+    return query(_table(spark, sf_dir, "documents"), "top 3 where lang == de").unrestricted.agg(F.count("*").alias("total"))
+
+
+@_add("qx_title_braces", "SELECT p_partkey, p_name AS title FROM part WHERE p_partkey % 2 = 0")
+def qx_title_braces(spark, sf_dir):
+    named = F.concat(F.lit("{"), F.left("p_name", F.lit(3)), F.lit("}{{"), F.substring("p_name", 4, 999), F.lit("}}"))
+    df = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").withColumn("title", named)
+    return query(QueryTable(df, ("p_partkey", "title"), "title", "p_size", ("p_partkey",)), "").df
+
+
+@_add("qx_drop_empty", "SELECT doc_id, lang FROM documents")
+def qx_drop_empty(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").withColumns({"empty": F.lit(""), "lang": F.col("lang")})
+    return query(QueryTable(df, ("doc_id", "lang", "empty"), "text", "n_chars", ("doc_id",)), "", drop_empty=True).df
+
+
+@_add("qx_single_field", "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_mktsegment, 'build', 'i')")
+def qx_single_field(spark, sf_dir):
+    return read(spark, sf_dir, "customer").where(matches(F.col("c_mktsegment"), "build")).select("c_custkey", "c_name")
+
+
+@_add("qx_no_file", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0")
+def qx_no_file(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").withColumn("file", F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderstatus")))
+    return library.without_file(df, ["o_orderkey", "o_orderstatus"])
+
+
+# The three tables
+
+
+def _library(spark: SparkSession, sf_dir: str) -> library.Library:
+    o, p, b = (read(spark, sf_dir, n) for n in ("orders", "part", "lineitem"))
+    ref = o.select(F.col("o_orderkey").alias("tag"), F.concat_ws(" and ", "o_orderpriority", "o_orderstatus").alias("author"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("journal"), F.year("o_orderdate").cast("string").alias("year"))
+    doc = p.select(F.col("p_partkey").alias("path"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("mod"), F.col("p_brand").alias("create"), F.col("p_type").alias("tpath"))
+    # every fifth order has no link, and a few links go to parts that aren't there
+    bridge = b.where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("tag"), F.when(F.col("l_partkey") % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("path"))
+    return library.Library(ref, doc, bridge)
+
+
+_LIBRARY_SQL = """
+WITH ref AS (SELECT o_orderkey AS tag, concat_ws(' and ', o_orderpriority, o_orderstatus) AS author, o_orderpriority AS title, o_orderstatus AS journal, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders),
+doc AS (SELECT p_partkey AS path, p_name AS name, CAST(p_size AS BIGINT) AS size, p_retailprice AS mod, p_brand AS "create", p_type AS tpath FROM part),
+bridge AS (SELECT l_orderkey AS tag, CASE WHEN l_partkey % 40 = 0 THEN -l_partkey ELSE l_partkey END AS path FROM lineitem WHERE l_orderkey % 5 <> 0),
+one AS (SELECT tag, unnest(string_split(author, ' and ')) AS author, title, journal, year FROM ref),
+db AS (SELECT o.tag, b.path, o.author, o.title, o.journal, o.year, d.name, coalesce(d.size, 0) AS size, d.mod, d."create", d.tpath FROM one o LEFT JOIN bridge b ON o.tag = b.tag LEFT JOIN doc d ON b.path = d.path)
+"""
+
+
+@_add("db_join", _LIBRARY_SQL + 'SELECT tag, path, author, title, journal, year, name, size, mod, "create", tpath FROM db')
+def db_join(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return library.database(lib.ref, lib.doc, lib.bridge)
+
+
+@_add("db_query", _LIBRARY_SQL + "SELECT mod, tag, author, title, journal, \"create\", name FROM db WHERE size > 10 AND regexp_matches(author, '[12]-', 'i') ORDER BY mod DESC NULLS LAST, tag, author, path LIMIT 40")
+def db_query(spark, sf_dir):
+    return _library(spark, sf_dir).query("recent top 40 select name ! /[12]-/ where size > 10").df
+
+
+@_add("db_join_pruned", _LIBRARY_SQL + "SELECT tag, author, title, journal, year FROM db WHERE year >= '1995' AND author = 'F'")
+def db_join_pruned(spark, sf_dir):
+    return _library(spark, sf_dir).query('select year, -create where year >= 1995 and author == "F"').df
+
+
+@_add("explode_authors", "SELECT item_id, unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' the ')) AS author FROM benchmark")
+def explode_authors(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(library.split_authors(F.col("text"), " the ")).alias("author"))
+
+
+@_add("refs_no_docs", _LIBRARY_SQL + "SELECT * FROM ref WHERE NOT EXISTS (SELECT 1 FROM bridge b WHERE b.tag = ref.tag)")
+def refs_no_docs(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return library.refs_without_docs(lib.ref, lib.bridge)
+
+
+@_add("docs_no_refs", _LIBRARY_SQL + "SELECT * FROM doc WHERE NOT EXISTS (SELECT 1 FROM bridge b WHERE b.path = doc.path)")
+def docs_no_refs(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return library.docs_without_refs(lib.doc, lib.bridge)
+
+
+@_add("open_semi", _LIBRARY_SQL + "SELECT DISTINCT path FROM bridge WHERE tag IN (SELECT tag FROM ref WHERE regexp_matches(CAST(tag AS VARCHAR), '^1.*7$', 'i'))")
+def open_semi(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return library.paths_to_open(lib.ref.withColumn("tag", F.col("tag")), lib.bridge, "^1.*7$")
+
+
+@_add("merged_libraries", "SELECT n_nationkey AS tag, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT CAST(s_suppkey AS INTEGER), s_name, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
+def merged_libraries(spark, sf_dir):
+    a = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tag"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("tag"), F.col("s_name").alias("name"))
+    return library.merged_libraries(a, b)
+
+
+@_add("union_by_name", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, '' AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, '', CAST(s_nationkey AS VARCHAR) FROM supplier")
+def union_by_name(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
+    return a.unionByName(b, allowMissingColumns=True).na.fill("")
+
+
+@_add("membership", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def membership(spark, sf_dir):
+    wanted = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return library.with_match(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), wanted, "c_custkey")
+
+
+# Statistics
+
+
+@_add("distinct_field", "SELECT DISTINCT p_type FROM part WHERE p_type <> ''")
+def distinct_field(spark, sf_dir):
+    return stats.distinct_values(read(spark, sf_dir, "part"), "p_type")
+
+
+@_add("distinct_authors", "SELECT DISTINCT trim(unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' and '))) AS author FROM benchmark")
+def distinct_authors(spark, sf_dir):
+    return stats.distinct_authors(read(spark, sf_dir, "benchmark").select(F.col("text").alias("author")))
+
+
+def _profiled(table: str, columns: list[str], template: str) -> str:
+    return " UNION ALL ".join(template.format(c=c, t=table) for c in columns)
+
+
+_PROFILE = ["c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]
+
+
+@_add("field_profile", _profiled("customer", _PROFILE, "SELECT '{c}' AS field, count(DISTINCT {c}) AS distinct, count(*) FILTER (CAST({c} AS VARCHAR) = '') AS missing FROM {t}"))
+def field_profile(spark, sf_dir):
+    return stats.field_profile(read(spark, sf_dir, "customer"), _PROFILE)
+
+
+@_add("field_profile_zero", "SELECT 'o_shippriority' AS field, count(DISTINCT o_custkey % 7) AS distinct, count(*) FILTER (o_custkey % 7 = 0) AS missing FROM orders")
+def field_profile_zero(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("o_shippriority"))
+    return stats.field_profile(df, zero_is_missing=("o_shippriority",))
+
+
+@_add("contents", _profiled("part", ["p_name", "p_brand", "p_type", "p_size"], "SELECT '{c}' AS column, count({c}) AS nonna, count(DISTINCT {c}) AS distinct FROM {t}"))
+def contents(spark, sf_dir):
+    return stats.contents(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type", "p_size"]).withColumn("nonna", F.col("nonna").cast("long"))
+
+
+@_add("value_counts_top20", _LIBRARY_SQL + "SELECT tpath, count(*) AS n FROM db WHERE tpath IS NOT NULL GROUP BY tpath ORDER BY n DESC, tpath LIMIT 20")
+def value_counts_top20(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return stats.value_counts(library.database(lib.ref, lib.doc, lib.bridge), "tpath")
+
+
+@_add("value_frequencies", "SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY l_shipdate")
+def value_frequencies(spark, sf_dir):
+    return stats.value_frequencies(read(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+def _histogram_sql(parents: str, key: str, name: str) -> str:
+    tests = ("true", "n = 0", "n > 0", "n = 1", "n = 2", "n = 3", "n >= 4")
+    each = " UNION ALL ".join(f"SELECT '{m}' AS measure, count(*) FILTER ({t}) AS {name} FROM {name}_n" for m, t in zip(stats.MEASURES, tests, strict=True))
+    return f"{name}_n AS (SELECT p.{key}, count(b.{key}) AS n FROM {parents} p LEFT JOIN bridge b ON p.{key} = b.{key} GROUP BY p.{key}), {name}_h AS ({each})"
+
+
+@_add("child_histogram", _LIBRARY_SQL + ", " + _histogram_sql("ref", "tag", "references_") + ", " + _histogram_sql("doc", "path", "documents_") + " SELECT measure, references_ AS \"references\", documents_ AS documents FROM references__h JOIN documents__h USING (measure)")
+def child_histogram(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return stats.child_histogram(lib.ref, lib.doc, lib.bridge)
+
+
+@_add("zero_children", _LIBRARY_SQL + "SELECT count(*) AS n FROM ref WHERE tag NOT IN (SELECT tag FROM bridge)")
+def zero_children(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return stats.zero_children(lib.ref, lib.bridge, "tag").agg(F.count("*").alias("n"))
+
+
+@_add("name_variants", "SELECT split_part(p_name, ' ', 1) AS last, count(*) AS n, list_sort(list(DISTINCT trim(substr(p_name, length(split_part(p_name, ' ', 1)) + 2)))) AS set FROM part GROUP BY 1 HAVING count(*) > 1")
+def name_variants(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select(F.regexp_replace("p_name", "^([^ ]*) ", "$1, ").alias("proposed"))
+    return stats.name_variants(names)
+
+
+@_add("dup_hash", "SELECT md5(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_hash(spark, sf_dir):
+    return stats.duplicate_content(read(spark, sf_dir, "documents").select(F.md5("text").alias("hash")))
+
+
+_WORDS_SQL = "SELECT DISTINCT unnest(list_slice(string_split(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]+', ' ', 'g'), ' '), 1, 40)) AS name FROM documents"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(F.regexp_replace("text", "[^A-Za-zÀ-ÖØ-öø-ÿ]+", " "), " ")
+    return read(spark, sf_dir, "documents").select(F.explode(F.slice(parts, 1, 40)).alias("name")).distinct()
+
+
+@_add("accent_groups", f"WITH w AS ({_WORDS_SQL}) SELECT strip_accents(name) AS bare, max(name) AS accented, count(*) AS variants FROM w GROUP BY 1 HAVING count(*) > 1")
+def accent_groups(spark, sf_dir):
+    return stats.accent_groups(_words(spark, sf_dir))
+
+
+@_add("canonical_names", f"WITH w AS ({_WORDS_SQL}), g AS (SELECT strip_accents(name) AS bare, max(name) AS accented FROM w GROUP BY 1 HAVING count(*) > 1) SELECT name, coalesce(accented, name) AS canonical FROM w LEFT JOIN g ON name = bare")
+def canonical_names(spark, sf_dir):
+    return linkage.canonical_names(_words(spark, sf_dir))
+
+
+@_add("remove_accents", "SELECT doc_id, strip_accents(text) AS bare FROM documents")
+def remove_accents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.remove_accents(F.col("text")).alias("bare"))
+
+
+@_add("merge_audit", "SELECT o_custkey, count(*) AS versions, min(o_orderstatus) AS o_orderstatus, count(DISTINCT o_orderstatus) <= 1 AS o_orderstatus_same, min(o_orderpriority) AS o_orderpriority, count(DISTINCT o_orderpriority) <= 1 AS o_orderpriority_same FROM orders GROUP BY o_custkey")
+def merge_audit(spark, sf_dir):
+    return stats.merge_audit(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@_add("row_means", "SELECT p_partkey, (p_size + p_partkey % 9) / 2.0::DOUBLE AS mean FROM part")
+def row_means(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", F.col("p_size"), F.col("p_partkey") % 9).alias("pages"))
+    return stats.row_means(df, "pages").select("p_partkey", "mean")
+
+
+@_add("all_fields", "SELECT DISTINCT unnest(json_keys(props)) AS field FROM events")
+def all_fields(spark, sf_dir):
+    return stats.all_fields(read(spark, sf_dir, "events").select(F.from_json("props", "map<string,string>").alias("fields")))
+
+
+@_add("key_value", "SELECT n_nationkey, 'n_name' AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
+def key_value(spark, sf_dir):
+    return files.config_rows(read(spark, sf_dir, "nation"), "n_nationkey")
+
+
+# Linkage
+
+
+@_add("prefix_completion", "WITH k AS (SELECT DISTINCT p_name[1:n] AS name FROM part, (SELECT unnest([4, 7, 11, 30]) AS n)), e AS (SELECT q.name AS query, k.name AS name FROM k q JOIN k ON starts_with(k.name, q.name)), g AS (SELECT query, name FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.query = e.query AND NOT starts_with(o.name, e.name) AND NOT starts_with(e.name, o.name))) SELECT query, arg_max(name, length(name)) AS longest FROM g GROUP BY query")
+def prefix_completion(spark, sf_dir):
+    cuts = F.explode(F.array(*[F.left("p_name", F.lit(n)) for n in (4, 7, 11, 30)]))
+    return linkage.completions(read(spark, sf_dir, "part").select(cuts.alias("name")))
+
+
+@_add("name_completion", "WITH k AS (SELECT DISTINCT c_name AS name FROM customer), q AS (SELECT DISTINCT c_name[1:n] AS query FROM customer, (SELECT unnest([9, 15, 17]) AS n) UNION SELECT 'nobody'), e AS (SELECT query, name FROM q JOIN k ON starts_with(name, query)), g AS (SELECT query, name FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.query = e.query AND NOT starts_with(o.name, e.name) AND NOT starts_with(e.name, o.name))) SELECT q.query, coalesce(arg_max(name, length(name)), q.query) AS longest FROM q LEFT JOIN g USING (query) GROUP BY q.query")
+def name_completion(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    asked = c.select(F.explode(F.array(*[F.left("c_name", F.lit(n)) for n in (9, 15, 17)])).alias("name")).union(spark.createDataFrame([("nobody",)], "name string"))
+    return linkage.completions(c.select(F.col("c_name").alias("name")), asked)
+
+
+@_add("prefix_extensions", "SELECT DISTINCT q.n_name[1:8] AS query, c.n_name AS name FROM nation q JOIN (SELECT n_name FROM nation) c ON starts_with(c.n_name, q.n_name[1:8])")
+def prefix_extensions(spark, sf_dir):
+    asked = read(spark, sf_dir, "nation").select(F.left("n_name", F.lit(8)).alias("name"))
+    return linkage.extensions(read(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), asked)
+
+
+_SUFFIX_SQL = "CASE WHEN {r} = 0 THEN '' WHEN {r} <= 26 THEN chr(CAST(96 + {r} AS INTEGER)) WHEN {r} <= 52 THEN chr(CAST(64 + {r} - 26 AS INTEGER)) ELSE CAST({r} AS VARCHAR) END"
+
+
+@_add("tag_alloc", f"WITH b AS (SELECT c_custkey, c_mktsegment || c_nationkey AS base, row_number() OVER (PARTITION BY c_mktsegment || c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer) SELECT c_custkey, base || {_SUFFIX_SQL.format(r='r')} AS tag FROM b")
+def tag_alloc(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("base"))
+    return linkage.allocate_tags(rows, "base", "c_custkey").select("c_custkey", "tag")
+
+
+@_add("tag_alloc_existing", f"""WITH b AS (SELECT c_custkey, c_mktsegment || '-' || c_nationkey AS base FROM customer), t AS (SELECT DISTINCT base || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'b' ELSE 'zz' END AS tag FROM b WHERE c_custkey % 4 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS r FROM b),
+s AS (SELECT base, base || {_SUFFIX_SQL.format(r='k')} AS tag, row_number() OVER (PARTITION BY base ORDER BY k) AS r FROM (SELECT DISTINCT base FROM b), (SELECT unnest(range(2000)) AS k) WHERE base || {_SUFFIX_SQL.format(r='k')} NOT IN (SELECT tag FROM t))
+SELECT c_custkey, tag FROM r JOIN s USING (base, r)""")
+def tag_alloc_existing(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string")).alias("base"))
+    ending = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "b").otherwise("zz")
+    existing = rows.where("c_custkey % 4 = 0").select(F.concat("base", ending).alias("tag"))
+    return linkage.allocate_tags(rows, "base", "c_custkey", existing).select("c_custkey", "tag")
+
+
+@_add("next_tag", f"WITH t AS (SELECT DISTINCT c_mktsegment || c_nationkey || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'd' END AS tag FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT DISTINCT c_mktsegment || c_nationkey AS base FROM customer), m AS (SELECT base, max(CASE WHEN tag = base THEN 1 WHEN tag = base || 'a' THEN 2 WHEN tag = base || 'd' THEN 5 END) AS r FROM w JOIN t ON tag IN (base, base || 'a', base || 'd') GROUP BY base) SELECT base, base || CASE WHEN r IS NULL THEN '' ELSE {_SUFFIX_SQL.format(r='r')} END AS next_tag FROM w LEFT JOIN m USING (base)")
+def next_tag(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("base"))
+    ending = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "a").otherwise("d")
+    return linkage.next_tags(rows, rows.where("c_custkey % 2 = 0").select(F.concat("base", ending).alias("tag")))
+
+
+@_add("nearest_lev", "WITH m AS (SELECT DISTINCT p_name AS missing FROM part WHERE p_partkey <= 120), k AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1 - p_partkey % 3) AS known FROM part WHERE p_partkey > 60 AND p_partkey <= 700), x AS (SELECT missing, known, levenshtein(missing, known) AS d FROM m, k WHERE missing NOT IN (SELECT known FROM k)), b AS (SELECT missing, min(d) AS d FROM x GROUP BY missing) SELECT missing, min(known) AS match, CAST(any_value(d) AS INTEGER) AS distance FROM x JOIN b USING (missing, d) GROUP BY missing")
+def nearest_lev(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    cut = F.expr("substr(p_name, 1, length(p_name) - 1 - p_partkey % 3)")
+    return linkage.nearest_strings(p.where("p_partkey <= 120").select(F.col("p_name").alias("missing")), p.where("p_partkey > 60 and p_partkey <= 700").select(cut.alias("known")))
+
+
+@_add("author_lists", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Final' WHEN 'O' THEN 'Open' ELSE o_orderstatus END || ' and ' || o_orderpriority AS author FROM orders")
+def author_lists(spark, sf_dir):
+    refs = read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" and ", "o_orderstatus", "o_orderpriority").alias("author"))
+    names = spark.createDataFrame([("F", "Final"), ("O", "Open"), ("X", "Never")], "original string, proposed string")
+    return linkage.mapped_authors(refs, names, "o_orderkey")
+
+
+@_add("author_overrides", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'House' ELSE c_mktsegment END || ' and ' || c_name AS author FROM customer")
+def author_overrides(spark, sf_dir):
+    refs = read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" and ", "c_mktsegment", "c_name").alias("author"))
+    names = spark.createDataFrame([("nobody", "none")], "original string, proposed string")
+    return linkage.mapped_authors(refs, names, "c_custkey", overrides={"BUILDING": "House"})
+
+
+@_add("citations", "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN o_custkey WHEN 1 THEN 3000 WHEN 2 THEN floor((1000 + 2000) / 2) WHEN 3 THEN 1000 + o_custkey % 900 WHEN 4 THEN 5000 ELSE 0 END AS BIGINT) AS citations FROM orders")
+def citations(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("has "), F.col("o_custkey"), F.lit(" citations."))).when(k == 1, "3K Google citations").when(k == 2, "1K-2K GS citations")
+        .when(k == 3, F.concat(F.lit("with "), F.format_number(1000 + F.col("o_custkey") % 900, 0), F.lit("+ Citations"))).when(k == 4, "5k citation").otherwise("no citations")
+    )
+    return read(spark, sf_dir, "orders").select("o_orderkey", X.citations(text).alias("citations"))
+
+
+def _file_text(c: Column) -> Column:
+    return F.concat(F.lit(r":C\:/a/"), c.cast("string"), F.lit(r".pdf:pdf;bad;:D\:/b.pdf:pdf"))
+
+
+@_add("file_field", r"SELECT l_orderkey AS tag, 'C\' AS drive, '/a/' || l_partkey || '.pdf' AS vfile, 'pdf' AS type FROM lineitem UNION ALL SELECT l_orderkey, 'D\', '/b.pdf', 'pdf' FROM lineitem")
+def file_field(spark, sf_dir):
+    return linkage.file_fields(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tag"), _file_text(F.col("l_partkey")).alias("file")))[0]
+
+
+@_add("file_field_errors", "SELECT l_orderkey AS tag, 'bad' AS item FROM lineitem")
+def file_field_errors(spark, sf_dir):
+    return linkage.file_fields(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tag"), _file_text(F.col("l_partkey")).alias("file")))[1]
+
+
+@_add("hash_lookup", "SELECT page_id, url AS path, CASE WHEN page_id % 2 = 0 THEN md5(url) END AS hash FROM pages")
+def hash_lookup(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    index = p.where("page_id % 2 = 0").select(F.replace(F.upper("url"), F.lit("/"), F.lit("\\")).alias("path"), F.md5("url").alias("hash"))
+    return linkage.with_hashes(p.select("page_id", F.col("url").alias("path"), F.lit("").alias("hash")), index).select("page_id", "path", "hash")
+
+
+# Full-text search
+
+_LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(13), ''), '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(replace(text, chr(13), ''), '\\n$', ''), chr(10)), 1) AS line_number FROM documents)"
+
+
+@_add("fulltext", _LINES_SQL + " SELECT doc_id, line_number, rtrim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS ordinal FROM l WHERE regexp_matches(line, 'The[a-z]+ing')")
+def fulltext(spark, sf_dir):
+    return search.search(read(spark, sf_dir, "documents"), "The[a-z]+ing", "doc_id", limit=-1).drop("submatches")
+
+
+@_add("fulltext_top", _LINES_SQL + " SELECT doc_id, line_number, rtrim(line) AS line FROM l WHERE regexp_matches(line, 'license', 'i') ORDER BY doc_id, line_number LIMIT 10")
+def fulltext_top(spark, sf_dir):
+    return search.search(read(spark, sf_dir, "documents"), "license", "doc_id", ignore_case=True).select("doc_id", "line_number", "line")
+
+
+@_add("fulltext_context", _LINES_SQL + ", c AS (SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)) SELECT doc_id, line_number, rtrim(line) AS line, before, after FROM c WHERE regexp_matches(line, 'Licensed under')")
+def fulltext_context(spark, sf_dir):
+    return search.search(read(spark, sf_dir, "documents"), "Licensed under", "doc_id", limit=-1, context=True).drop("submatches", "ordinal")
+
+
+@_add("fulltext_submatches", _LINES_SQL + ", m AS (SELECT doc_id, line_number, line, strpos(line, 'Apache') AS p FROM l WHERE contains(line, 'Apache')) SELECT doc_id, line_number, CAST(octet_length(encode(line[1:p - 1])) AS BIGINT) AS first_start, CAST(octet_length(encode(line[1:p - 1])) + 6 AS BIGINT) AS first_end, CAST((length(line) - length(replace(line, 'Apache', ''))) // 6 AS INTEGER) AS n FROM m")
+def fulltext_submatches(spark, sf_dir):
+    rows = search.search(read(spark, sf_dir, "documents"), "Apache", "doc_id", limit=-1)
+    first = F.get("submatches", F.lit(0))
+    return rows.select("doc_id", "line_number", first["start"].alias("first_start"), first["end"].alias("first_end"), F.size("submatches").alias("n"))
+
+
+@_add("fulltext_offsets", _LINES_SQL + " SELECT doc_id, line_number, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS absolute_offset FROM l")
+def fulltext_offsets(spark, sf_dir):
+    return search.offsets(read(spark, sf_dir, "documents"), "doc_id").drop("line")
+
+
+# Text functions
+
+
+def _over(name: str, table: str, key: str, make: Callable[[], dict[str, Column]], sql: str) -> None:
+    _add(name, sql)(lambda spark, sf_dir: read(spark, sf_dir, table).select(key, *[c.alias(n) for n, c in make().items()]))
+
+
+_over("dehyphen", "documents", "doc_id", lambda: {"joined": X.joined_hyphens(F.regexp_replace("text", "e([a-z])", "e-\n$1"))}, r"SELECT doc_id, regexp_replace(regexp_replace(text, 'e([a-z])', 'e-' || chr(10) || '\1', 'g'), '([\pL\pM\p{Nd}\p{Pc}]+)-\n([\pL\pM\p{Nd}\p{Pc}]+)', '\1\2', 'g') AS joined FROM documents")
+_over("unix_lines", "documents", "doc_id", lambda: {"lines": X.unix_lines(F.replace("text", F.lit("\n"), F.lit("\r\n")))}, "SELECT doc_id, text AS lines FROM documents")
+_over("looks_like_title", "part", "p_partkey", lambda: {"a": X.looks_like_title(F.col("p_name")), "b": X.looks_like_title(F.col("p_brand")), "c": X.looks_like_title(F.concat(F.col("p_size"), F.lit(" - "), F.col("p_partkey"), F.lit("_12")))}, "SELECT p_partkey, length(trim(p_name)) >= 5 AND len(string_split(trim(p_name), ' ')) >= 2 AS a, length(trim(p_brand)) >= 5 AND len(string_split(trim(p_brand), ' ')) >= 2 AS b, false AS c FROM part")
+_over("extract_year", "orders", "o_orderkey", lambda: {"year": X.first_year(F.concat_ws(" ", F.lit("vol 12345,"), F.col("o_custkey"), F.lit("in"), F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM")))}, r"SELECT o_orderkey, nullif(regexp_extract(concat_ws(' ', 'vol 12345,', o_custkey, 'in', o_orderkey, strftime(o_orderdate, '%Y-%m')), '\b((?:19|20)[0-9]{2})\b', 1), '') AS year FROM orders")
+_over("de_slug", "pages", "page_id", lambda: {"title": X.de_slugged(F.replace("url", F.lit("/"), F.lit("_")))}, "SELECT page_id, trim(replace(replace(url, '/', ' '), '_', ' ')) AS title FROM pages")
+_over("file_size", "orders", "o_orderkey", lambda: {"size": X.file_size((F.col("o_totalprice") * F.pow(F.lit(2), F.col("o_orderkey") % 40)).cast("long"))}, """
+SELECT o_orderkey, CASE WHEN n < 1024 THEN format('{:,}', n) || 'B' WHEN n < 262144 THEN format('{:,}', n >> 10) || 'KB' WHEN n < 268435456 THEN format('{:,}', n >> 20) || 'MB'
+  WHEN n < 274877906944 THEN format('{:,}', n >> 30) || 'GB' WHEN n < 281474976710656 THEN format('{:,}', n >> 40) || 'TB' ELSE format('{:,}', n >> 50) || 'PB' END AS size
+FROM (SELECT o_orderkey, CAST(trunc(o_totalprice * pow(2, o_orderkey % 40)) AS BIGINT) AS n FROM orders)""")
+_over("edition_map", "part", "p_partkey", lambda: {"edition": X.edition(F.when(F.col("p_size") < 5, F.col("p_size").cast("string")).otherwise(F.col("p_brand")))}, "SELECT p_partkey, CASE WHEN p_size = 2 THEN 'Second' WHEN p_size = 3 THEN 'Third' WHEN p_size < 5 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS edition FROM part")
+_over("plain_characters", "benchmark", "item_id", lambda: {"plain": X.plain_characters(F.concat(F.lit("“"), F.replace("text", F.lit(" "), F.lit(" ")), F.lit("” – ‘x’﻿ — ›")))}, "SELECT item_id, '\"' || text || '\" -- ''x'' --- ''' AS plain FROM benchmark")
+_over("initials", "customer", "c_custkey", lambda: {"spaced": X.initial_periods(X.spaced_initials(F.concat(F.lit("Doe, "), F.substring(F.translate(F.upper("c_mktsegment"), " ", ""), F.lit(1), (F.col("c_custkey") % 5).cast("int")))))}, "SELECT c_custkey, 'Doe, ' || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN s[1] || '.' WHEN 2 THEN s[1] || '. ' || s[2] || '.' WHEN 3 THEN s[1] || '. ' || s[2] || '. ' || s[3] || '.' ELSE s[1:4] END AS spaced FROM (SELECT c_custkey, replace(upper(c_mktsegment), ' ', '') AS s FROM customer)")
+_over("paths", "pages", "page_id", lambda: {"parent": X.parent(F.col("url")), "name": X.file_name(F.col("url")), "suffix": X.suffix(F.concat(F.col("url"), F.lit(".tar.gz"))), "relative": X.relative_parent(F.concat(F.lit("/lib/"), F.col("url")), "/lib"), "text": X.text_path(F.col("url"), "/t/", "pdftotext")}, r"SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS parent, regexp_extract(url, '([^/]*)$', 1) AS name, '.gz' AS suffix, regexp_replace(regexp_replace(url, '[^/]*$', ''), '/+$', '') AS relative, '/t/' || url || '.pdftotext.md' AS text FROM pages")
+_over("stems", "part", "p_partkey", lambda: {"stem": X.stem(F.concat(F.lit("/x.y/"), F.col("p_brand"), F.lit(".pdf")))}, "SELECT p_partkey, p_brand AS stem FROM part")
+_over("integer_text", "customer", "c_custkey", lambda: {"a": X.integer_text(F.concat(F.lit(" "), F.col("c_custkey").cast("string"))), "b": X.integer_text(F.col("c_mktsegment"))}, "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a, c_mktsegment AS b FROM customer")
+_over("last_name_first", "part", "p_partkey", lambda: {"a": X.last_name_first(F.col("p_name")), "b": X.last_name_first(F.concat(F.lit("Doe, "), F.col("p_brand")))}, "SELECT p_partkey, list_last(w) || ', ' || array_to_string(w[1:-2], ' ') AS a, 'Doe, ' || p_brand AS b FROM (SELECT *, string_split(trim(p_name), ' ') AS w FROM part)")
+_over("clean_title", "part", "p_partkey", lambda: {"title": X.clean_title(F.concat(F.lit(" microsoft word - "), F.col("p_name"), F.lit("Presentation Title")))}, "SELECT p_partkey, p_name AS title FROM part")
+_over("without_braces", "part", "p_partkey", lambda: {"title": X.without_braces(F.concat(F.lit("{"), F.col("p_name"), F.lit("} {}")))}, "SELECT p_partkey, p_name || ' {}' AS title FROM part")
+_over("hash_text", "documents", "doc_id", lambda: {"hash": F.md5("text")}, "SELECT doc_id, md5(text) AS hash FROM documents")
+_over("moments", "events", "event_id", lambda: {"day": F.date_format(X.moment(F.col("event_id") * 1_000_000_000_000 + 1_700_000_000_000_000_000), "yyyy-MM-dd HH:mm")}, "SELECT event_id, strftime(make_timestamp(event_id * 1000000000 + 1700000000000000), '%Y-%m-%d %H:%M') AS day FROM events")
+_over("tag_base", "customer", "c_custkey", lambda: {"base": linkage.tag_base(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("de la O'Ñé-B."), F.col("c_mktsegment"), F.lit(", X"))).otherwise(""), F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(""), F.lit(2001))}, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'delaONeB' || replace(c_mktsegment, ' ', '') || '2001' WHEN 1 THEN regexp_replace(c_name, '[ .{}''-]', '', 'g') || '2001' ELSE 'NOTAG' END AS base FROM customer")
+_over("best_title", "part", "p_partkey", lambda: {"title": X.best_title(F.when(F.col("p_size") < 20, F.col("p_name")).otherwise("x"), F.when(F.col("p_size") > 10, F.col("p_type")).otherwise(F.lit("")), F.lit("a_b_c_d.pdf"), F.lit(0.0))}, "SELECT p_partkey, CASE WHEN length(m) > length(v) AND length(m) > 10 THEN m WHEN length(v) > length(m) AND length(v) > 10 THEN v ELSE 'a b c d' END AS title FROM (SELECT p_partkey, CASE WHEN p_size < 20 THEN p_name ELSE 'x' END AS m, CASE WHEN p_size > 10 THEN p_type ELSE '' END AS v FROM part)")
+_over("lookup_query", "part", "p_partkey", lambda: {"query": X.lookup_query(F.when(F.col("p_size") < 20, F.col("p_name")).otherwise("x"), F.lit("n/a"), F.concat(F.lit("file_of_"), F.col("p_size") + 1980))}, "SELECT p_partkey, CASE WHEN p_size < 20 THEN p_name ELSE 'file of ' || (p_size + 1980) END AS query FROM part")
+
+
+# Windows, records, BibTeX
+
+
+@_add("numbered", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events")
+def numbered(spark, sf_dir):
+    return ingest.numbered(read(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("path"), F.col("ts").alias("create"))).select("event_id", F.col("n").cast("long").alias("n"))
+
+
+@_add("cover", "WITH r AS (SELECT o_custkey AS path, trim(o_orderpriority) AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderpriority DESC) AS place FROM orders) SELECT path, max(text) FILTER (place = 1) AS cover_title, coalesce(list(text ORDER BY place) FILTER (place BETWEEN 2 AND 4), []) AS cover_author FROM r GROUP BY path")
+def cover(spark, sf_dir):
+    return ingest.cover(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_totalprice").alias("size"), F.col("o_orderpriority").alias("text")))
+
+
+def _message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    kinds = F.array(*[F.lit(k) for k in [*records.TYPES, "unheard-of"]])
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(
+        F.get(kinds, n % 12).alias("type"), F.array(F.col("n_name")).alias("title"), F.array(F.struct(F.col("n_name").alias("family"), F.lit("A").alias("given")), F.struct(F.lit("Doe").alias("family"), F.lit(None).cast("string").alias("given"))).alias("author"),
+        F.struct(F.array(F.array(n + 1990, F.lit(1))).alias("date-parts")).alias("issued"), F.concat(F.lit("10.1/"), n).alias("DOI"), F.array(F.lit("J. Test")).alias("container-title"), F.lit("7").alias("volume"), F.lit("3").alias("issue"), F.lit("1-9").alias("page"), F.lit("Pub").alias("publisher"), F.lit("R1").alias("report-number"),
+    )).alias("message"))
+
+
+@_add("crossref_map", """SELECT n_nationkey, type, n_name AS title, CAST(n_nationkey + 1990 AS INTEGER) AS year, '10.1/' || n_nationkey AS doi, n_name || ', A and Doe,' AS author, CASE WHEN type = 'article' THEN 'J. Test' ELSE '' END AS journal,
+  CASE WHEN type IN ('inbook', 'incollection', 'inproceedings') THEN 'J. Test' ELSE '' END AS booktitle, CASE type WHEN 'article' THEN '3' WHEN 'techreport' THEN 'R1' ELSE '' END AS number, CASE WHEN type IN ('article', 'inbook', 'incollection', 'inproceedings') THEN '1-9' ELSE '' END AS pages,
+  CASE WHEN type IN ('book', 'inbook', 'incollection', 'inproceedings') THEN 'Pub' ELSE '' END AS publisher, CASE WHEN type = 'techreport' THEN 'Pub' ELSE '' END AS institution, CASE WHEN type = 'phdthesis' THEN 'Pub' ELSE '' END AS school
+FROM (SELECT *, ['article', 'book', 'inbook', 'inproceedings', 'unpublished', 'techreport', 'misc', 'misc', 'incollection', 'phdthesis', 'manual', 'misc'][n_nationkey % 12 + 1] AS type FROM nation)""")
+def crossref_map(spark, sf_dir):
+    return records.references(_message(spark, sf_dir)).select("n_nationkey", *[f"ref.{c}" for c in ("type", "title", "year", "doi", "author", "journal", "booktitle", "number", "pages", "publisher", "institution", "school")])
+
+
+@_add("nested_get", "SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first FROM events")
+def nested_get(spark, sf_dir):
+    m = F.from_json("props", "map<string,string>")
+    return read(spark, sf_dir, "events").select("event_id", F.get(F.map_values(m), F.lit(0)).alias("first"))
+
+
+@_add("without_blank_fields", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['n'] ELSE ['n', 'r'] END AS kept FROM nation")
+def without_blank_fields(spark, sf_dir):
+    m = F.create_map(F.lit("n"), F.col("n_name"), F.lit("r"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).otherwise(""), F.lit("z"), F.lit(None).cast("string"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))).alias("kept"))
+
+
+def _bib_row() -> dict[str, Column]:
+    return {"type": F.lit("book"), "tag": F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "title": F.concat(F.col("n_name"), F.lit(" {A}")), "year": (F.col("n_nationkey") + 1990), "publisher": F.when(F.col("n_regionkey") > 0, F.concat(F.lit("P "), F.col("n_regionkey").cast("string"))), "note": F.lit("")}
+
+
+@_add("bibtex_text", "SELECT n_nationkey, '@book{N' || n_nationkey || E',\\ntitle = {{' || n_name || E' {A}}},\\nyear = {' || (n_nationkey + 1990) || '}' || CASE WHEN n_regionkey > 0 THEN E',\\npublisher = {P ' || n_regionkey || '}' ELSE '' END || E',\\n}' AS entry FROM nation")
+def bibtex_text(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_nationkey", bibtex.entry_text(_bib_row()).alias("entry"))
+
+
+@_add("bibtex_roundtrip", "SELECT n_nationkey AS row_id, 'book' AS type, 'N' || n_nationkey AS tag, '{' || n_name || ' {A}}' AS title, CAST(n_nationkey + 1990 AS VARCHAR) AS year, CASE WHEN n_regionkey > 0 THEN 'P ' || n_regionkey END AS publisher FROM nation")
+def bibtex_roundtrip(spark, sf_dir):
+    texts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_id"), bibtex.entry_text(_bib_row()).alias("value"))
+    return bibtex.entries(texts).select("row_id", "type", "tag", *[F.try_element_at("fields", F.lit(c)).alias(c) for c in ("title", "year", "publisher")])
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("@Article{x"), F.col("s_suppkey"), F.lit(",\n author={M{\\\"u}ller, "), F.element_at(F.array(*map(F.lit, ("J", "JK", "Jane"))), (F.col("s_suppkey") % 3 + 1).cast("int")), F.lit(" and DOE, BOB},\n title   = {{"), F.col("s_name"), F.lit("}},\n abstract = \"10K citations\",\nyear="), 1990 + F.col("s_nationkey"), F.lit(",\n edition={2nd}}"))
+    return bibtex.entries(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), made.alias("value")))
+
+
+@_add("import_port")
+def import_port(spark, sf_dir):
+    return ingest.ported(_entries(spark, sf_dir)).drop("extra")
+
+
+@_add("author_map")
+def author_map(spark, sf_dir):
+    return linkage.author_map(ingest.reference_rows(_entries(spark, sf_dir)))
+
+
+# Without SQL: held against plain Python in the tests
+
+
+@_add("tex_to_unicode")
+def tex_to_unicode(spark, sf_dir):
+    text = F.concat(F.lit("{\\'{e}}t\\'e \\\"{u}ber na{\\\"\\i}ve \\ss{} {\\c c}a "), F.col("n_name"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", udf.tex_to_unicode(text).alias("d")).select("n_nationkey", "d.*")
+
+
+@_add("title_case")
+def title_case(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", udf.title_case(F.concat_ws("-", "p_brand", "p_type")).alias("title"))
+
+
+@_add("similarity_ratio")
+def similarity_ratio(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", udf.ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
+
+
+@_add("composed_text")
+def composed_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", udf.composed("text").alias("text"))
+
+
+@_add("random_sample")
+def random_sample(spark, sf_dir):
+    return read(spark, sf_dir, "customer").sample(0.1, seed=42)
+
+
+@_add("list_files")
+def list_files(spark, sf_dir):
+    return files.list_documents(spark, sf_dir, "*.parquet")
