@@ -44,9 +44,27 @@ def ported(entries: DataFrame, source: str = "import") -> DataFrame:
     return allocate_tags(rows.withColumn("__base", tag_base(F.col("author"), F.col("editor"), integer_text(F.col("year")))).drop("tag"), "__base", "row_id").drop("__base")
 
 
-def numbered(docs: DataFrame, create: str = "create") -> DataFrame:
-    """Documents newest first, with numbers from 1: the numbering is one order over all rows."""
-    return docs.withColumn("n", F.row_number().over(Window.orderBy(F.col(create).desc_nulls_last(), "path")))
+def numbered(docs: DataFrame, create: str = "create", rows: int = 100_000) -> DataFrame:
+    """Documents with numbers from 1, newest first, ties by path; documents without a time come last.
+
+    Times fall into ranges at approximate quantiles. Rows are numbered within their range, and the
+    driver adds up the ranges' sizes, so no task sees all rows.
+    """
+    moment = F.unix_micros(F.col(create).cast("timestamp"))
+    n = docs.count()
+    parts = max(1, min(2000, n // rows))
+    bounds = []
+    if parts > 1:
+        bounds = sorted(set(docs.agg(F.percentile_approx(moment, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []))
+    # range 0 is the newest, the last one has no time
+    at = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b > moment)) if bounds else F.lit(0)
+    ranged = docs.withColumn("__range", F.when(moment.isNull(), len(bounds) + 1).otherwise(at))
+    before, bases = 0, [0] * (len(bounds) + 2)
+    for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():
+        bases[r["__range"]] = before
+        before += r["n"]
+    own = Window.partitionBy("__range").orderBy(F.col(create).desc_nulls_last(), "path")
+    return ranged.withColumn("n", F.row_number().over(own) + F.get(F.lit(bases).cast("array<bigint>"), F.col("__range"))).drop("__range")
 
 
 def cover(spans: DataFrame, key: str = "path") -> DataFrame:

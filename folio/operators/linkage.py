@@ -92,6 +92,16 @@ def _suffix(rank: Column) -> Column:
     return F.when(rank < len(SUFFIXES), F.get(F.array(*map(F.lit, SUFFIXES)), rank)).otherwise(rank.cast("string"))
 
 
+def _bases(tags: DataFrame, column: str) -> DataFrame:
+    """base, suffix for every way a tag can be a base and a suffix: nothing, a letter, or a number from 53."""
+    t = F.col(column)
+    digits = F.char_length(F.regexp_extract(t, "([0-9]*)$", 1))
+    numbers = F.filter(F.transform(F.sequence(F.lit(0), digits), lambda n: F.right(t, n)), lambda d: (F.char_length(d) >= 2) & (F.left(d, F.lit(1)) != "0") & (F.coalesce(d.try_cast("bigint"), F.lit(0)) >= len(SUFFIXES)))
+    letter = F.regexp_extract(t, "[A-Za-z]$", 0)
+    endings = F.concat(F.array(F.lit("")), F.when(letter != "", F.array(letter)).otherwise(F.array().cast("array<string>")), numbers)
+    return tags.select(t, F.explode(endings).alias("suffix")).select(F.left(t, F.char_length(t) - F.char_length("suffix")).alias("base"), "suffix").distinct()
+
+
 def allocate_tags(rows: DataFrame, base: str, order: str, existing: DataFrame | None = None, name: str = "tag") -> DataFrame:
     """rows with a unique tag each: the base, then the base with the next free suffix, in the given order.
 
@@ -104,7 +114,8 @@ def allocate_tags(rows: DataFrame, base: str, order: str, existing: DataFrame |
     needed = ranked.groupBy(base).agg(F.max("__rank").alias("most"))
     # a base never needs more slots than it has rows and taken tags
     known = existing.select(F.col("tag").alias("__t")).distinct()
-    taken = needed.join(known, F.col("__t").startswith(F.col(base)) & (F.substring("__t", 1, 1) == F.substring(F.col(base), 1, 1)), "left").groupBy(base).agg(F.max("most").alias("most"), F.count("__t").alias("used"))
+    used = _bases(known, "__t").groupBy(F.col("base").alias("__b")).agg(F.count("*").alias("used"))
+    taken = needed.join(used, F.col(base) == F.col("__b"), "left").select(base, "most", F.coalesce("used", F.lit(0)).alias("used"))
     slots = taken.select(base, F.explode(F.sequence(F.lit(0), (F.col("most") + F.col("used")).cast("int"))).alias("slot"))
     slots = slots.withColumn("__tag", F.concat(F.col(base), _suffix(F.col("slot"))))
     free = slots.join(known, F.col("__tag") == F.col("__t"), "left_anti")
@@ -115,10 +126,9 @@ def allocate_tags(rows: DataFrame, base: str, order: str, existing: DataFrame |
 def next_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
     """base, next_tag for each base: itself if it is free, or else the first suffix after the last one in use."""
     own = wanted.select("base").distinct()
-    # a tag's possible bases are itself and itself without its last character
-    split = tags.select(F.explode(F.array(F.struct(F.col("tag").alias("base"), F.lit("").alias("s")), F.struct(F.regexp_replace("tag", "[A-Za-z]$", "").alias("base"), F.regexp_extract("tag", "[A-Za-z]$", 0).alias("s")))).alias("x")).select("x.base", "x.s").distinct()
-    used = split.withColumn("at", F.array_position(F.array(*map(F.lit, SUFFIXES)), F.col("s"))).groupBy("base").agg(F.max("at").alias("at"))
-    return own.join(used, "base", "left").select("base", F.concat("base", F.when(F.col("at").isNull(), F.lit("")).otherwise(_suffix(F.col("at").cast("int")))).alias("next_tag"))
+    at = F.coalesce(F.col("suffix").try_cast("int"), F.array_position(F.array(*map(F.lit, SUFFIXES)), F.col("suffix")).cast("int") - 1)
+    used = _bases(tags, "tag").withColumn("at", at).groupBy("base").agg(F.max("at").alias("at"))
+    return own.join(used, "base", "left").select("base", F.concat("base", F.when(F.col("at").isNull(), F.lit("")).otherwise(_suffix(F.col("at") + 1))).alias("next_tag"))
 
 
 def nearest_strings(missing: DataFrame, known: DataFrame, sample: int = 8) -> DataFrame:

@@ -71,9 +71,20 @@ def test_tags(spark):
     assert got[:3] == ["Doe2005a", "Doe2005c", "Doe2005d"] and got[-1] == "Roe2001" and len(set(got)) == 61
     wanted = spark.createDataFrame([("Doe2005",), ("Moe1999",), ("a.c2000",)], "base string")
     tags = spark.createDataFrame([("Doe2005",), ("Doe2005a",), ("abc2000",)], "tag string")
+    many = tags.union(spark.createDataFrame([("Doe200560",)], "tag string"))
+    assert {r.base: r.next_tag for r in linkage.next_tags(wanted, many).collect()}["Doe2005"] == "Doe200561"
     assert {r.base: r.next_tag for r in linkage.next_tags(wanted, tags).collect()} == {"Doe2005": "Doe2005b", "Moe1999": "Moe1999", "a.c2000": "a.c2000"}
 
 
+def test_numbering_over_ranges(spark):
+    rows = [(f"p{i:03d}", None if i % 10 == 0 else i // 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "path string, s long").select("path", F.timestamp_seconds("s").alias("create")).repartition(5)
+    got = {r.path: r.n for r in ingest.numbered(df, rows=20).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {p: i for i, (p, _) in enumerate(order, 1)}
+    assert ingest.numbered(df.limit(0)).count() == 0
+
+
 def test_accents_and_names(spark):
     frame = spark.createDataFrame([("Muller",), ("Müller",), ("Mûller",), ("Øre",)], "name string")
     assert {r.name: r.canonical for r in linkage.canonical_names(frame).collect()} == {"Muller": "Müller", "Müller": "Müller", "Mûller": "Mûller", "Øre": "Øre"}
