@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -50,32 +51,93 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0") if text else []
 
 
+# Characters that both splitting rules below treat as Python's re does: ASCII and the letters of Latin-1.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_L, _S = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"\x20\x09-\x0d"
+_ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def _byte_marks() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_MARKS = _byte_marks()
+
+
+def splitting(definition: str) -> tuple[re.Pattern, bool] | None:
+    """For a vocabulary with a known splitting rule, that rule for plain text and whether it is lower-cased first."""
+    made = json.loads(definition)
+    before, norm = made["pre_tokenizer"] or {}, made["normalizer"] or {}
+    if made["model"]["type"] != "BPE" or len(made["model"]["vocab"]) > 1 << 16 or made["model"].get("unk_token") or made["model"].get("byte_fallback") or made["model"].get("ignore_merges"):
+        return None
+    if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not norm:
+        return re.compile(rf"{_ENDS}| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+"), False
+    steps = before.get("pretokenizers", [])
+    lowered = [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    if lowered and len(steps) == 2 and steps[0].get("pattern") == {"Regex": _ENDS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]:
+        return re.compile(rf"{_ENDS}|[{_L}]+|[0-9]|[^{_S}{_L}0-9]+"), True
+    return None
+
+
+@lru_cache(maxsize=1)
+def _id_bytes() -> list[bytes]:
+    """The bytes of the first 2^16 ids."""
+    return [i.to_bytes(4, "little") for i in range(1 << 16)]
+
+
 class Encoder:
-    """Texts to ids as bytes of little-endian unsigned 32-bit integers, through a bounded memory of words."""
+    """Texts to ids as bytes of little-endian unsigned 32-bit integers, through a bounded memory of words.
+
+    A plain text is split by the vocabulary's own rule, and each distinct part goes to the library's
+    model once. Another text is cut at spaces, and each distinct piece goes through the whole
+    library. With by_word off, every text does.
+    """
 
     def __init__(self, definition: str, by_word: bool = True, remembered: int = REMEMBERED):
         self.definition, self.by_word, self.remembered = definition, by_word, remembered
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.rule = splitting(definition) if by_word else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(self.definition).encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_parts(self, new: list[str]) -> None:
+        tokenize, coded = _tokenizer(self.definition).model.tokenize, _id_bytes()
+        for p in new:
+            if not p.isascii():
+                marked = p.encode().decode("latin-1").translate(_MARKS)
+            else:
+                marked = p if p.isalnum() else p.translate(_MARKS)
+            self.parts[p] = b"".join([coded[t.id] for t in tokenize(marked)])
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            self.known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
+
+    def _joined(self, found: list[str], memory: dict[str, bytes], learn: Callable[[list[str]], None]) -> bytes:
+        new = [p for p in set(found) if p not in memory]
+        if new:
+            if len(memory) + len(new) > self.remembered:
+                memory.clear()
+                new = list(set(found))
+            learn(new)
+        return b"".join(map(memory.__getitem__, found))
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
                 yield b""
             elif not self.by_word:
                 yield self._encode([text])[0]
+            elif self.rule and _PLAIN.fullmatch(text):
+                rule, lower = self.rule
+                yield self._joined(rule.findall(text.lower() if lower else text), self.parts, self._learn_parts)
             else:
-                parts = pieces(text)
-                new = [p for p in set(parts) if p not in self.known]
-                if new:
-                    if len(self.known) + len(new) > self.remembered:
-                        self.known.clear()
-                        new = list(set(parts))
-                    for at in range(0, len(new), 4096):
-                        self.known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
-                yield b"".join(map(self.known.__getitem__, parts))
+                yield self._joined(pieces(text), self.known, self._learn_pieces)
 
 
 @lru_cache(maxsize=4)

@@ -26,7 +26,9 @@ def crc(ids):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_by_word_equals_whole_texts(name):
     rng = random.Random(1)
-    odd = [x for x in ODD if x] + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "\t", ".", "'s", "1", "é", "é", " ", " ", "\x0b", "\x1f", "ß", "İ"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    odd = [x for x in ODD if x] + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "\t", ".", "'s", "1", "é", "é", " ", " ", "\x0b", "\x1f", "ß", "İ", "É", "÷", "×", "_", "\x1c", "\u0085", "ſ", "K", "²", "'re", "9", "\x00", "\x7f"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    odd += ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", ".", ",'", "'S", "'ll", "7", "é", "Ñ", "ß", "÷", "\x1c", "\x00", "\x7f", "\x85", "\xa0", "²", "µ", "Å"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    assert Encoder(load(vocabulary(name))).rule is not None
     encode, t = Encoder(load(vocabulary(name)), remembered=500), Tokenizer.from_file(vocabulary(name))
     t.encode_special_tokens = True
     for text, got in zip(odd, encode(odd), strict=True):
