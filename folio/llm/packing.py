@@ -23,6 +23,7 @@ from folio.llm.tokens import encoder, load, vocabulary
 
 WINDOW = 1024
 STRIDE = 16
+SENT_CUTS = 50_000  # rows of seven numbers that a join may broadcast
 
 
 def combinations(counts: np.ndarray, window: int, stride: int) -> np.ndarray:
@@ -108,6 +109,8 @@ class Plan:
         left = counts - taken
         sizes = (left * np.arange(len(counts)))[::-1]
         self.stream = (np.cumsum(sizes) - sizes)[::-1]  # longest first
+        #: At most so many rests are cut: one at each window's end of the stream.
+        self.cuts = int(sizes.sum()) // window
 
     def place(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sequence and offset of each rest, and how much of it fits there: less than its length if it is cut."""
@@ -197,7 +200,10 @@ def pack(docs: DataFrame, definition: str, end_id: int, window: int = WINDOW) ->
         (F.col("sequence") + full).alias("sequence_id"), "offset")
 
     # what is cut: its ids are read again, in two pieces
-    cut = placed.where("fits < rest").drop("crcs", "rest_crc").withColumnRenamed("rest", "size").join(tokens.select("row", "rest"), "row")
+    cut = placed.where("fits < rest").select("row", "doc_id", "n_tokens", F.col("rest").alias("size"), "sequence", "offset", "fits")
+    if plan.cuts <= SENT_CUTS:
+        cut = F.broadcast(cut)
+    cut = tokens.select("row", "rest").join(cut, "row")
     two = F.array(
         F.struct(zero.alias("at"), F.col("fits").alias("length"), F.col("sequence").alias("sequence"), F.col("offset").alias("offset")),
         F.struct(F.col("fits").alias("at"), (F.col("size") - F.col("fits")).alias("length"), (F.col("sequence") + 1).alias("sequence"), zero.alias("offset")),
