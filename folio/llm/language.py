@@ -10,10 +10,10 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import table, written
 
 TRAIN_DOCS = 8000
 KEPT_WORDS = 30_000  # of a language
@@ -85,7 +85,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         own = words(text)
-        if not own or not self.model.languages:
+        if not self.model.languages or not any(c.isalpha() for w in own for c in w):
             return NONE, 0.0
         fresh = [w for w in set(own) if w not in self.index]
         if len(self.index) + len(fresh) > self.known + REMEMBERED:
@@ -114,7 +114,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept_words: int = KEPT_WORDS) -> Model:
     """Learns from at most train_docs documents with text and language outside the held-out fold, those with the lowest hashed doc_ids.
 
-    Words are counted over all of their texts; the driver gets the kept_words commonest of each language.
+    Words are counted over all of their texts; the driver gets the commonest of each language, at
+    most kept_words of them: those with equal counts stay or go together.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -132,13 +133,23 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept_words: int = KEPT_WO
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     shares = {r.lang: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    counted = some.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counted.withColumns({"total": F.sum("n").over(Window.partitionBy("lang")), "place": F.row_number().over(order)}).where(F.col("place") <= kept_words).collect()
+    counted = written(some.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # how many words have each count: the least count that is kept follows, without ordering words
+    by_count = sorted(((r.lang, -r["n"], r["words"]) for r in counted.groupBy("lang", "n").agg(F.count("*").alias("words")).collect()))
+    least, held, all_words = {}, {}, {}
+    for lang, minus, many in by_count:
+        all_words[lang] = all_words.get(lang, 0) - minus * many
+        held[lang] = held.get(lang, 0) + many
+        if held[lang] <= kept_words:
+            least[lang] = -minus
+    keep = F.lit(False)
+    for lang, n in least.items():
+        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= n))
+    rows = counted.where(keep).collect()
     languages = tuple(sorted(shares))
     at, totals, table_ = {x: i for i, x in enumerate(languages)}, [1] * len(languages), {}
     for r in sorted(rows, key=lambda r: (r.word, r.lang)):
-        totals[at[r.lang]] = r.total
+        totals[at[r.lang]] = all_words[r.lang]
         table_.setdefault(r.word, [0] * len(languages))[at[r.lang]] = r["n"]
     every = sum(shares.values())
     return Model(languages, tuple(shares[x] / every for x in languages), {w: tuple(c) for w, c in table_.items()}, tuple(totals))
