@@ -198,3 +198,23 @@ def text_path(path: Column, text_dir: str, extractor: str) -> Column:
 def moment(nanoseconds: Column) -> Column:
     """Nanoseconds since 1970 as a timestamp of microseconds."""
     return F.timestamp_micros((nanoseconds / 1000).cast("long"))
+
+
+def starts_with_match(c: Column, pattern: str) -> Column:
+    """Whether a pattern matches from the start of a text."""
+    return c.rlike(f"^(?:{pattern})")
+
+
+def latin1(c: Column) -> Column:
+    """A text's bytes in Latin-1; characters it lacks are question marks."""
+    return F.encode(c, "ISO-8859-1")
+
+
+def from_utf8(c: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
+def wide_characters(c: Column) -> Column:
+    """The distinct characters of a text that need more than one byte."""
+    return F.filter(F.array_distinct(F.split(c, "")), lambda x: F.octet_length(x) > 1)

@@ -158,6 +158,11 @@ def file_fields(refs: DataFrame, key: str = "tag", column: str = "file") -> tupl
     return good, items.where((F.size("p") != 4) & (F.col("item") != "")).select(key, "item")
 
 
+def missing_files(proto: DataFrame, doc: DataFrame) -> DataFrame:
+    """(tag, vfile) of referenced files that aren't among the documents."""
+    return proto.join(doc.select(F.col("path").alias("vfile")), "vfile", "left_anti").select("tag", "vfile")
+
+
 def linked_files(proto: DataFrame, doc: DataFrame) -> DataFrame:
     """tag, path: the files that references name, or the nearest ones that exist."""
     known = doc.select(F.col("path").alias("known"))

@@ -61,3 +61,8 @@ def tidy_name(path: Column, text_dir: str, extractor: str) -> Column:
     """A text file's document: without the folder and the ending of the extractor."""
     rest = F.regexp_replace(path, f".{extractor}.md$".replace(".", r"\."), "")
     return F.when(rest.startswith(text_dir), F.regexp_replace(F.substring(rest, F.lit(len(text_dir) + 1), F.char_length(rest)), r"^[/\\]+", "")).otherwise(rest)
+
+
+def find(rows: DataFrame, column: str, pattern: str, year: str = "year") -> DataFrame:
+    """Rows whose field has the pattern, latest years first, then by the field."""
+    return rows.where(F.col(column).rlike(java_pattern(pattern))).orderBy(F.col(year).desc_nulls_last(), F.col(column).asc_nulls_last())

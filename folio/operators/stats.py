@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import remove_accents
+from folio.functions.text import remove_accents, wide_characters
 from folio.operators.library import split_authors, without_match
 
 
@@ -106,3 +106,8 @@ def merge_audit(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def all_fields(rows: DataFrame, column: str = "fields") -> DataFrame:
     """Names of the fields that occur in a column of maps."""
     return rows.select(F.explode(F.map_keys(column)).alias("field")).distinct().orderBy("field")
+
+
+def all_wide_characters(rows: DataFrame, column: str) -> DataFrame:
+    """The characters beyond ASCII that occur in a column."""
+    return rows.select(F.explode(wide_characters(F.col(column))).alias("character")).distinct()

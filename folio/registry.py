@@ -541,6 +541,51 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bibtex.entries(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), made.alias("value")))
 
 
+@_add("find_anchored", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(?:red|b.ue) ')")
+def find_anchored(spark, sf_dir):
+    return read(spark, sf_dir, "part").where(X.starts_with_match(F.col("p_name"), "(?:red|b.ue) ")).select("p_partkey", "p_name")
+
+
+@_add("find_ordered", "SELECT p_partkey, p_name, p_size FROM part WHERE regexp_matches(p_name, 'ring', 'i')")
+def find_ordered(spark, sf_dir):
+    return search.find(read(spark, sf_dir, "part"), "p_name", "ring", "p_size").select("p_partkey", "p_name", "p_size")
+
+
+@_add("wide_characters", "SELECT DISTINCT character FROM (SELECT unnest(string_split(text, '')) AS character FROM documents) WHERE octet_length(encode(character)) > 1")
+def wide_characters(spark, sf_dir):
+    return stats.all_wide_characters(read(spark, sf_dir, "documents"), "text")
+
+
+@_add("missing_files", "SELECT DISTINCT l_orderkey AS tag, '/a/' || l_partkey || '.pdf' AS vfile FROM lineitem WHERE l_partkey % 2 = 1 UNION SELECT l_orderkey, '/b.pdf' FROM lineitem")
+def missing_files(spark, sf_dir):
+    proto = linkage.file_fields(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tag"), _file_text(F.col("l_partkey")).alias("file")))[0]
+    doc = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"))
+    return linkage.missing_files(proto, doc).distinct()
+
+
+@_add("set_difference", "SELECT p_partkey AS k FROM part EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
+def set_difference(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).exceptAll(read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_partkey"))
+
+
+_over("latin1_bytes", "documents", "doc_id", lambda: {"n": F.octet_length(X.latin1(F.col("text"))).cast("long"), "same": X.from_utf8(F.encode("text", "UTF-8")) == F.col("text")}, "SELECT doc_id, CAST(length(text) AS BIGINT) AS n, true AS same FROM documents")
+
+
+@_add("record_by_doi", "SELECT n_nationkey FROM nation WHERE n_nationkey = 7")
+def record_by_doi(spark, sf_dir):
+    return records.by_doi(records.references(_message(spark, sf_dir)), "10.1/7").select("n_nationkey")
+
+
+@_add("record_search", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'nation_1') ORDER BY n_nationkey DESC LIMIT 5")
+def record_search(spark, sf_dir):
+    return records.matching(records.references(_message(spark, sf_dir)), title="NATION_1", author="doe", most=5).select("n_nationkey")
+
+
+@_add("record_by_title")
+def record_by_title(spark, sf_dir):
+    return records.by_title(records.references(_message(spark, sf_dir)), "nation 3").select("n_nationkey", "similarity")
+
+
 @_add("import_port")
 def import_port(spark, sf_dir):
     return ingest.ported(_entries(spark, sf_dir)).drop("extra")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import subprocess
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
@@ -12,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import file_name, relative_parent, suffix, text_path
+from folio.functions.text import file_name, joined_hyphens, relative_parent, suffix, text_path, unix_lines
+from folio.functions.udf import composed
+from folio.operators.ingest import numbered
 from folio.types import LibraryConfig
 
 STATS = "path string, create timestamp, access timestamp, node long, links long"
@@ -57,6 +60,36 @@ def missing_texts(docs: DataFrame, texts: DataFrame, text_dir: str, extractor: s
     return docs.withColumn("__text", text_path(F.col("path"), text_dir, extractor)).join(texts.select(F.col("path").alias("__text")), "__text", "left_anti").drop("__text")
 
 
+def new_documents(spark: SparkSession, directory: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
+    """n (from 1, newest first), name, path, create, mod, size of the files of a folder."""
+    docs = numbered(with_stats(list_documents(spark, directory, pattern, recursive)))
+    return docs.select("n", "name", "path", "create", "mod", "size")
+
+
+def extract_texts(docs: DataFrame, command: tuple[str, ...] = ("pdftotext", "-raw", "-nopgbrk", "{path}", "-"), seconds: int = 120) -> DataFrame:
+    """path, text, error: each file's text by an outside program, lines and hyphens mended, in normal form C.
+
+    A program that is missing, fails or takes too long leaves a null text and the reason.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            rows = []
+            for path in some["path"]:
+                try:
+                    done = subprocess.run([a.replace("{path}", path) for a in command], capture_output=True, timeout=seconds, check=True)
+                    rows.append((path, done.stdout.decode("utf-8", errors="replace"), None))
+                except (OSError, subprocess.SubprocessError) as wrong:
+                    rows.append((path, None, str(wrong)))
+            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+    raw = docs.select("path").mapInPandas(run, "path string, text string, error string")
+    return raw.withColumn("text", composed(joined_hyphens(unix_lines(F.col("text")))))
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Extracted texts as one Parquet table; a file for each text is what large stores can't take."""
+    texts.where("text is not null").select("path", "text").write.mode("append").parquet(path)
+
+
 def convert_feather(source: str, target: str) -> None:
     """One Feather file as Parquet, batch by batch."""
     import pyarrow as pa

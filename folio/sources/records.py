@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.udf import ratio
+
 MESSAGE = (
     "type string, title array<string>, author array<struct<family:string,given:string>>, editor array<struct<family:string,given:string>>, "
     "issued struct<`date-parts`:array<array<int>>>, DOI string, URL string, ISBN array<string>, edition string, `container-title` array<string>, "
@@ -53,3 +55,22 @@ def references(messages: DataFrame, column: str = "message") -> DataFrame:
         only(("phdthesis",), text("publisher")).alias("school"), only(("techreport",), text("publisher")).alias("institution"),
     )
     return rows.withColumn("ref", ref).drop("__m", "__k")
+
+
+def by_doi(refs: DataFrame, doi: str) -> DataFrame:
+    """The references with a DOI, case aside; `refs` has the column `ref` of references()."""
+    return refs.where(F.lower("ref.doi") == doi.lower())
+
+
+def by_title(refs: DataFrame, title: str, most: int = 1) -> DataFrame:
+    """The references whose titles are most like the given one, best first."""
+    like = ratio(F.lower("ref.title"), F.lower(F.lit(title)))
+    return refs.withColumn("similarity", like).orderBy(F.desc("similarity"), "ref.doi").limit(most)
+
+
+def matching(refs: DataFrame, title: str | None = None, author: str | None = None, most: int = 20) -> DataFrame:
+    """References by words of title and author, all of which have to occur."""
+    for field, words in (("ref.title", title), ("ref.author", author)):
+        for word in (words or "").split():
+            refs = refs.where(F.contains(F.lower(field), F.lit(word.lower())))
+    return refs.orderBy(F.desc("ref.year"), "ref.doi").limit(most)

@@ -106,6 +106,19 @@ def test_listing(spark, folder):
     assert [r.name for r in files.missing_texts(docs, texts, "/t", "pdftotext").collect()] == ["b c.pdf"]
 
 
+def test_new_documents_and_extraction(spark, folder, tmp_path):
+    os.utime(f"{folder}/a.pdf")
+    rows = files.new_documents(spark, folder).collect()
+    assert sorted(r.n for r in rows) == [1, 2] and {r.name for r in rows} == {"a.pdf", "b c.pdf"}
+    Path(f"{folder}/a.pdf").write_bytes("hyphen-\r\nated é".encode())
+    texts = files.extract_texts(files.list_documents(spark, folder), command=("cat", "{path}"))
+    assert {Path(r.path).name: r.text for r in texts.collect()} == {"a.pdf": "hyphenated é", "b c.pdf": "xx"}
+    gone = files.extract_texts(files.list_documents(spark, folder), command=("no-such-program", "{path}")).collect()
+    assert all(r.text is None and "no-such-program" in r.error for r in gone)
+    files.write_texts(texts, f"{tmp_path}/texts")
+    assert spark.read.parquet(f"{tmp_path}/texts").count() == 2
+
+
 def test_stream_takes_each_file_once(spark, folder, tmp_path):
     for more in ("", "c.pdf"):
         if more:
