@@ -171,7 +171,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, routes: int = ROUTES, gro
     asked = queries.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").distinct()
     blocks = max(1, -(-asked.count() // query_block))
 
-    placed = dealt.join(F.broadcast(groups), ["dim", "route"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")))
+    spread = F.broadcast(groups) if len(salts) <= 50_000 else groups  # at most `routes` rows for each length of vectors
+    placed = dealt.join(spread, ["dim", "route"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")))
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = placed.select("dim", "route", "salt", "block", "vec_id", "v")
 
@@ -196,7 +197,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, routes: int = ROUTES, gro
     bounded = keyed.mapInPandas(bounds, "vec_id long, v array<bigint>, dim int, query_key long, routes array<bigint>, lows array<double>, home long, reach double")
     bounded = written(bounded.withColumn("block", block.cast("int")))
     key, found = ["dim", "route", "salt", "block"], "query_id long, query_key long, vec_id long, score long"
-    spread = F.broadcast(groups)
 
     def search(some: DataFrame) -> DataFrame:
         to = some.join(spread, ["dim", "route"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
