@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.text import unix_lines
 from folio.plans.planner import java_pattern
 
 
@@ -39,7 +42,9 @@ def search(docs: DataFrame, pattern: str, key: str, text: str = "text", limit: i
     otherwise. Offsets are bytes. Documents without a match are dropped before they are split.
     """
     java = java_pattern(pattern, ignore_case)
-    rows = lines(docs.where(F.col(text).rlike(f"(?m){java}")), key, text)
+    # what a pattern may see beyond its line, or takes for the text's ends, can't be looked for in whole texts
+    whole = not re.search(r"\(\?<?[=!]|\\[AzZG]|\[\^", pattern)
+    rows = lines(docs.where(unix_lines(F.col(text)).rlike(f"(?m){java}")) if whole else docs, key, text)
     own = Window.partitionBy(key).orderBy("line_number")
     extra = []
     if context:

@@ -68,6 +68,9 @@ def test_search(spark):
     rows = [tuple(r) for r in search.search(df, "x", "file", limit=-1).orderBy("file", "line_number").collect()]
     assert rows == [("b.md", 1, "Über x", [(6, 7)], 1), ("b.md", 2, "x and X", [(0, 1)], 2), ("b.md", 4, "last x", [(5, 6)], 3), ("c.md", 1, "x", [(0, 1)], 1)]
     assert search.search(df, "x", "file", limit=2).count() == 2 and search.search(df, "X", "file").count() == 1 and search.search(df, "über", "file", ignore_case=True).count() == 1
+    edge = spark.createDataFrame([("e", "end\nnext a\rb")], "file string, text string")
+    for pattern, n in ((r"end(?!\s)", 1), (r"\Anext", 1), ("^next", 1), ("d$", 1), ("ab", 1), ("end.next", 0)):
+        assert search.search(edge, pattern, "file").count() == n, pattern
     got = search.search(df, "and", "file", context=True).first()
     assert (got.before, got.after, got.submatches) == ("Über x", "", [(2, 5)])
     assert [(r.line_number, r.absolute_offset) for r in search.offsets(df.where("file = 'b.md'"), "file").orderBy("line_number").collect()] == [(1, 0), (2, 8), (3, 16), (4, 17)]
