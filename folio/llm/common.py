@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
 _own: list[str] = []
 
 
@@ -29,11 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
+def written(df: DataFrame, texts: bool = False, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        # rows are whole texts: fewer of them are sent to a worker at once
+        spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS) if texts else before)
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -110,8 +110,10 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     """
     keep = keep or []
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("__source"), word_count(F.col("text").cast("string")).alias("size"), *keep)
-    own = written(own)
+    def sized(*more: str) -> DataFrame:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("__source"), word_count(F.col("text").cast("string")).alias("size"), *more)
+
+    own = written(sized())
     by_source = {r["__source"]: r["n"] for r in own.groupBy("__source").agg(F.sum("size").alias("n")).collect()}
     names = sorted((s for s in by_source if s is not None)) + [None] * (None in by_source)
     sizes = [by_source[s] for s in names]
@@ -120,9 +122,12 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     rows = [(s, i, n, t, max(1, ceil(n / per_shard))) for i, (s, n, t) in enumerate(zip(names, sizes, wanted, strict=True))]
     sources = spark.createDataFrame(rows, "__source string, __index int, source_size long, target double, __shards long")
     key = seeded(F.col("doc_id"), seed)
-    dealt = own.join(F.broadcast(sources) if len(rows) <= 10_000 else sources, own["__source"].eqNullSafe(sources["__source"])).drop(sources["__source"])
-    dealt = dealt.withColumns({"__key": key, "__shard": F.conv(F.substring(key, 1, 7), 16, 10).cast("long") % F.col("__shards")})
 
+    def deal(rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(sources) if len(names) <= 10_000 else sources, rows["__source"].eqNullSafe(sources["__source"])).drop(sources["__source"])
+        return out.withColumns({"__key": key, "__shard": F.conv(F.substring(key, 1, 7), 16, 10).cast("long") % F.col("__shards")})
+
+    dealt = deal(own)
     held = sorted((r["__index"], r["__shard"], r["n"]) for r in dealt.groupBy("__index", "__shard").agg(F.sum("size").alias("n")).collect())
     blocks = [ceil(n / block_words) for _, _, n in held]
     votes = [wanted[i] * n / sizes[i] if sizes[i] else 0.0 for i, _, n in held]
@@ -132,7 +137,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     shards = F.broadcast(shards) if len(plan) <= MOST_SHARDS * 2 else shards
 
     order = Window.partitionBy("__index", "__shard").orderBy("__key", "doc_id", "size")
-    spread = dealt.withColumn("__end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # what is kept of a row is carried from here on only, through one shuffle
+    spread = (deal(sized(*keep)) if keep else dealt).withColumn("__end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__words") - (F.col("__end") - F.col("size"))))
     out = spread.join(shards, ["__index", "__shard"]).withColumn("first", first)
     return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("first")).select("doc_id", "size", "source_size", "target", "whole", "first", "taken", *keep)

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, definition: str, end_id: int, window: int = WINDOW) ->
     the histogram of rests and one row for each range of documents. An empty table has no pieces.
     """
     spark = docs.sparkSession
-    tokens = written(tokenised(docs, definition, end_id, window), compression="zstd")
+    tokens = written(tokenised(docs, definition, end_id, window), texts=True, compression="zstd")
     rows = tokens.select("doc_id", "row", "n_tokens", "crcs", "rest_crc")
     part = rows.withColumns({"range": ranges(tokens.select("doc_id"), "doc_id"), "whole": F.size("crcs").cast("long"), "rest": F.col("n_tokens") % window})
     counted = written(part.groupBy("range", "rest").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")))

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def vocabulary(name: str) -> str:
