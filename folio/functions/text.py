@@ -59,7 +59,7 @@ def _accents() -> tuple[str, str]:
 
 def remove_accents(c: Column) -> Column:
     """Letters without their accents; letters that are no composites (ø, ß) stay."""
-    return F.translate(c, *_accents())
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_accents())).otherwise(c)
 
 
 def spaced_initials(c: Column) -> Column:
@@ -106,7 +106,8 @@ def file_size(c: Column) -> Column:
 
 def joined_hyphens(c: Column) -> Column:
     """Words that a line's end has split, joined again."""
-    return F.regexp_replace(c, r"(?U)(\w+)-\n(\w+)", "$1$2")
+    # a word is entered at its start only and never given back in part
+    return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"(?U)(?<!\w)(\w++)-\n(\w++)", "$1$2")).otherwise(c)
 
 
 def unix_lines(c: Column) -> Column:
