@@ -154,7 +154,9 @@ def first_words(text: Column, count: Column) -> Column:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs, whole as often as they are taken, and cut to the first words where blocks end.
 
-    Documents of which no word is taken go; n_chars, if there, follows the text.
+    Documents of which no word is taken go, and so do null, empty and blank ones; n_chars, if
+    there, follows the text. Other columns stay, whatever their names. An empty table gives an empty
+    result.
     """
     rows = mix(docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), keep=["__row"], **options).where("taken > 0")
     text = F.col("__row.text")

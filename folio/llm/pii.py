@@ -243,7 +243,10 @@ def logistic(rows: list[tuple[tuple[int, ...], int, float, float]], rounds: int
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from all candidates of all texts; the driver sees counts of vote patterns, at most 4 x 3^5 x 4 rows."""
+    """Learns from all candidates of all texts; the driver sees counts of vote patterns, at most 4 x 3^5 x 4 rows.
+
+    A kind without a candidate, as in an empty table, gets a weight of one for each vote.
+    """
     found = docs.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
     rows = found.select("c.kind", "c.votes.*").groupBy("kind", *LABELERS, "long").count().collect()
     bias, weights, lengths, reliability = [], [], [], []
@@ -266,7 +269,9 @@ def personal_data(docs: DataFrame, model: Model, least: float = 0.5, column: str
     """docs with an array column of spans: kind, start, end (code points, end exclusive), base; sorted by kind, then start.
 
     Candidates of fixed patterns always stay; others stay from `least` on. A null or empty text
-    has none. Rows and other columns stay as they are.
+    has none. Rows, repeated ones too, and other columns stay as they are; a column of the name
+    given is replaced. Spans of one kind never overlap; those of different kinds may. An empty
+    table gives an empty result.
     """
     kept = F.filter(candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda c: c["base"] | (model.score(c["kind"], c["votes"]) >= least))
     return docs.withColumn(column, F.array_sort(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))))
@@ -293,7 +298,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with personal data masked in their texts; n_chars, if there, follows the text."""
+    """docs with personal data masked in their texts; n_chars, if there, follows the text.
+
+    Null texts stay null, texts without personal data as they are; no row goes. An empty table
+    gives an empty result.
+    """
     rows = personal_data(docs, fit(docs), column="__spans")
     out = rows.withColumn("text", masked(F.col("text").cast("string"), F.col("__spans"))).drop("__spans")
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

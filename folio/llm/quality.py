@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 
     Held-out documents (crc32 of the doc_id as text, modulo 5, is 0) are never among them. Of a
     document's repeated labels the highest counts; null labels and null doc_ids are left out. At most
-    TRAIN_PASSAGES passages a document reach the driver.
+    TRAIN_PASSAGES passages a document reach the driver. Without labels every score is 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
@@ -170,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a column: the probability, from the whole text alone, that the document is good.
 
-    Null, empty and blank texts are one passage of zeros. Rows and other columns stay as they are.
+    Null, empty and blank texts are one passage of zeros; a long text has a passage for each 64
+    words. Rows, repeated ones too, and other columns stay as they are; a column of the name given is
+    replaced. An empty table gives an empty result.
     """
     def run(texts):
         import pandas as pd
