@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import json
 import tempfile
 import uuid
 
@@ -60,36 +60,27 @@ def ranges(df: DataFrame, key: str, rows: int = 4096) -> Column:
     n = df.count()
     parts = max(1, min(20_000, n // rows))
     if parts == 1:
-        return F.when(F.col(key) > (1 << 62), 0).otherwise(0)
+        return F.lit(0)
     at = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("at")).first()["at"] or []
     bounds = sorted(set(found))
     return between(F.col(key), bounds)
 
 
-def between(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most key: a balanced tree of comparisons, or a search in an array."""
+def longs(values: list[int]) -> Column:
+    """A constant array of long numbers, however many: one literal that the optimiser unfolds once."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def between(key: Column, bounds: list[int], step: int = 128) -> Column:
+    """How many of the sorted bounds are at most key: steps of bounds first, then the bounds of one step. 0 for null."""
     if not bounds:
         return F.lit(0)
-    if len(bounds) <= 64:
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(key >= bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-        return F.when(key.isNull(), 0).otherwise(tree(0, len(bounds)))
-    step = 64
-    firsts = bounds[::step]
-    at = between_array(key, firsts)
-    groups = F.array(*[F.array(*[F.lit(b) for b in g]) for g in itertools.batched(bounds, step)])
-    inner = F.size(F.filter(F.get(groups, at - 1), lambda b: b <= key))
+    at = F.size(F.filter(longs(bounds[::step]), lambda b: b <= key))
+    inner = F.size(F.filter(F.slice(longs(bounds), (at - 1) * step + 1, F.lit(step)), lambda b: b <= key))
     return F.when(key.isNull() | (at == 0), 0).otherwise((at - 1) * step + inner)
 
 
-def between_array(key: Column, bounds: list[int]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): node, component (the smallest node it reaches).
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ranges, table, written
+from folio.llm.common import longs, ranges, table, written
 from folio.llm.tokens import encoder, load, vocabulary
 
 WINDOW = 1024
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, definition: str, end_id: int, window: int = WINDOW) ->
     in_range = Window.partitionBy("range").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     alike = Window.partitionBy("range", "rest").orderBy("doc_id", "row")
     local = part.withColumns({
-        "first": F.coalesce(F.sum("whole").over(in_range), F.lit(0)) + F.get(F.lit(base or [0]).cast("array<bigint>"), F.col("range")),
+        "first": F.coalesce(F.sum("whole").over(in_range), F.lit(0)) + F.get(longs(base or [0]), F.col("range")),
         "place": F.row_number().over(alike).cast("long") - 1,
     })
     local = local.join(ranked, ["range", "rest"]).withColumn("rank", F.col("before") + F.col("place"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACE, ranges, table
+from folio.llm.common import SPACE, longs, ranges, table
 
 WORDS = 5
 #: Hashes with so many leading zero bits are kept: a fraction of 1/4.
@@ -81,8 +81,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str], ties: str, rows: in
     before = {r["__range"]: heads[i - 1]["__range"] for i, r in enumerate(heads)}
     size = heads[0]["__range"] + 1
     at = {r["__range"]: r["head"] for r in heads}
-    head_of = F.get(F.lit([at.get(i) if at.get(i) is not None else -(1 << 63) for i in range(size)]).cast("array<bigint>"), F.col("__range"))
-    to = F.get(F.lit([before.get(i, 0) for i in range(size)]).cast("array<int>"), F.col("__range"))
+    head_of = F.get(longs([at.get(i) if at.get(i) is not None else -(1 << 63) for i in range(size)]), F.col("__range"))
+    to = F.get(longs([before.get(i, 0) for i in range(size)]), F.col("__range")).cast("int")
     is_head = F.coalesce(F.col(key), F.lit(-(1 << 63))) == head_of
     own = F.struct(F.col("__range").alias("range"), F.lit(0).alias("late"))
     dealt = part.withColumn("__to", F.explode(F.when(is_head, F.array(own, F.struct(to.alias("range"), F.lit(1).alias("late")))).otherwise(F.array(own))))

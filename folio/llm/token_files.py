@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import shared_dir, table
+from folio.llm.common import longs, shared_dir, table
 from folio.llm.tokens import encoder, load, vocabulary
 
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
@@ -68,7 +68,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
         rows = rows.where(F.col("doc_id") >= first)
     if last is not None:
         rows = rows.where(F.col("doc_id") <= last)
-    base = F.get(F.lit(bases).cast("array<bigint>"), F.col("part")) if bases else F.lit(0).cast("long")
+    base = F.get(longs(bases), F.col("part")) if bases else F.lit(0).cast("long")
     return rows.select("doc_id", (F.col("start") + base).alias("start"), "n_tokens", "ids")
 
 

@@ -1,8 +1,10 @@
+import bisect
 import hashlib
 import random
 
 import pytest
 import xxhash
+from folio.llm.common import between
 from folio.llm.sketch import containment, likeness, merged, op2_scaled_sketch, shingle_sketch, whole_hash, with_next
 from pyspark.sql import functions as F
 
@@ -79,6 +81,16 @@ def test_next_crosses_ranges(spark):
     assert got == {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}
 
 
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000, 5000])
+def test_bounds_are_counted(spark, n):
+    rng = random.Random(n)
+    bounds = sorted(rng.sample(range(-10**6, 10**6), n))
+    keys = [rng.randrange(-10**6, 10**6) for _ in range(300)] + bounds[:50] + [-(10**7), 10**7, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r.n for r in df.select("k", between(F.col("k"), bounds).alias("n")).collect()}
+    assert got == {k: 0 if k is None else bisect.bisect_right(bounds, k) for k in keys}
+
+
 def test_containment_of_unequal_documents_and_merging(spark):
     words = [f"w{i}" for i in range(4000)]
     df = spark.createDataFrame([(" ".join(words[1000:1400]), " ".join(words), " ".join(words[:2002]), " ".join(words[1998:]))], "part string, whole string, head string, tail string")
