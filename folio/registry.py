@@ -586,20 +586,29 @@ def record_by_title(spark, sf_dir):
     return records.by_title(records.references(_message(spark, sf_dir)), "nation 3").select("n_nationkey", "similarity")
 
 
-@_add("import_port")
+_PORTED = ["type", "author", "doi", "file", "journal", "pages", "title", "volume", "year", "publisher", "url", "institution", "number", "mendeley_tags", "booktitle", "edition", "month", "address", "editor"]
+_MADE = {
+    "type": "'article'", "author": "'Müller, ' || ['J.', 'J. K.', 'Jane'][s_suppkey % 3 + 1] || ' and Doe, Bob'", "title": "'{' || s_name || '}'", "year": "CAST(1990 + s_nationkey AS VARCHAR)", "edition": "'Second'",
+}
+
+
+@_add("import_port", f"SELECT s_suppkey AS row_id, {', '.join(f'{_MADE.get(c, chr(39) * 2)} AS {c}' for c in _PORTED)}, CAST(10000 AS BIGINT) AS arc_citations, 'import' AS arc_source, 'Muller' || (1990 + s_nationkey) || {_SUFFIX_SQL.format(r='r')} AS tag FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier)")
 def import_port(spark, sf_dir):
     return ingest.ported(_entries(spark, sf_dir)).drop("extra")
 
 
-@_add("author_map")
+@_add("author_map", r"""SELECT * FROM (VALUES
+  ('M{\"u}ller, J', 'Müller, J', 'Müller, J', 'Müller, J', 'Müller, J', 'Müller, J.', false), ('M{\"u}ller, JK', 'Müller, JK', 'Müller, J K', 'Müller, J K', 'Müller, J K', 'Müller, J. K.', false),
+  ('M{\"u}ller, Jane', 'Müller, Jane', 'Müller, Jane', 'Müller, Jane', 'Müller, Jane', 'Müller, Jane', false), ('DOE, BOB', 'Doe, Bob', 'Doe, Bob', 'Doe, Bob', 'Doe, Bob', 'Doe, Bob', false))
+  AS t(original, unicoded, spaced, longest, accents, proposed, undecoded)""")
 def author_map(spark, sf_dir):
     return linkage.author_map(ingest.reference_rows(_entries(spark, sf_dir)))
 
 
-# Without SQL: held against plain Python in the tests
+# By UDF; those without SQL are held against plain Python in the tests
 
 
-@_add("tex_to_unicode")
+@_add("tex_to_unicode", "SELECT n_nationkey, 'été über naïve ß ça ' || n_name AS text, false AS undecoded FROM nation")
 def tex_to_unicode(spark, sf_dir):
     text = F.concat(F.lit("{\\'{e}}t\\'e \\\"{u}ber na{\\\"\\i}ve \\ss{} {\\c c}a "), F.col("n_name"))
     return read(spark, sf_dir, "nation").select("n_nationkey", udf.tex_to_unicode(text).alias("d")).select("n_nationkey", "d.*")
@@ -615,7 +624,7 @@ def similarity_ratio(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", udf.ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
-@_add("composed_text")
+@_add("composed_text", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def composed_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", udf.composed("text").alias("text"))
 
