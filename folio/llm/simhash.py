@@ -17,6 +17,8 @@ from folio.llm.common import components, table, written
 SEED = 42
 PIVOTS = 16
 KEPT = 3  # blocks of a key
+SMALL = 512  # rows of a cell that are compared together with other cells'
+HELD_ROWS = 1 << 16  # rows that are gathered before cells are looked into
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -134,10 +136,48 @@ class PivotTable:
                 found += [(order[x], order[y]) for y in near]
         return found
 
+    def pairs(self, cells: np.ndarray, prints: np.ndarray, left: np.ndarray, sketches: np.ndarray | None, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of rows in many cells at once; left: how many rows of its cell come after a row.
+
+        All rows are compared with the next of their cells, then with the next but one, and so on.
+        """
+        table, found = self.distances(prints), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        rows, lag = np.flatnonzero(left > 0), 1
+        while len(rows):
+            for at in range(0, len(rows), 1 << 16):
+                x = rows[at : at + (1 << 16)]
+                x = x[np.abs(table[x] - table[x + lag]).max(1) <= self.radius]
+                x = x[self.confirmed((cells[x] & 255).astype(np.int32), prints[x] ^ prints[x + lag])]
+                if sketches is not None and len(x):
+                    x = x[(sketches[x] == sketches[x + lag]).mean(1) >= least]
+                found.append((x, x + lag))
+            lag += 1
+            rows = rows[left[rows] >= lag]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     def confirmed(self, combo, differing: np.ndarray) -> np.ndarray:
         return (np.bitwise_count(differing) <= self.radius) & (self.first_combo(differing) == combo)
 
 
+def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Those of the pairs that join what the ones before them haven't."""
+    label: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := label.get(i, i)) != i:
+            label[i] = i = label.get(up, up)
+        return i
+
+    kept_a, kept_b = [], []
+    for x, y in zip(a, b, strict=True):
+        i, j = root(x), root(y)
+        if i != j:
+            label[i] = j
+            kept_a.append(x)
+            kept_b.append(y)
+    return kept_a, kept_b
+
+
 @lru_cache(maxsize=8)
 def pivot_table(radius: int) -> PivotTable:
     return PivotTable(radius)
@@ -162,19 +202,14 @@ def _search(radius: int, least: float | None):
         pivots = pivot_table(radius)
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(cells)])))
-        two = starts[sizes == 2]
-        differing = prints[two] ^ prints[two + 1]
-        near = np.abs(pivots.distances(prints[two]) - pivots.distances(prints[two + 1])).max(1, initial=0) <= radius
-        near &= pivots.confirmed((cells[two] & 255).astype(np.int32), differing)
-        two = two[near]
-        if sketches is not None and len(two):
-            two = two[(sketches[two] == sketches[two + 1]).mean(1) >= least]
-        a, b = two.tolist(), (two + 1).tolist()
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        left = np.repeat(starts + sizes - 1, sizes) - np.arange(len(cells))
+        x, y = pivots.pairs(cells, prints, np.where(np.repeat(sizes, sizes) <= SMALL, left, 0), sketches, least)
+        a, b = forest(x.tolist(), y.tolist())
+        for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             at = slice(start, start + size)
-            for x, y in pivots.linked(int(cells[start] & 255), prints[at], None if sketches is None else sketches[at], least):
-                a.append(start + int(x))
-                b.append(start + int(y))
+            for i, j in pivots.linked(int(cells[start] & 255), prints[at], None if sketches is None else sketches[at], least):
+                a.append(start + int(i))
+                b.append(start + int(j))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(cells[a]), pa.array(nodes[a]), pa.array(nodes[b])], ["cell", "a", "b"])
 
@@ -185,19 +220,22 @@ def _search(radius: int, least: float | None):
             marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SLOTS)
         return [cells.astype(np.int64), nodes.astype(np.int64), prints.astype(np.int64).view(np.uint64), marks]
 
+    def joined(parts: list[list]) -> list:
+        return [None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
+        parts: list[list] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = columns(batch)
-            held = new if held is None else [None if x is None else np.concatenate((x, y)) for x, y in zip(held, new, strict=True)]
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
-            if whole:
-                yield from links(*[None if x is None else x[:whole] for x in held])
-                held = [None if x is None else x[whole:] for x in held]
-        if held is not None:
-            yield from links(*held)
+            if batch.num_rows:
+                parts.append(columns(batch))
+            if sum(len(p[0]) for p in parts) >= HELD_ROWS:
+                held = joined(parts)
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
+                if whole:
+                    yield from links(*[None if x is None else x[:whole] for x in held])
+                parts = [[None if x is None else x[whole:] for x in held]]
+        if parts:
+            yield from links(*joined(parts))
     return run
 
 
@@ -237,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: f
     if not 0 <= radius <= 9:
         raise ValueError("radius must be from 0 to 9")
     keys = ["print"] if likeness is None else ["print", "sketch"]
-    prints = written(fingerprints(docs, size, likeness_words if likeness is not None else 0))
+    prints = written(fingerprints(docs, size, likeness_words if likeness is not None else 0), texts=True)
     nodes = prints.groupBy(*keys).agg(F.min("doc_id").alias("node"))
     if likeness is not None:
         nodes = written(nodes)
@@ -256,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: f
     return joined.select("doc_id", "print", "component_id")
 
 
-def deduplicated(docs: DataFrame, size: int = 3, radius: int = 6, likeness: float | None = 0.8, likeness_words: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float | None = 0.8, likeness_words: int = 5) -> DataFrame:
     """docs with one document of each near-duplicate group: that with the smallest doc_id.
 
     Of rows with one doc_id, the one with the least text stays. Rows without doc_id are held

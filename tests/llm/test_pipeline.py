@@ -55,7 +55,7 @@ def test_one_of_each_group_stays(steps):
         return d
 
     def linked(a, b):
-        if (prints[a] ^ prints[b]).bit_count() > 6:
+        if (prints[a] ^ prints[b]).bit_count() > 8:
             return False
         if prints[a] == prints[b] and marks[a].tobytes() == marks[b].tobytes():
             return True

@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import pyarrow as pa
 import xxhash
+from folio.llm import simhash as module
 from folio.llm.simhash import near_duplicates, op1_simhash_groups, pivot_table, simhash, sketch
 
 
@@ -79,6 +81,35 @@ def test_dense_groups_and_chains(spark):
     assert got == brute_components([(d, brute_print(t)) for d, t in docs], 3)
 
 
+@pytest.mark.parametrize("small", [2, 512])
+@pytest.mark.parametrize("radius", [3, 8])
+def test_crowded_cells_over_batches(monkeypatch, radius, small):
+    """Prints round a few centres, so that cells hold hundreds: the forest of all cells has the components of all pairs."""
+    monkeypatch.setattr(module, "SMALL", small)
+    monkeypatch.setattr(module, "HELD_ROWS", 1500)
+    rng = random.Random(radius)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    prints = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(120)})
+    nodes = np.arange(len(prints))
+    table = pivot_table(radius)
+    cells = table.cells(np.array(prints, np.uint64))
+    rows = sorted((int(c), int(n)) for n, own in zip(nodes, cells, strict=True) for c in own)
+    flat = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows]), pa.array([n for _, n in rows]), pa.array(np.array([prints[n] for _, n in rows], np.uint64).view(np.int64))], ["cell", "node", "print"])
+    edges = [e for out in module._search(radius, None)(flat.slice(i, 997) for i in range(0, len(rows), 997)) for e in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+    assert all((prints[a] ^ prints[b]).bit_count() <= radius for a, b in edges)
+    label = list(range(len(prints)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    assert {i: root(i) for i in range(len(label))} == brute_components(list(enumerate(prints)), radius)
+
+
 def test_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "One two", "y"), (5, "one  TWO", "y"), (6, "É one", "y"), (6, "É one", "y"), (None, "one two", "z"), (7, "w " * 30000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, print string")
