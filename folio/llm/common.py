@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For rows that are whole texts or documents' ids: fewer of them are sent to a worker at once."""
+    before = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def written(df: DataFrame, texts: bool = False, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    try:
-        # rows are whole texts: fewer of them are sent to a worker at once
-        spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS) if texts else before)
+    with small_batches(spark) if texts else nullcontext():
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import longs, shared_dir, table
+from folio.llm.common import longs, shared_dir, small_batches, table, written
 from folio.llm.tokens import encoder, load, vocabulary
 
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
@@ -25,7 +25,7 @@ FORMAT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where a column's dictionary grows too large
     "parquet.enable.dictionary": "true",
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(1 << 20),
     "parquet.page.row.count.limit": "2000",
 }
@@ -50,7 +50,8 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, by_wo
                 start += int(ends[-1])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**FORMAT).parquet(path)
+    with small_batches(docs.sparkSession):
+        own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -89,4 +90,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str, vocabulary_path: str | Non
     definition = load(vocabulary_path or vocabulary("word_bpe_49k.json"))
     path = f"{shared_dir(spark)}/folio-tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, definition, end_id)
-    return with_crc(read_tokens(spark, path))
+    return written(with_crc(read_tokens(spark, path)), texts=True)
