@@ -119,12 +119,12 @@ class Encoder:
             self.known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
 
     def _joined(self, found: list[str], memory: dict[str, bytes], learn: Callable[[list[str]], None]) -> bytes:
-        new = [p for p in set(found) if p not in memory]
+        new = set(found).difference(memory)
         if new:
             if len(memory) + len(new) > self.remembered:
                 memory.clear()
-                new = list(set(found))
-            learn(new)
+                new = set(found)
+            learn(list(new))
         return b"".join(map(memory.__getitem__, found))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:

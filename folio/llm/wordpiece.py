@@ -101,10 +101,10 @@ def count_pieces(docs: DataFrame, first: frozenset[str], later: frozenset[str])
             for text in batch.column(1).to_pylist():
                 # bytes.split knows ASCII white space only
                 parts = text.encode("utf-8", "surrogatepass").split() if text else []
-                new = [p for p in set(parts) if p not in known]
+                new = set(parts).difference(known)
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
-                    new = list(set(parts))
+                    new = set(parts)
                 for p in new:
                     known[p] = machine.count(p.decode("utf-8", "surrogatepass"))
                 words.append(len(parts))
