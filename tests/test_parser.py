@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from folio.plans.parser import parse
 from folio.types import Comparison, QueryError, QuerySpec
 
@@ -73,3 +75,27 @@ def test_top_that_is_no_whole_number_is_ten(text):
 def test_errors(text):
     with pytest.raises(QueryError):
         parse(text)
+
+
+_NAME = st.from_regex(r"[A-Za-z_][A-Za-z0-9_.\-]{0,8}", fullmatch=True).filter(lambda s: s.lower() not in {"top", "select", "where", "order", "sort", "recent", "verbose", "and"})
+_PATTERN = st.text(st.characters(codec="utf-8", exclude_characters="/\\"), max_size=12)
+_LITERAL = st.text(st.characters(codec="utf-8", exclude_characters='"\\'), max_size=12)
+
+
+@given(
+    st.integers(-100, 10**6), st.lists(_NAME, max_size=3), st.lists(_NAME, max_size=2), st.lists(st.tuples(_NAME, st.booleans()), max_size=3),
+    st.lists(st.tuples(st.none() | _NAME, _PATTERN), max_size=3), st.lists(st.builds(Comparison, _NAME, st.sampled_from(["==", "<=", "<", ">", ">="]), _LITERAL, st.just(True)), max_size=3), st.randoms(),
+)
+def test_written_queries_are_read_back(top, include, exclude, sort, regex, where, rng):
+    """Whatever the order of the clauses, the spec is the one that was written."""
+    clauses = [f"top {top}"]
+    if include or exclude:
+        clauses.append("select " + ", ".join([*include, *(f"-{c}" for c in exclude)]))
+    if sort:
+        clauses.append("order " + ",".join(c if up else f"- {c}" for c, up in sort))
+    if regex:
+        clauses.append(" and ".join(f"! /{p}/" if f is None else f"{f} ~ /{p}/" for f, p in regex))
+    if where:
+        clauses.append("WHERE " + " and ".join(f'{c.column} {c.op} "{c.literal}"' for c in where))
+    rng.shuffle(clauses)
+    assert parse(" ".join(clauses)) == spec(top, (), include, exclude, regex, where, sort)
