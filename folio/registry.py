@@ -275,7 +275,7 @@ _WORDS_SQL = "SELECT DISTINCT unnest(list_slice(string_split(regexp_replace(text
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split(F.regexp_replace("text", "[^A-Za-zÀ-ÖØ-öø-ÿ]+", " "), " ")
-    return read(spark, sf_dir, "documents").select(F.explode(F.slice(parts, 1, 40)).alias("name")).distinct()
+    return read(spark, sf_dir, "documents").select(F.explode(parts).alias("name")).distinct()
 
 
 @_add("accent_groups", f"WITH w AS ({_WORDS_SQL}) SELECT strip_accents(name) AS bare, max(name) AS accented, count(*) AS variants FROM w GROUP BY 1 HAVING count(*) > 1")
