@@ -367,7 +367,7 @@ def next_tag(spark, sf_dir):
 def nearest_lev(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     cut = F.expr("substr(p_name, 1, length(p_name) - 1 - p_partkey % 3)")
-    return linkage.nearest_strings(p.where("p_partkey <= 120").select(F.col("p_name").alias("missing")), p.where("p_partkey > 60 and p_partkey <= 700").select(cut.alias("known")))
+    return linkage.nearest_strings(p.select(F.col("p_name").alias("missing")), p.select(cut.alias("known")))
 
 
 @_add("author_lists", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Final' WHEN 'O' THEN 'Open' ELSE o_orderstatus END || ' and ' || o_orderpriority AS author FROM orders")
