@@ -23,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: close fingerprints and a likeness of 0.8 on five-word shingles."""
+    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 of five-word shingles."""
     return simhash.deduplicated(docs)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, table, written
+from folio.llm.common import components, small_batches, table, written
 
 SEED = 42
 PIVOTS = 16
@@ -294,18 +294,157 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: f
     return joined.select("doc_id", "print", "component_id")
 
 
-def deduplicated(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float | None = 0.8, likeness_words: int = 5) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the smallest doc_id.
+def _rows_with_shingles(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """row, doc_id, text_key, print, set_key, shingles: the sorted hashes of a text's distinct shingles of `words` words, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(3)]
+            prints = [simhash(shingle_hashes(t, size)) for t in texts]
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
+            keys = [xxhash.xxh3_128_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["row", "doc_id", "text_key", "print", "set_key", "shingles"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, text_key string, print long, set_key binary, shingles binary")
+
+
+def _text_key():
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _frequent(nodes: DataFrame, sample: int = 4096, most: int = 50_000) -> np.ndarray:
+    """Shingles that many texts of a bounded sample have, the most frequent last. They only order the search: no result depends on them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["token"])
+
+    some = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample)
+    counts = nodes.join(F.broadcast(some), "node", "left_semi").select("shingles").mapInArrow(run, "token long").groupBy("token").count()
+    found = counts.where("count >= 3").orderBy(F.desc("count"), "token").limit(most).collect()
+    return np.array([r.token for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _prefixes(least: float, frequent: np.ndarray):
+    """The shingles by which a set has to be looked up: two sets of the wanted similarity share one, whatever the order."""
+    order = np.argsort(frequent, kind="stable")
+    ordered = frequent[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, groups = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for node, group, x in zip(nodes.tolist(), groups.tolist(), batch.column(2), strict=True):
+                own = np.frombuffer(x.as_py(), np.uint64)
+                if not len(own):
+                    continue
+                rank = np.full(len(own), -1, np.int64)
+                if len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+                    rank = np.where(ordered[at] == own, order[at], -1)
+                own = own[np.argsort(rank, kind="stable")]
+                n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                head = own[:n].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(head), *(pa.array(np.full(len(head), v, t)) for v, t in ((node, np.int64), (group, np.int64), (len(own), np.int32))), pa.array(np.arange(len(head), dtype=np.int32))], ["token", "node", "known", "size", "place"])
+    return run
+
+
+def _candidates(least: float):
+    """Pairs of one shingle's rows that sizes and places leave possible and that aren't in one group yet; rows arrive by shingle and size."""
+    def pairs(token, node, known, size, place) -> Iterator[pa.RecordBatch]:
+        last = np.searchsorted(token, token, "right")
+        rows, lag, found, held = np.flatnonzero(np.arange(len(token)) + 1 < last), 1, [], 0
+
+        def out():
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+        while len(rows):
+            other = rows + lag
+            rows = rows[size[rows] >= least * size[other] - 1e-9]  # sizes only grow with the lag
+            other = rows + lag
+            overlap = np.minimum(size[rows] - place[rows], size[other] - place[other])
+            good = (known[rows] != known[other]) & (overlap >= least / (1 + least) * (size[rows] + size[other]) - 1e-9)
+            if good.any():
+                x, y = node[rows[good]], node[other[good]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                held += len(x)
+                if held > 1 << 20:
+                    yield out()
+                    found, held = [], 0
+            lag += 1
+            rows = rows[rows + lag < last[rows]]
+        if found:
+            yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                parts.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            if sum(len(p[0]) for p in parts) >= HELD_ROWS:
+                held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on
+                if whole:
+                    yield from pairs(*[x[:whole] for x in held])
+                parts = [[x[whole:] for x in held]]
+        if parts:
+            yield from pairs(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float = 0.8, likeness_words: int = 5) -> DataFrame:
+    """row, doc_id, text_key, component: rows are linked if the Jaccard similarity of their shingle sets is at least `likeness`.
 
-    Of rows with one doc_id, the one with the least text stays. Rows without doc_id are held
-    against each other only: one of each text stays.
+    Every such pair is in one component, and no other link is made. Equal sets are one node.
+    Links among close SimHash fingerprints come first, so that a crowd of copies is one group
+    at the cost of a spanning forest; pairs of different groups are then looked for by their sets'
+    prefixes, which loses none. All links are verified on the sets. Texts without words are alike.
     """
-    groups = near_duplicates(docs.where("doc_id is not null"), size, radius, likeness, likeness_words)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    order = Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text")
-    rows = rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
-    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    if not 0 < likeness <= 1:
+        raise ValueError("likeness must be above 0 and at most 1")
+    rows = written(_rows_with_shingles(docs, size, likeness_words), texts=True)
+    spark = docs.sparkSession
+    firsts = written(rows.groupBy("set_key").agg(F.min("row").alias("node")))
+    sets = written(rows.join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "print", "shingles"), texts=True)
+    with small_batches(spark):
+        cells = sets.select("node", "print").mapInArrow(_spread(radius), "cell long, node long, print long")
+        close = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(radius, None), "cell long, a long, b long")
+        seeds = written(_alike(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, likeness), texts=True)
+        known = components(seeds).select("node", F.col("component").alias("known"))
+        grouped = sets.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "shingles")
+        entries = grouped.mapInArrow(_prefixes(likeness, _frequent(sets)), "token long, node long, known long, size int, place int")
+        entries = entries.repartition("token").sortWithinPartitions("token", "size")
+        pairs = written(entries.mapInArrow(_candidates(likeness), "a long, b long").distinct())
+        links = written(_alike(pairs, sets, likeness), texts=True)
+    found = components(seeds.union(links))
+    named = firsts.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    return rows.select("row", "doc_id", "text_key", "set_key").join(named, "set_key").drop("set_key")
+
+
+def deduplicated(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float = 0.8, likeness_words: int = 5) -> DataFrame:
+    """docs with one row of each near-duplicate group of texts: that with the smallest doc_id, null last, whatever ids repeat."""
+    groups = similar_groups(docs, size, radius, likeness, likeness_words)
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("__kept"), F.col("best.text_key").alias("__kept_key"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _text_key()})
+    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
+    order = Window.partitionBy("__id", "__key").orderBy("text")
+    return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", "__id", "__key")
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
