@@ -121,8 +121,8 @@ def _library(spark: SparkSession, sf_dir: str) -> library.Library:
     o, p, b = (read(spark, sf_dir, n) for n in ("orders", "part", "lineitem"))
     ref = o.select(F.col("o_orderkey").alias("tag"), F.concat_ws(" and ", "o_orderpriority", "o_orderstatus").alias("author"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("journal"), F.year("o_orderdate").cast("string").alias("year"))
     doc = p.select(F.col("p_partkey").alias("path"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("mod"), F.col("p_brand").alias("create"), F.col("p_type").alias("tpath"))
-    # every fifth order has no link, and a few links go to parts that aren't there
-    bridge = b.where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("tag"), F.when(F.col("l_partkey") % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("path"))
+    # every fifth order has no link, its links go to orders that aren't there; and a few links go to parts that aren't there
+    bridge = b.select(F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("tag"), F.when(F.col("l_partkey") % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("path"))
     return library.Library(ref, doc, bridge)
 
 
