@@ -44,3 +44,12 @@ def test_every_pair_by_true_similarity(spark, seed):
     assert 60 < len(set(want)) < len(texts)
     got = deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+def test_rows_with_repeated_and_null_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x), (1, y), (2, y), (None, z), (None, z + " end"), (None, x + " end"), (3, None), (1, x)]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted((r.text or "")[:1] for r in got)
+    assert texts == ["", "x", "y", "z"]
+    assert {(r.doc_id, (r.text or "")[:1]) for r in got} == {(1, "x"), (1, "y"), (None, "z"), (3, "")}
