@@ -198,7 +198,8 @@ def text_path(path: Column, text_dir: str, extractor: str) -> Column:
 
 def moment(nanoseconds: Column) -> Column:
     """Nanoseconds since 1970 as a timestamp of microseconds."""
-    return F.timestamp_micros((nanoseconds / 1000).cast("long"))
+    ns = nanoseconds.cast("long")
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
 
 
 def starts_with_match(c: Column, pattern: str) -> Column:

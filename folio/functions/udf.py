@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +40,16 @@ def tex_decoded(text: str | None) -> tuple[str | None, bool]:
     return out, bool(_LEFT.search(out))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("undecoded", T.BooleanType())]))
-def tex_to_unicode(texts: pd.Series) -> pd.DataFrame:
-    pairs = [tex_decoded(t) for t in texts]
-    return pd.DataFrame({"text": [p[0] for p in pairs], "undecoded": [p[1] for p in pairs]})
+def tex_to_unicode(text: Column, by_hand: dict[str, str] | None = None) -> Column:
+    """A struct of the decoded text and `undecoded`: whether commands are left. by_hand: texts with what stands for them."""
+    told = by_hand or {}
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("undecoded", T.BooleanType())]))
+    def decode(texts: pd.Series) -> pd.DataFrame:
+        pairs = [(told[t], False) if t in told else tex_decoded(t) for t in texts]
+        return pd.DataFrame({"text": [p[0] for p in pairs], "undecoded": [p[1] for p in pairs]})
+
+    return decode(text)
 
 
 @F.pandas_udf(T.StringType())

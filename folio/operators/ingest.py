@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import citations, edition, integer_text
 from folio.functions.udf import tex_to_unicode
-from folio.operators.linkage import allocate_tags, author_map, mapped_authors, tag_base
+from folio.operators.library import with_unique
+from folio.operators.linkage import allocate_tags, author_map, file_fields, linked_files, mapped_authors, tag_base
 from folio.types import REF_COLUMNS
 
 # Fields that an import leaves out, and text fields whose TeX is decoded.
@@ -31,17 +34,51 @@ def reference_rows(entries: DataFrame, source: str = "import") -> DataFrame:
     )
 
 
-def decoded(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """rows with TeX in text columns decoded."""
-    return rows.withColumns({c: tex_to_unicode(F.col(c))["text"] for c in columns if c in rows.columns})
+def decoded(rows: DataFrame, columns: tuple[str, ...], by_hand: dict[str, str] | None = None) -> DataFrame:
+    """rows with TeX in text columns decoded; by_hand has texts that the decoder fails on, and what they become."""
+    return rows.withColumns({c: tex_to_unicode(F.col(c), by_hand)["text"] for c in columns if c in rows.columns})
+
+
+def _decoded_columns() -> tuple[str, ...]:
+    return tuple(c.replace("-", "_") for c in DECODED)
+
+
+def undecoded(rows: DataFrame, by_hand: dict[str, str] | None = None) -> DataFrame:
+    """field, miscode: the distinct texts of decoded columns in which TeX commands stay."""
+    known = list(by_hand or {})
+    texts = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("miscode")) for c in _decoded_columns()])).alias("t")).select("t.*").distinct()
+    return texts.where(~F.col("miscode").isin(known) & tex_to_unicode(F.col("miscode"))["undecoded"])
 
 
-def ported(entries: DataFrame, source: str = "import") -> DataFrame:
-    """The whole import: canonical authors, decoded texts, citations, editions and unique tags."""
+def ported(entries: DataFrame, source: str = "import", by_hand: dict[str, str] | None = None) -> DataFrame:
+    """The whole import: canonical authors, decoded texts, citations, editions and unique tags; a job fails if a tag comes twice."""
     rows = reference_rows(entries, source)
-    rows = mapped_authors(rows, author_map(rows), "row_id")
-    rows = decoded(rows, tuple(c.replace("-", "_") for c in DECODED)).withColumn("edition", edition(F.col("edition")))
-    return allocate_tags(rows.withColumn("__base", tag_base(F.col("author"), F.col("editor"), integer_text(F.col("year")))).drop("tag"), "__base", "row_id").drop("__base")
+    rows = mapped_authors(rows, author_map(rows, by_hand=by_hand), "row_id")
+    rows = decoded(rows, _decoded_columns(), by_hand).withColumn("edition", edition(F.col("edition")))
+    return with_unique(allocate_tags(rows.withColumn("__base", tag_base(F.col("author"), F.col("editor"), integer_text(F.col("year")))).drop("tag"), "__base", "row_id").drop("__base"))
+
+
+@dataclass(frozen=True)
+class Import:
+    """An import with what it changed: references, old and new tags, authors' names, texts that TeX is left in, its size, and links to files."""
+
+    refs: DataFrame
+    tags: DataFrame
+    authors: DataFrame
+    miscodes: DataFrame
+    info: DataFrame
+    links: DataFrame
+    unread: DataFrame
+
+
+def imported(entries: DataFrame, docs: DataFrame | None = None, source: str = "import", by_hand: dict[str, str] | None = None) -> Import:
+    """ported() with its audits. links: (tag, path) of the files named, or of the nearest ones among docs, if given."""
+    rows, refs = reference_rows(entries, source), ported(entries, source, by_hand)
+    tags = rows.select("row_id", F.col("tag").alias("original")).join(refs.select("row_id", "tag", "author", "editor", "year", "title"), "row_id")
+    named, unread = file_fields(refs)
+    links = named.select("tag", F.col("vfile").alias("path")) if docs is None else linked_files(named, docs)
+    info = entries.agg(F.count("*").alias("raw_entries"), F.count_if(F.col("type").isNull()).alias("unreadable")).withColumn("source", F.lit(source))
+    return Import(refs, tags, author_map(rows, by_hand=by_hand), undecoded(rows, by_hand), info, links, unread)
 
 
 def numbered(docs: DataFrame, create: str = "create", rows: int = 100_000) -> DataFrame:

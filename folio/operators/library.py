@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ def database(ref: DataFrame, doc: DataFrame, bridge: DataFrame, authors: str = "
     """One row for each reference, author and document: bridge, reference and document columns.
 
     References without documents stay with null document columns; documents without references
-    go. With with_doc off, the document table isn't read: its key is unique, so no row depends on it.
+    go. With with_doc off, the document table isn't read: right only where its paths are unique, as
+    no row depends on it then.
     """
     rows = ref.withColumn(authors, F.explode_outer(split_authors(F.col(authors), by))).join(bridge, "tag", "left")
     names = [*bridge.columns, *[c for c in ref.columns if c not in bridge.columns]]
@@ -38,6 +39,17 @@ def without_match(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(right.select(on).distinct(), on, "left_anti")
 
 
+def lacking(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose field is null or ''."""
+    return rows.where(F.coalesce(F.col(column).cast("string"), F.lit("")) == "")
+
+
+def sampled(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """About a share of the rows, chosen by a hash of the seed and the key: the same ones whenever it is asked, however rows are spread."""
+    place = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))), F.lit(8)), 16, 10).cast("long")
+    return rows.where(place < int(share * (1 << 32)))
+
+
 def with_match(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows of left whose key right has, each once."""
     return left.join(right.select(on), on, "left_semi")
@@ -57,6 +69,19 @@ def paths_to_open(rows: DataFrame, bridge: DataFrame, pattern: str) -> DataFrame
     return bridge.join(tags, "tag", "left_semi").select("path").where("path is not null").distinct()
 
 
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has, with their counts; a null key counts like any other."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def with_unique(rows: DataFrame, key: str = "tag") -> DataFrame:
+    """rows; a job over them fails, naming the key, if a key comes twice. Null keys fail too."""
+    seen = rows.groupBy(key).agg(F.count("*").alias("__n")).withColumnRenamed(key, "__key")
+    told = F.concat(F.lit(f"{key} is not unique: "), F.coalesce(F.col("__key").cast("string"), F.lit("null")))
+    good = seen.where(F.when((F.col("__n") > 1) | F.col("__key").isNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+    return rows.join(good.select("__key"), rows[key].eqNullSafe(good["__key"]), "left_semi")
+
+
 def without_file(ref: DataFrame, base_cols: list[str], file: str = "file") -> DataFrame:
     return ref.where(F.col(file) == "").select(*base_cols)
 
@@ -68,16 +93,24 @@ def merged_libraries(a: DataFrame, b: DataFrame, key: str = "tag") -> DataFrame:
 
 @dataclass(frozen=True)
 class Library:
-    """References, documents and the bridge, with their query tables."""
+    """References, documents and the bridge, with their query tables.
+
+    unique_paths says that no path has two documents; queries leave out the document table only then.
+    """
 
     ref: DataFrame
     doc: DataFrame
     bridge: DataFrame
+    unique_paths: bool = False
 
     @classmethod
     def load(cls, spark: SparkSession, directory: str, pdf_dir: str = "") -> Library:
         ref, doc, bridge = (spark.read.parquet(f"{directory}/{n}") for n in ("ref", "doc", "ref_doc"))
-        return cls(ref, doc.withColumn("tpath", relative_parent(F.col("path"), pdf_dir)), bridge)
+        return cls(ref, doc.withColumn("tpath", relative_parent(F.col("path"), pdf_dir)), bridge).checked()
+
+    def checked(self) -> Library:
+        """The same library, its paths looked at: a job over one column."""
+        return replace(self, unique_paths=repeated(self.doc, "path").isEmpty())
 
     def save(self, directory: str) -> None:
         for name, df in (("ref", self.ref), ("doc", self.doc.drop("tpath")), ("ref_doc", self.bridge)):
@@ -96,7 +129,7 @@ class Library:
         raise ValueError(f"no table {name!r}")
 
     def query(self, text: str, table: str = "database", drop_empty: bool = False) -> QueryResult:
-        """Runs a query; the document table is joined only if the query names one of its columns."""
+        """Runs a query; where paths are unique, the document table is joined only if the query names one of its columns."""
         spec = parse(text)
         if table != "database":
             return plan(self.table(table), spec, drop_empty)
@@ -104,5 +137,5 @@ class Library:
         own = set(self.doc.columns) - set(self.bridge.columns) - set(self.ref.columns)
         named = {*spec.include, *(n for n, _ in spec.sort), *(n for n, _ in spec.regex if n), *(c.column.split(".dt.")[0] for c in spec.where)}
         used = {resolve(whole.df, n) for n in named} | ({"create"} if "create" not in {resolve(whole.df, n) for n in spec.exclude} else set())
-        needs = "*" in spec.include or "recent" in spec.flags or bool(used & own)
+        needs = not self.unique_paths or "*" in spec.include or "recent" in spec.flags or bool(used & own)
         return plan(whole if needs else self.table("database", with_doc=False), spec, drop_empty)

@@ -25,31 +25,30 @@ def extensions(keys: DataFrame, queries: DataFrame | None = None, column: str =
 def completions(keys: DataFrame, queries: DataFrame | None = None, column: str = "name") -> DataFrame:
     """query, longest: the longest key K that a query leads to without a choice; the query itself if no key extends it.
 
-    That is: every key that extends the query is a prefix of K or extends K. For keys under one
-    query, the prefixes of K and the extensions of K are counted against all extensions of the
-    query, so no group is gathered and no names are compared in pairs.
+    That is: every key that extends the query is a prefix of K or extends K. Each key's prefixes
+    are rows with the number of keys below them; a prefix leads to K if the keys between the two
+    and those below K are all that are below the prefix. So rows grow with the keys' characters
+    only: no group is gathered, and neither queries nor keys are listed in pairs.
     """
     own = keys.select(F.col(column).alias("name")).where("name is not null").distinct()
     asked = (queries if queries is not None else keys).select(F.col(column).alias("query")).where("query is not null").distinct()
-    inner = extensions(own, None, "name").select(F.col("query").alias("short"), "name")
-    below = inner.groupBy(F.col("short").alias("name")).agg(F.count("*").alias("below"))  # keys that extend it, itself included
-    above = inner.groupBy("name").agg(F.count("*").alias("depth"))  # keys it extends, itself included
-    measured = below.join(above, "name")
-    pairs = extensions(own, asked.withColumnRenamed("query", "name"), "name")
-    under = pairs.groupBy("query").agg(F.count("*").alias("all"))
-    # keys shorter than the query count in no depth below it
-    shorter = asked.select("query", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("query")), lambda i: F.substring("query", F.lit(1), i))).alias("name")).where("name <> '' and name <> query")
-    before = shorter.join(own, "name", "left_semi").groupBy("query").agg(F.count("*").alias("before"))
-    found = pairs.join(measured, "name").join(under, "query").join(before, "query", "left")
-    good = found.where(F.col("depth") - F.coalesce("before", F.lit(0)) - 1 + F.col("below") == F.col("all"))
-    best = good.groupBy("query").agg(F.max(F.struct(F.char_length("name").alias("n"), "name")).alias("best"))
+    cuts = own.where("name <> ''").select("name", F.posexplode(F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.substring("name", F.lit(1), i))).alias("at", "prefix"))
+    below = cuts.groupBy("prefix").agg(F.count("*").alias("below"), F.max(F.col("name") == F.col("prefix")).alias("key"))
+    # of a key's own prefixes: how many keys there are from each of them down to the key
+    chain = Window.partitionBy("name").orderBy(F.desc("at"))
+    found = cuts.join(below, "prefix").withColumns({
+        "between": F.count_if("key").over(chain) - 1,
+        "under": F.first("below").over(chain),
+    })
+    good = found.where("between + under = below")
+    best = good.groupBy(F.col("prefix").alias("query")).agg(F.max(F.struct(F.char_length("name").alias("n"), "name")).alias("best"))
     return asked.join(best, "query", "left").select("query", F.coalesce("best.name", "query").alias("longest"))
 
 
-def author_map(refs: DataFrame, column: str = "author") -> DataFrame:
+def author_map(refs: DataFrame, column: str = "author", by_hand: dict[str, str] | None = None) -> DataFrame:
     """original, unicoded, spaced, longest, accents, proposed, undecoded: each author's name and its way to a canonical form."""
     names = distinct_authors(refs, column).select(F.col(column).alias("original"))
-    decoded = names.withColumn("__d", tex_to_unicode("original")).withColumn("unicoded", without_dots(F.col("__d.text")))
+    decoded = names.withColumn("__d", tex_to_unicode(F.col("original"), by_hand)).withColumn("unicoded", without_dots(F.col("__d.text")))
     spaced = decoded.select("original", "unicoded", spaced_initials(F.col("unicoded")).alias("spaced"), F.col("__d.undecoded").alias("undecoded"))
     longest = completions(spaced.select(F.col("spaced").alias("name")))
     joined = spaced.join(longest, F.col("spaced") == F.col("query")).drop("query")
@@ -82,9 +81,13 @@ def surname(c: Column) -> Column:
 
 
 def tag_base(author: Column, editor: Column, year: Column) -> Column:
-    """Surname and year of the first author, or else of the first editor, or else NOTAG."""
+    """Surname and year of the first author, or else of the first editor, or else NOTAG; YYYY where no year of four digits ends it.
+
+    Name and year are taken as they are, so a name without a year keeps all its letters.
+    """
     a, e, y = surname(author), surname(editor), F.coalesce(year.cast("string"), F.lit(""))
-    return F.when(a != "", F.concat(a, y)).when(e != "", F.concat(e, y)).otherwise("NOTAG")
+    stem = F.when(a != "", F.concat(a, y)).when(e != "", F.concat(e, y)).otherwise("NOTAG")
+    return F.when(stem.rlike("[0-9]{4}$"), stem).otherwise(F.concat(stem, F.lit("YYYY")))
 
 
 def _suffix(rank: Column) -> Column:
@@ -102,32 +105,59 @@ def _bases(tags: DataFrame, column: str) -> DataFrame:
     return tags.select(t, F.explode(endings).alias("suffix")).select(F.left(t, F.char_length(t) - F.char_length("suffix")).alias("base"), "suffix").distinct()
 
 
-def allocate_tags(rows: DataFrame, base: str, order: str, existing: DataFrame | None = None, name: str = "tag") -> DataFrame:
+def _slot(suffix: Column) -> Column:
+    """The place of a suffix among all suffixes, from 0."""
+    return F.coalesce(suffix.try_cast("bigint"), F.array_position(F.array(*map(F.lit, SUFFIXES)), suffix) - 1)
+
+
+def ranks(rows: DataFrame, group: str, order: str, name: str, per_range: int = 200_000) -> DataFrame:
+    """rows with their place in their group, from 0, by a numeric column.
+
+    Rows are numbered within a group's part in each range of the order (approximate quantiles of all
+    rows), and the sizes of a group's earlier parts are added: a group may hold any share of the
+    rows without its rows meeting in one task. Small tables are one range. An order that isn't
+    numeric is one range too.
+    """
+    own = Window.partitionBy(group)
+    if dict(rows.dtypes)[order] not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return rows.withColumn(name, F.row_number().over(own.orderBy(order)).cast("long") - 1)
+    parts = min(2000, rows.count() // per_range)
+    if parts <= 1:
+        return rows.withColumn(name, F.row_number().over(own.orderBy(order)).cast("long") - 1)
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []))
+    at = F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))))
+    ranged = rows.withColumn("__range", at)
+    sizes = ranged.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__at")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__group", "__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inner = ranged.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__range").orderBy(order)) - 1)
+    joined = inner.join(before, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__at")))
+    return joined.withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__group", "__at", "__before", "__place")
+
+
+def allocate_tags(rows: DataFrame, base: str, order: str, existing: DataFrame | None = None, name: str = "tag", per_range: int = 200_000) -> DataFrame:
     """rows with a unique tag each: the base, then the base with the next free suffix, in the given order.
 
-    Suffixes that existing tags (column `tag`) have taken are stepped over: each row's rank counts
-    free suffixes only, whatever the number of rows or of tags.
+    Suffixes that existing tags (column `tag`) have taken are stepped over. The j-th taken slot of
+    a base, less j, is the number of free slots before it; merged in that order with the rows'
+    ranks, taken first, each row's place in its base is the slot it gets. No slots are listed, and
+    a base may have any number of rows.
     """
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1)
+    ranked = ranks(rows, base, order, "__rank", per_range)
     if existing is None:
         return ranked.withColumn(name, F.concat(F.col(base), _suffix(F.col("__rank")))).drop("__rank")
-    needed = ranked.groupBy(base).agg(F.max("__rank").alias("most"))
-    # a base never needs more slots than it has rows and taken tags
-    known = existing.select(F.col("tag").alias("__t")).distinct()
-    used = _bases(known, "__t").groupBy(F.col("base").alias("__b")).agg(F.count("*").alias("used"))
-    taken = needed.join(used, F.col(base) == F.col("__b"), "left").select(base, "most", F.coalesce("used", F.lit(0)).alias("used"))
-    slots = taken.select(base, F.explode(F.sequence(F.lit(0), (F.col("most") + F.col("used")).cast("int"))).alias("slot"))
-    slots = slots.withColumn("__tag", F.concat(F.col(base), _suffix(F.col("slot"))))
-    free = slots.join(known, F.col("__tag") == F.col("__t"), "left_anti")
-    free = free.withColumn("__rank", F.row_number().over(Window.partitionBy(base).orderBy("slot")) - 1).select(F.col(base).alias("__base"), "__rank", F.col("__tag").alias("__new"))
-    return ranked.join(free, (ranked[base] == free["__base"]) & (ranked["__rank"] == free["__rank"])).drop(ranked["__rank"]).drop(free["__rank"]).drop("__base").withColumnRenamed("__new", name)
+    wanted = rows.select(F.col(base).alias("__b")).distinct()
+    taken = _bases(existing.select("tag").where("tag is not null").distinct(), "tag").select(F.col("base").alias("__b"), _slot(F.col("suffix")).alias("slot")).join(wanted, "__b", "left_semi")
+    taken = ranks(taken, "__b", "slot", "__j", per_range).select("__b", ((F.col("slot") - F.col("__j")) * 2).alias("__pos"))
+    own = ranked.select(F.col(base).alias("__b"), (F.col("__rank") * 2 + 1).alias("__pos"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    placed = ranks(own.unionByName(taken, allowMissingColumns=True), "__b", "__pos", "__slot", per_range).where("__row is not null")
+    return placed.select("__row.*", F.concat(F.col("__b"), _suffix(F.col("__slot"))).alias(name))
 
 
 def next_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
     """base, next_tag for each base: itself if it is free, or else the first suffix after the last one in use."""
     own = wanted.select("base").distinct()
-    at = F.coalesce(F.col("suffix").try_cast("int"), F.array_position(F.array(*map(F.lit, SUFFIXES)), F.col("suffix")).cast("int") - 1)
-    used = _bases(tags, "tag").withColumn("at", at).groupBy("base").agg(F.max("at").alias("at"))
+    used = _bases(tags, "tag").withColumn("at", _slot(F.col("suffix"))).groupBy("base").agg(F.max("at").alias("at"))
     return own.join(used, "base", "left").select("base", F.concat("base", F.when(F.col("at").isNull(), F.lit("")).otherwise(_suffix(F.col("at") + 1))).alias("next_tag"))
 
 

@@ -35,6 +35,10 @@ def submatches(line: Column, pattern: str) -> Column:
     return F.get(F.transform(F.array(parts), build), F.lit(0))
 
 
+#: What can't reach over a line's end, greedy: characters, escaped signs, digits, words and borders, classes of listed characters, groups.
+_INSIDE = re.compile(r"(?:[^\\\[\](){}^$*+?\n\r]|\\[dwb]|\\[^A-Za-z0-9\s]|\[[^\^\\\[\]\n\r&][^\\\[\]\n\r&]*\]|\((?:\?:)?|\)|[\^$]|(?<=[^|(])(?:[*+?]|\{\d+(?:,\d*)?\})(?![*+?{]))*")
+
+
 def search(docs: DataFrame, pattern: str, key: str, text: str = "text", limit: int = 10, ignore_case: bool = False, context: bool = False) -> DataFrame:
     """key, line_number, line, submatches, ordinal (of the match in its document); with context, the lines before and after.
 
@@ -43,7 +47,7 @@ def search(docs: DataFrame, pattern: str, key: str, text: str = "text", limit: i
     """
     java = java_pattern(pattern, ignore_case)
     # what a pattern may see beyond its line, or takes for the text's ends, can't be looked for in whole texts
-    whole = not re.search(r"\(\?<?[=!]|\\[AzZG]|\[\^", pattern)
+    whole = bool(_INSIDE.fullmatch(pattern))
     rows = lines(docs.where(unix_lines(F.col(text)).rlike(f"(?m){java}")) if whole else docs, key, text)
     own = Window.partitionBy(key).orderBy("line_number")
     extra = []

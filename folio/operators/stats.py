@@ -96,7 +96,7 @@ def row_means(df: DataFrame, column: str, by: str = "-", name: str = "mean") ->
 
 
 def merge_audit(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """For each key, each field's first value that isn't null and whether all its values agree."""
+    """For each key, each field's least value that isn't null (rows have no order) and whether all its values agree."""
     out = []
     for c in fields:
         out += [F.min(c).alias(c), (F.count_distinct(c) <= 1).alias(f"{c}_same")]

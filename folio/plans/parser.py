@@ -1,6 +1,6 @@
 """Query text to a QuerySpec: a scanner and a recursive-descent parser, without dependencies.
 
-    top 10 recent select *, -abstract author ~ /Wang, R/ and journal ~ Annals where year >= 2020 order -year, author
+    select price, -weight kind ~ /plated|polished/ and name ~ steel where size >= 40 order -price, name top 25
 
 Clauses come in any order and may repeat; keywords are case-insensitive.
 """

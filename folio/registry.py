@@ -90,7 +90,7 @@ def qx_total(spark, sf_dir):
     return query(_table(spark, sf_dir, "documents"), "top 3 where lang == de").unrestricted.agg(F.count("*").alias("total"))
 
 
-@_add("qx_title_braces", "SELECT p_partkey, p_name AS title FROM part WHERE p_partkey % 2 = 0")
+@_add("qx_title_braces", "SELECT p_partkey, p_name AS title FROM part")
 def qx_title_braces(spark, sf_dir):
     named = F.concat(F.lit("{"), F.left("p_name", F.lit(3)), F.lit("}{{"), F.substring("p_name", 4, 999), F.lit("}}"))
     df = read(spark, sf_dir, "part").withColumn("title", named)
@@ -123,13 +123,13 @@ def _library(spark: SparkSession, sf_dir: str) -> library.Library:
     doc = p.select(F.col("p_partkey").alias("path"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("mod"), F.col("p_brand").alias("create"), F.col("p_type").alias("tpath"))
     # every fifth order has no link, its links go to orders that aren't there; and a few links go to parts that aren't there
     bridge = b.select(F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("tag"), F.when(F.col("l_partkey") % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("path"))
-    return library.Library(ref, doc, bridge)
+    return library.Library(ref, doc, bridge, unique_paths=True)  # parts have a primary key
 
 
 _LIBRARY_SQL = """
 WITH ref AS (SELECT o_orderkey AS tag, concat_ws(' and ', o_orderpriority, o_orderstatus) AS author, o_orderpriority AS title, o_orderstatus AS journal, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders),
 doc AS (SELECT p_partkey AS path, p_name AS name, CAST(p_size AS BIGINT) AS size, p_retailprice AS mod, p_brand AS "create", p_type AS tpath FROM part),
-bridge AS (SELECT l_orderkey AS tag, CASE WHEN l_partkey % 40 = 0 THEN -l_partkey ELSE l_partkey END AS path FROM lineitem WHERE l_orderkey % 5 <> 0),
+bridge AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS tag, CASE WHEN l_partkey % 40 = 0 THEN -l_partkey ELSE l_partkey END AS path FROM lineitem),
 one AS (SELECT tag, unnest(string_split(author, ' and ')) AS author, title, journal, year FROM ref),
 db AS (SELECT o.tag, b.path, o.author, o.title, o.journal, o.year, d.name, coalesce(d.size, 0) AS size, d.mod, d."create", d.tpath FROM one o LEFT JOIN bridge b ON o.tag = b.tag LEFT JOIN doc d ON b.path = d.path)
 """
@@ -270,7 +270,7 @@ def dup_hash(spark, sf_dir):
     return stats.duplicate_content(read(spark, sf_dir, "documents").select(F.md5("text").alias("hash")))
 
 
-_WORDS_SQL = "SELECT DISTINCT unnest(list_slice(string_split(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]+', ' ', 'g'), ' '), 1, 40)) AS name FROM documents"
+_WORDS_SQL = "SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]+', ' ', 'g'), ' ')) AS name FROM documents"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +363,7 @@ def next_tag(spark, sf_dir):
     return linkage.next_tags(rows, rows.where("c_custkey % 2 = 0").select(F.concat("base", ending).alias("tag")))
 
 
-@_add("nearest_lev", "WITH m AS (SELECT DISTINCT p_name AS missing FROM part WHERE p_partkey <= 120), k AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1 - p_partkey % 3) AS known FROM part WHERE p_partkey > 60 AND p_partkey <= 700), x AS (SELECT missing, known, levenshtein(missing, known) AS d FROM m, k WHERE missing NOT IN (SELECT known FROM k)), b AS (SELECT missing, min(d) AS d FROM x GROUP BY missing) SELECT missing, min(known) AS match, CAST(any_value(d) AS INTEGER) AS distance FROM x JOIN b USING (missing, d) GROUP BY missing")
+@_add("nearest_lev", "WITH m AS (SELECT DISTINCT p_name AS missing FROM part), k AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1 - p_partkey % 3) AS known FROM part), x AS (SELECT missing, known, levenshtein(missing, known) AS d FROM m, k WHERE missing NOT IN (SELECT known FROM k)), b AS (SELECT missing, min(d) AS d FROM x GROUP BY missing) SELECT missing, min(known) AS match, CAST(any_value(d) AS INTEGER) AS distance FROM x JOIN b USING (missing, d) GROUP BY missing")
 def nearest_lev(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     cut = F.expr("substr(p_name, 1, length(p_name) - 1 - p_partkey % 3)")
@@ -473,8 +473,8 @@ _over("last_name_first", "part", "p_partkey", lambda: {"a": X.last_name_first(F.
 _over("clean_title", "part", "p_partkey", lambda: {"title": X.clean_title(F.concat(F.lit(" microsoft word - "), F.col("p_name"), F.lit("Presentation Title")))}, "SELECT p_partkey, p_name AS title FROM part")
 _over("without_braces", "part", "p_partkey", lambda: {"title": X.without_braces(F.concat(F.lit("{"), F.col("p_name"), F.lit("} {}")))}, "SELECT p_partkey, p_name || ' {}' AS title FROM part")
 _over("hash_text", "documents", "doc_id", lambda: {"hash": F.md5("text")}, "SELECT doc_id, md5(text) AS hash FROM documents")
-_over("moments", "events", "event_id", lambda: {"day": F.date_format(X.moment(F.col("event_id") * 1_000_000_000_000 + 1_700_000_000_000_000_000), "yyyy-MM-dd HH:mm")}, "SELECT event_id, strftime(make_timestamp(event_id * 1000000000 + 1700000000000000), '%Y-%m-%d %H:%M') AS day FROM events")
-_over("tag_base", "customer", "c_custkey", lambda: {"base": linkage.tag_base(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("de la O'Ñé-B."), F.col("c_mktsegment"), F.lit(", X"))).otherwise(""), F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(""), F.lit(2001))}, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'delaONeB' || replace(c_mktsegment, ' ', '') || '2001' WHEN 1 THEN regexp_replace(c_name, '[ .{}''-]', '', 'g') || '2001' ELSE 'NOTAG' END AS base FROM customer")
+_over("moments", "events", "event_id", lambda: {"moment": F.date_format(X.moment(F.col("event_id") * 1_000_123_457 + 1_700_000_000_123_456_789), "yyyy-MM-dd HH:mm:ss.SSSSSS")}, "SELECT event_id, strftime(make_timestamp((event_id * 1000123457 + 1700000000123456789) // 1000), '%Y-%m-%d %H:%M:%S.%f') AS moment FROM events")
+_over("tag_base", "customer", "c_custkey", lambda: {"base": linkage.tag_base(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("de la O'Ñé-B."), F.col("c_mktsegment"), F.lit(", X"))).otherwise(""), F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(""), F.when(F.col("c_custkey") % 3 < 2, F.lit(2001)))}, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'delaONeB' || replace(c_mktsegment, ' ', '') || '2001' WHEN 1 THEN regexp_replace(c_name, '[ .{}''-]', '', 'g') || '2001' ELSE 'NOTAGYYYY' END AS base FROM customer")
 _over("best_title", "part", "p_partkey", lambda: {"title": X.best_title(F.when(F.col("p_size") < 20, F.col("p_name")).otherwise("x"), F.when(F.col("p_size") > 10, F.col("p_type")).otherwise(F.lit("")), F.lit("a_b_c_d.pdf"), F.lit(0.0))}, "SELECT p_partkey, CASE WHEN length(m) > length(v) AND length(m) > 10 THEN m WHEN length(v) > length(m) AND length(v) > 10 THEN v ELSE 'a b c d' END AS title FROM (SELECT p_partkey, CASE WHEN p_size < 20 THEN p_name ELSE 'x' END AS m, CASE WHEN p_size > 10 THEN p_type ELSE '' END AS v FROM part)")
 _over("lookup_query", "part", "p_partkey", lambda: {"query": X.lookup_query(F.when(F.col("p_size") < 20, F.col("p_name")).otherwise("x"), F.lit("n/a"), F.concat(F.lit("file_of_"), F.col("p_size") + 1980))}, "SELECT p_partkey, CASE WHEN p_size < 20 THEN p_name ELSE 'file of ' || (p_size + 1980) END AS query FROM part")
 
@@ -614,7 +614,7 @@ def tex_to_unicode(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", udf.tex_to_unicode(text).alias("d")).select("n_nationkey", "d.*")
 
 
-@_add("title_case")
+@_add("title_case", "SELECT p_partkey, array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(t[i - 1], '[A-Za-z]') THEN lower(t[i]) ELSE upper(t[i]) END), '') AS title FROM (SELECT p_partkey, p_brand || '-' || p_type AS t FROM part)")
 def title_case(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", udf.title_case(F.concat_ws("-", "p_brand", "p_type")).alias("title"))
 
@@ -629,9 +629,77 @@ def composed_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", udf.composed("text").alias("text"))
 
 
-@_add("random_sample")
+@_add("random_sample", "SELECT * FROM customer WHERE CAST('0x' || substr(md5('42:' || c_custkey), 1, 8) AS BIGINT) < 429496729")
 def random_sample(spark, sf_dir):
-    return read(spark, sf_dir, "customer").sample(0.1, seed=42)
+    return library.sampled(read(spark, sf_dir, "customer"), "c_custkey", 0.1)
+
+
+@_add("find_missing", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL")
+def find_missing(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("P")))
+    return library.lacking(rows, "status").select("o_orderkey")
+
+
+@_add("duplicate_tags", "SELECT o_custkey AS tag, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_tags(spark, sf_dir):
+    return library.repeated(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tag")), "tag")
+
+
+@_add("unique_tags", "SELECT c_custkey AS tag, c_name FROM customer")
+def unique_tags(spark, sf_dir):
+    return library.with_unique(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tag"), "c_name"))
+
+
+@_add("missing_texts", "SELECT p_partkey, '/a/' || p_partkey || '.pdf' AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)")
+def missing_texts(spark, sf_dir):
+    path = lambda c: F.concat(F.lit("/a/"), F.col(c).cast("string"), F.lit(".pdf"))
+    docs = read(spark, sf_dir, "part").select("p_partkey", path("p_partkey").alias("path"))
+    texts = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(X.text_path(path("l_partkey"), "/t", "pdftotext").alias("path"))
+    return files.missing_texts(docs, texts, "/t", "pdftotext")
+
+
+_over("tidy_name", "part", "p_partkey", lambda: {"name": search.tidy_name(F.concat(F.lit("/t/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey"), F.lit(".pdf.pdftotext.md")), "/t", "pdftotext")}, "SELECT p_partkey, p_brand || '/' || p_partkey || '.pdf' AS name FROM part")
+
+
+@_add("qx_bad_regex", "SELECT doc_id, lang, source, 'regex ' || chr(39) || '(' || chr(39) || ' left out' AS said FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 9")
+def qx_bad_regex(spark, sf_dir):
+    got = query(_table(spark, sf_dir, "documents"), "top 9 ! /(/ where lang == fr")
+    return got.df.withColumn("said", F.lit(got.messages[0].split(":")[0]))
+
+
+@_add("record_tags", """WITH m AS (SELECT n_nationkey, replace(replace(n_name, ' ', ''), '-', '') || (n_nationkey + 1990) AS base FROM nation)
+SELECT n_nationkey, base || CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE '' END AS tag FROM m""")
+def record_tags(spark, sf_dir):
+    refs = records.references(_message(spark, sf_dir))
+    have = refs.where("n_nationkey % 2 = 0").select(F.concat(linkage.surname(F.col("ref.author")), F.col("ref.year")).alias("tag"))
+    return records.tagged(refs, "n_nationkey", have).select("n_nationkey", "tag")
+
+
+@_add("import_tags", f"SELECT s_suppkey AS row_id, 'x' || s_suppkey AS original, 'Muller' || (1990 + s_nationkey) || {_SUFFIX_SQL.format(r='r')} AS tag, s_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier)")
+def import_tags(spark, sf_dir):
+    return ingest.imported(_entries(spark, sf_dir)).tags.select("row_id", "original", "tag", F.translate("title", "{}", "").alias("name"))
+
+
+@_add("import_info", "SELECT count(*) AS raw_entries, CAST(0 AS BIGINT) AS unreadable, 'import' AS source FROM supplier")
+def import_info(spark, sf_dir):
+    return ingest.imported(_entries(spark, sf_dir)).info
+
+
+@_add("import_miscodes", "SELECT 'title' AS field, '{' || s_name || '} \\foo' AS miscode FROM supplier")
+def import_miscodes(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    marked = F.transform_values("fields", lambda k, v: F.when(k == "title", F.concat(v, F.lit(" \\foo"))).otherwise(v))
+    return ingest.imported(entries.withColumn("fields", marked)).miscodes
+
+
+@_add("content_hashes")
+def content_hashes(spark, sf_dir):
+    return files.content_hashes(spark, sf_dir, "*.parquet")
+
+
+@_add("new_documents")
+def new_documents(spark, sf_dir):
+    return files.new_documents(spark, sf_dir, "*.parquet")
 
 
 @_add("list_files")

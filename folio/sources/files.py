@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from folio.functions.text import file_name, joined_hyphens, relative_parent, suffix, text_path, unix_lines
 from folio.functions.udf import composed
 from folio.operators.ingest import numbered
+from folio.operators.library import Library
 from folio.types import LibraryConfig
 
-STATS = "path string, create timestamp, access timestamp, node long, links long"
+STATS = "create timestamp, access timestamp, node long, links long"
 
 
 def list_documents(spark: SparkSession, directory: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -30,19 +31,19 @@ def list_documents(spark: SparkSession, directory: str, pattern: str = "*.pdf",
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """docs with times, node and links of files on a file system that all executors see; nulls for files that are gone."""
-    def stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            rows = []
-            for path in some["path"]:
-                try:
-                    s = os.stat(path)
-                    rows.append((path, datetime.fromtimestamp(s.st_ctime, UTC), datetime.fromtimestamp(s.st_atime, UTC), s.st_ino % (1 << 63), s.st_nlink))
-                except OSError:
-                    rows.append((path, None, None, None, None))
-            out = pd.DataFrame(rows, columns=["path", "create", "access", "node", "links"])
-            yield out.astype({"node": "Int64", "links": "Int64"})
-    return docs.join(docs.select("path").mapInPandas(stat, STATS), "path", "left")
+    """docs with times, node and links of files on a file system that all executors see; nulls for files that are gone. Rows stay as they are."""
+    @F.pandas_udf(STATS)
+    def stat(paths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for path in paths:
+            try:
+                s = os.stat(path)
+                rows.append((datetime.fromtimestamp(s.st_ctime, UTC), datetime.fromtimestamp(s.st_atime, UTC), s.st_ino % (1 << 63), s.st_nlink))
+            except (OSError, TypeError, ValueError):
+                rows.append((None, None, None, None))
+        out = pd.DataFrame(rows, columns=["create", "access", "node", "links"])
+        return out.astype({"create": "datetime64[us, UTC]", "access": "datetime64[us, UTC]", "node": "Int64", "links": "Int64"})
+    return docs.withColumn("__stat", stat("path")).select(*docs.columns, "__stat.*")
 
 
 def content_hashes(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
@@ -66,7 +67,18 @@ def new_documents(spark: SparkSession, directory: str, pattern: str = "*.pdf", r
     return docs.select("n", "name", "path", "create", "mod", "size")
 
 
-def extract_texts(docs: DataFrame, command: tuple[str, ...] = ("pdftotext", "-raw", "-nopgbrk", "{path}", "-"), seconds: int = 120) -> DataFrame:
+#: Ways to run the usual extractor: in reading order, or as the page is laid out.
+EXTRACTORS = {"raw": ("pdftotext", "-raw", "-nopgbrk", "{path}", "-"), "layout": ("pdftotext", "-layout", "-nopgbrk", "{path}", "-")}
+
+
+def compare_texts(docs: DataFrame, first: tuple[str, ...] = EXTRACTORS["raw"], second: tuple[str, ...] = EXTRACTORS["layout"]) -> DataFrame:
+    """path, first, second, same: each file's text by two programs, and whether they have the same words; null if one gives none. `docs` has each path once."""
+    a, b = (extract_texts(docs, c).select("path", F.col("text").alias(n)) for c, n in ((first, "first"), (second, "second")))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return a.join(b, "path").withColumn("same", bare("first") == bare("second"))
+
+
+def extract_texts(docs: DataFrame, command: tuple[str, ...] = EXTRACTORS["raw"], seconds: int = 120) -> DataFrame:
     """path, text, error: each file's text by an outside program, lines and hyphens mended, in normal form C.
 
     A program that is missing, fails or takes too long leaves a null text and the reason.
@@ -91,7 +103,7 @@ def write_texts(texts: DataFrame, path: str) -> None:
 
 
 def convert_feather(source: str, target: str) -> None:
-    """One Feather file as Parquet, batch by batch."""
+    """One Feather file as Parquet, batch by batch, on the machine that calls it: for moving a desktop library, whose tables are small."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
@@ -103,16 +115,24 @@ def convert_feather(source: str, target: str) -> None:
 
 
 def write_audit(df: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A CSV with a byte-order mark, for spreadsheet programs; at most `most` rows, more are an error."""
+    """One CSV with a byte-order mark, for spreadsheet programs, written by the driver; at most `most` rows, more are an error."""
     rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"an audit file holds at most {most} rows")
     rows.to_csv(path, encoding="utf-8-sig", index=False)
 
 
-def list_libraries(spark: SparkSession, directory: str) -> DataFrame:
-    """name, description, pdf_dir, text_dir, extractor, columns of each library under a folder."""
-    found = [LibraryConfig.load(str(p.parent)) for p in sorted(Path(directory).glob("*/config.json"))]
+def read_tables(spark: SparkSession, ref: str, doc: str, bridge: str, scratch: str) -> Library:
+    """A library from three Feather files: converted in the folder `scratch`, then read as Parquet."""
+    for name, source in (("ref", ref), ("doc", doc), ("ref_doc", bridge)):
+        Path(scratch).mkdir(parents=True, exist_ok=True)
+        convert_feather(source, f"{scratch}/{name}")
+    return Library.load(spark, scratch)
+
+
+def list_libraries(spark: SparkSession, directory: str, pattern: str = "*/config.json") -> DataFrame:
+    """name, description, pdf_dir, text_dir, extractor, columns of each library under a folder; a pattern like *.yaml lists settings in YAML."""
+    found = [LibraryConfig.load(str(p)) for p in sorted(Path(directory).glob(pattern))]
     return spark.createDataFrame([(c.name, c.description, c.pdf_dir, c.text_dir, c.extractor, len(c.ref_columns)) for c in found], "name string, description string, pdf_dir string, text_dir string, extractor string, columns int")
 
 

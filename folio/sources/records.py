@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.udf import ratio
+from folio.operators.linkage import allocate_tags, surname, tag_base
 
 MESSAGE = (
     "type string, title array<string>, author array<struct<family:string,given:string>>, editor array<struct<family:string,given:string>>, "
@@ -57,6 +58,13 @@ def references(messages: DataFrame, column: str = "message") -> DataFrame:
     return rows.withColumn("ref", ref).drop("__m", "__k")
 
 
+def tagged(refs: DataFrame, order: str, existing: DataFrame | None = None, column: str = "message") -> DataFrame:
+    """refs with `tag`: surname of the first author or editor, or else the message's hash, and the year; the next free one beside existing tags."""
+    hashed = F.left(F.md5(F.col(column)), F.lit(12))
+    base = tag_base(F.col("ref.author"), F.coalesce(F.nullif(surname(F.col("ref.editor")), F.lit("")), hashed), F.lpad(F.col("ref.year").cast("string"), 4, "0"))
+    return allocate_tags(refs.withColumn("__base", base), "__base", order, existing).drop("__base")
+
+
 def by_doi(refs: DataFrame, doi: str) -> DataFrame:
     """The references with a DOI, case aside; `refs` has the column `ref` of references()."""
     return refs.where(F.lower("ref.doi") == doi.lower())

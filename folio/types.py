@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -93,5 +93,19 @@ class LibraryConfig:
         at.write_text(json.dumps(asdict(self), indent=2, ensure_ascii=False), encoding="utf-8")
 
     @classmethod
-    def load(cls, directory: str) -> LibraryConfig:
-        return cls(**json.loads((Path(directory) / "config.json").read_text(encoding="utf-8")))
+    def load(cls, path: str) -> LibraryConfig:
+        """Settings from a library's folder, from a JSON file, or, where the yaml package is there, from a YAML one.
+
+        Settings of other names are left out, and `pdf_dir_name`, `text_dir_name` and `tz` are read as their like here.
+        """
+        at = Path(path) / "config.json" if Path(path).is_dir() else Path(path)
+        text = at.read_text(encoding="utf-8")
+        if at.suffix == ".json":
+            got = json.loads(text)
+        else:
+            import yaml
+
+            got = yaml.safe_load(text) or {}
+        also = {"pdf_dir_name": "pdf_dir", "text_dir_name": "text_dir", "tz": "timezone"}
+        own = {also.get(k, k): v for k, v in got.items()}
+        return cls(**{"name": at.stem} | {f.name: own[f.name] for f in fields(cls) if own.get(f.name) is not None})

@@ -3,7 +3,7 @@ import random
 import pytest
 from folio.functions.udf import indel_ratio, tex_decoded
 from folio.operators import ingest, linkage, stats
-from folio.operators.library import Library, database, docs_without_refs, refs_without_docs
+from folio.operators.library import Library, database, docs_without_refs, refs_without_docs, repeated, with_unique
 from folio.sources import bibtex
 from pyspark.sql import functions as F
 
@@ -157,7 +157,7 @@ def test_bibtex_layouts(spark, tmp_path):
     assert bibtex.failed(entries).count() == 1
     made = {r.row_id: r for r in ingest.ported(entries.where("type is not null")).collect()}
     assert made[2].author == "Möller, A. and Doe, J." and made[2].arc_citations == 2000 and made[2].tag == "Moller2014" and made[2].extra == {"weird": "kept"}
-    assert made[5].edition == "Second" and made[1].tag == "NOTAG" and made[3].tag == "NOTAGa" and made[1].journal == ""
+    assert made[5].edition == "Second" and made[1].tag == "NOTAGYYYY" and made[3].tag == "NOTAGYYYYa" and made[1].journal == ""
 
 
 def test_bibtex_round_trip_and_errors(spark, tmp_path):
@@ -214,3 +214,53 @@ def test_linked_files(lib, spark):
     proto, wrong = linkage.file_fields(refs)
     assert {(r.tag, r.path) for r in linkage.linked_files(proto, lib.doc).collect()} == {("t1", "/p/a.pdf"), ("t2", "/p/b.pdf")}
     assert [(r.tag, r["item"]) for r in wrong.collect()] == [("t1", "x:y")]
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aab"), None if i % 50 == 0 else rng.randint(0, 10**6)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i long, g string, o long").repartition(5)
+    for per_range in (100, 10**6):
+        got = linkage.ranks(df, "g", "o", "place", per_range).collect()
+        for g in "ab":
+            own = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+            assert [r.place for r in own] == list(range(len(own))) and [r.o or -1 for r in own] == sorted(r.o or -1 for r in own)
+
+
+def test_tags_step_over_any_taken_slots(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["Doe2005", "Roe2001", "NOTAGYYYY"])) for i in range(400)]
+    taken = {b + s for b in ("Doe2005", "Roe2001") for s in ["", "c", "d", "Z", "53", "54", "60", "070", "zz"]}
+    endings = ["", *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *map(str, range(53, 600))]
+    want, free = {}, {b: iter([b + e for e in endings if b + e not in taken]) for b in ("Doe2005", "Roe2001", "NOTAGYYYY")}
+    for i, b in rows:
+        want[i] = next(free[b])
+    frame, have = spark.createDataFrame(rows, "row_id long, base string").repartition(3), spark.createDataFrame([(t,) for t in taken], "tag string")
+    for per_range in (50, 10**6):
+        assert {r.row_id: r.tag for r in linkage.allocate_tags(frame, "base", "row_id", have, per_range=per_range).collect()} == want
+
+
+def test_an_import_with_its_audits(spark):
+    texts = [(1, "@book{one, title={A \\foo}, author={{\\bar}Doe, J}, year={2001}, file={:C\\:/a/x.pdf:pdf;odd}}"), (2, "@book{two, title={B}, editor={Roe, K}, year={in press}}"), (3, "no entry")]
+    entries = bibtex.entries(spark.createDataFrame(texts, "row_id long, value string"))
+    got = ingest.imported(entries.where("type is not null"), by_hand={"{\\bar}Doe, J": "Döe, J"})
+    assert {r.original: r.tag for r in got.tags.collect()} == {"one": "Doe2001", "two": "Roein press" + "YYYY"}
+    assert [tuple(r) for r in got.miscodes.collect()] == [("title", "A \\foo")]
+    assert {r.proposed for r in got.authors.collect()} >= {"Döe, J."} and got.unread.first().item == "odd"
+    assert [tuple(r) for r in got.links.collect()] == [("Doe2001", "/a/x.pdf")] and got.info.first().raw_entries == 2
+
+
+def test_repeated_tags_are_errors(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "tag string, n int")
+    assert [tuple(r) for r in repeated(rows, "tag").collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="tag is not unique: a"):
+        with_unique(rows).collect()
+    assert with_unique(rows.where("n < 3")).count() == 2
+
+
+def test_documents_with_repeated_paths(spark):
+    ref = spark.createDataFrame([("t", "Doe, J", "T", "J")], "tag string, author string, title string, journal string")
+    doc = spark.createDataFrame([("p", "x", "2020", 1), ("p", "y", "2021", 2)], "path string, name string, `create` string, mod int")
+    lib = Library(ref, doc, spark.createDataFrame([("t", "p")], "tag string, path string"))
+    for some, n in ((lib, 2), (lib.checked(), 2), (Library(ref, doc.limit(1), lib.bridge).checked(), 1)):
+        assert some.query("select name").df.count() == some.query("select -create").df.count() == n

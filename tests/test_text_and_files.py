@@ -8,7 +8,7 @@ import pytest
 from folio.functions import text as X
 from folio.functions import udf
 from folio.operators import search, stats
-from folio.sources import files
+from folio.sources import files, pdf
 from folio.streaming import watch
 from folio.types import LibraryConfig
 from pyspark.sql import functions as F
@@ -60,7 +60,23 @@ def test_paths(spark):
 def test_udfs(spark):
     assert one(spark, udf.title_case, "SMITH-JONES, O'NEIL", None) == ["Smith-Jones, O'Neil", None]
     assert one(spark, udf.composed, "é", None) == ["é", None]
-    assert one(spark, lambda c: X.moment(c.cast("long")).cast("string"), "1700000000123456789") == ["2023-11-14 22:13:20.123456"]
+    assert one(spark, lambda c: X.moment(c.cast("long")).cast("string"), "1700000000123456789", "-1") == ["2023-11-14 22:13:20.123456", "1969-12-31 23:59:59.999999"]
+
+
+def test_moments_are_exact(spark):
+    values = [1_700_000_000_000_000_000 + 7_777_777_777 * i for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "ns long")
+    assert df.where(F.unix_micros(X.moment(F.col("ns"))) != F.expr("ns div 1000")).count() == 0
+
+
+def test_metadata_of_files(spark, tmp_path):
+    made = b"%PDF-1.4\n7 0 obj\n<< /Title (Microsoft Word - A \\(good\\) title) /Author <FEFF004A0061006E0065002000440159> /Subject (S \\101) >>\nendobj\ntrailer << /Info 7 0 R >>"
+    (tmp_path / "some file 2004.pdf").write_bytes(made)
+    (tmp_path / "other.pdf").write_bytes(b"none")
+    rows = {Path(r.path).name: r for r in pdf.read_metadata(spark, str(tmp_path)).collect()}
+    first = rows["some file 2004.pdf"]
+    assert (first.title, first.author, first.subject, first.query) == ("A (good) title", "Dř, Jane", "S A", "A (good) title 2004")
+    assert (rows["other.pdf"].title, rows["other.pdf"].author) == ("", "")
 
 
 def test_search(spark):
@@ -69,6 +85,9 @@ def test_search(spark):
     assert rows == [("b.md", 1, "Über x", [(6, 7)], 1), ("b.md", 2, "x and X", [(0, 1)], 2), ("b.md", 4, "last x", [(5, 6)], 3), ("c.md", 1, "x", [(0, 1)], 1)]
     assert search.search(df, "x", "file", limit=2).count() == 2 and search.search(df, "X", "file").count() == 1 and search.search(df, "über", "file", ignore_case=True).count() == 1
     edge = spark.createDataFrame([("e", "end\nnext a\rb")], "file string, text string")
+    gaps = spark.createDataFrame([("g", "a\n\nb")], "file string, text string")
+    for pattern in (r"a\s*+$", r"(?>a\s*)$", r"a\s*$", "a$"):
+        assert search.search(gaps, pattern, "file").count() == 1, pattern
     for pattern, n in ((r"end(?!\s)", 1), (r"\Anext", 1), ("^next", 1), ("d$", 1), ("ab", 1), ("end.next", 0)):
         assert search.search(edge, pattern, "file").count() == n, pattern
     got = search.search(df, "and", "file", context=True).first()
@@ -146,3 +165,9 @@ def test_feather_audit_and_settings(spark, tmp_path):
     config.save(f"{tmp_path}/libs/books")
     assert LibraryConfig.load(f"{tmp_path}/libs/books") == config and (tmp_path / "libs/books/config.json.bak").exists()
     assert files.list_libraries(spark, f"{tmp_path}/libs").first().name == "books"
+    (tmp_path / "old.yaml").write_text("name: old\ndescription: d\npdf_dir_name: /q\nother: 1\n")
+    assert tuple(files.list_libraries(spark, str(tmp_path), "*.yaml").first())[:3] == ("old", "d", "/q")
+    texts = files.extract_texts(spark.createDataFrame([(f"{tmp_path}/old.yaml",)], "path string"), command=("cat", "{path}"))
+    assert texts.first().text.startswith("name: old")
+    both = files.compare_texts(texts.select("path"), ("cat", "{path}"), ("tac", "{path}")).first()
+    assert both["first"] != both["second"] and both.same is False
