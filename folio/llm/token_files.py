@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import longs, shared_dir, small_batches, table, written
-from folio.llm.tokens import encoder, load, vocabulary
+from folio.llm.common import longs, shared_dir, small_batches, table
+from folio.llm.tokens import encoder, in_slices, load, vocabulary
 
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 FORMAT = {
@@ -35,19 +35,18 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, by_wo
     """Writes the ids of every whole text, each followed by end_id, in ascending doc_id order.
 
     Null and empty texts are their end id alone. Equal doc_ids are ordered by text; null ones come
-    first. Other columns aren't read. An empty table writes no rows.
+    first. Other columns aren't read. An empty table writes no rows. A very long text is one row
+    of its own; ids of several texts are put together up to 16 MB only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start, end = encoder(definition, by_word), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                coded = [x + end for x in encode(some.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "part", "start", "n_tokens", "ids"])
-                start += int(ends[-1])
+        for some, coded in in_slices(batches, encode):
+            coded = [x + end for x in coded]
+            sizes = np.array([len(x) // 4 for x in coded], np.int64)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "part", "start", "n_tokens", "ids"])
+            start += int(ends[-1])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):
@@ -90,4 +89,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str, vocabulary_path: str | Non
     definition = load(vocabulary_path or vocabulary("word_bpe_49k.json"))
     path = f"{shared_dir(spark)}/folio-tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, definition, end_id)
-    return written(with_crc(read_tokens(spark, path)), texts=True)
+    return with_crc(read_tokens(spark, path))

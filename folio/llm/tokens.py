@@ -10,8 +10,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 250_000
+#: Bytes of distinct words, with what is known of them, that a worker remembers; beyond that it starts anew.
+REMEMBERED = 64 << 20
+#: What an entry of such a memory takes besides its texts.
+ENTRY = 160
 
 
 def vocabulary(name: str) -> str:
@@ -32,9 +34,7 @@ def _tokenizer(definition: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_str(definition)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    return Tokenizer.from_str(definition)
 
 
 _INSIDE = re.compile(r"(?<=\S)(?= )")
@@ -93,13 +93,16 @@ class Encoder:
 
     A plain text is split by the vocabulary's own rule, and each distinct part goes to the library's
     model once. Another text is cut at spaces, and each distinct piece goes through the whole
-    library. With by_word off, every text does.
+    library. A text that holds the string of an added token (such as an end mark) goes through the
+    library whole, which takes it for that token; with by_word off, every text does.
     """
 
     def __init__(self, definition: str, by_word: bool = True, remembered: int = REMEMBERED):
         self.definition, self.by_word, self.remembered = definition, by_word, remembered
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = {id(self.known): 0, id(self.parts): 0}
+        self.added = [t["content"] for t in json.loads(definition)["added_tokens"]]
         self.rule = splitting(definition) if by_word else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -121,17 +124,25 @@ class Encoder:
     def _joined(self, found: list[str], memory: dict[str, bytes], learn: Callable[[list[str]], None]) -> bytes:
         new = set(found).difference(memory)
         if new:
-            if len(memory) + len(new) > self.remembered:
+            # an id is four bytes, and a byte of text gives one id at most
+            more = sum(map(len, new)) * 5 + ENTRY * len(new)
+            if self.held[id(memory)] + more > self.remembered:
                 memory.clear()
                 new = set(found)
+                self.held[id(memory)], more = 0, sum(map(len, new)) * 5 + ENTRY * len(new)
             learn(list(new))
-        return b"".join(map(memory.__getitem__, found))
+            self.held[id(memory)] += more
+        out = b"".join(map(memory.__getitem__, found))
+        if self.held[id(memory)] > self.remembered:  # one text with more new words than are remembered
+            memory.clear()
+            self.held[id(memory)] = 0
+        return out
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
                 yield b""
-            elif not self.by_word:
+            elif not self.by_word or any(x in text for x in self.added):
                 yield self._encode([text])[0]
             elif self.rule and _PLAIN.fullmatch(text):
                 rule, lower = self.rule
@@ -143,3 +154,15 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(definition: str, by_word: bool = True) -> Callable:
     return Encoder(definition, by_word)
+
+
+def in_slices(batches: Iterator, encode: Callable, most: int = 16 << 20) -> Iterator[tuple]:
+    """Stretches of the batches' rows with the ids of their texts (second column), about `most` bytes of ids each; a longer text is one by itself."""
+    for batch in batches:
+        first, held, size = 0, [], 0
+        for i in range(batch.num_rows):
+            held += encode([batch.column(1)[i].as_py()])
+            size += len(held[-1])
+            if size >= most or i + 1 == batch.num_rows:
+                yield batch.slice(first, i + 1 - first), held
+                first, held, size = i + 1, [], 0

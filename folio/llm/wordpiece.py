@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import table
-from folio.llm.tokens import REMEMBERED, vocabulary
+from folio.llm.tokens import ENTRY, REMEMBERED, vocabulary
 
 UNKNOWN = 1 << 40  # in a count: a word that no pieces make up
 
@@ -92,23 +92,31 @@ def count_pieces(docs: DataFrame, first: frozenset[str], later: frozenset[str])
     """doc_id, n_words, n_pieces, n_unknown (words that count as one piece because no pieces make them up).
 
     Words are runs of anything but ASCII white space. Null, empty and blank texts have zeros. Rows
-    stay as they are; other columns aren't read. A worker remembers a bounded number of words.
+    stay as they are; other columns aren't read. An empty table gives an empty result. A worker
+    remembers words up to a number of bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = automaton(first, later)
+        held = sum(map(len, known)) + ENTRY * len(known)
         for batch in batches:
             words, totals = [], []
             for text in batch.column(1).to_pylist():
                 # bytes.split knows ASCII white space only
                 parts = text.encode("utf-8", "surrogatepass").split() if text else []
                 new = set(parts).difference(known)
-                if len(known) + len(new) > REMEMBERED:
+                more = sum(map(len, new)) + ENTRY * len(new)
+                if new and held + more > REMEMBERED:
                     known.clear()
                     new = set(parts)
+                    held, more = 0, sum(map(len, new)) + ENTRY * len(new)
+                held += more
                 for p in new:
                     known[p] = machine.count(p.decode("utf-8", "surrogatepass"))
                 words.append(len(parts))
                 totals.append(sum(map(known.__getitem__, parts)))
+                if held > REMEMBERED:  # one text with more new words than are remembered
+                    known.clear()
+                    held = 0
             total = np.array(totals, object)
             pieces = [t % UNKNOWN for t in total]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(pieces, pa.int64()), pa.array([t // UNKNOWN for t in total], pa.int64())], ["doc_id", "n_words", "n_pieces", "n_unknown"])
