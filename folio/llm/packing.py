@@ -1,11 +1,12 @@
 """Packing documents into windows: non-negative least squares over shallow length combinations.
 
 Every document gives whole windows and a rest. Combinations of two or three rests that fill a
-window are enumerated, their repeat counts solved against the histogram of rests by non-negative
-least squares and rounded down to what is there; combinations that still fit are added greedily;
-what remains is put end to end, longest first, and cut at window ends. Where each rest goes
-follows from its length and its rank among rests of that length, so no task sees more than its
-own documents.
+window are enumerated; their repeat counts are solved against the histogram of rests by non-negative
+least squares (an active set, to convergence), rounded to the nearest within what is there, and
+solved again for what rounding left, until nothing more is placed. Residuals are packed greedily:
+combinations that still fit, then end to end, longest first, cut at window ends. Where each rest
+goes follows from its length and its rank among rests of that length, so no task sees more than
+its own documents.
 """
 
 from __future__ import annotations
@@ -19,65 +20,110 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import longs, ranges, table, written
-from folio.llm.tokens import encoder, load, vocabulary
+from folio.llm.tokens import encoder, in_slices, load, vocabulary
 
 WINDOW = 1024
-STRIDE = 16
+COLUMNS = 40_000  # combinations that are solved at once
 SENT_CUTS = 50_000  # rows of seven numbers that a join may broadcast
 
 
-def combinations(counts: np.ndarray, window: int, stride: int) -> np.ndarray:
-    """Rows of two or three lengths (0: none) that fill the window and all occur; of three, the second in steps of stride."""
-    there, out = counts > 0, []
-    for a in range(1, window // 2 + 1):
-        if there[a] and there[window - a]:
-            out.append((a, window - a, 0))
-    for a in range(1, window // 3 + 1):
-        if there[a]:
-            b = np.arange(a + (-a) % stride, (window - a) // 2 + 1, stride)
-            b = b[(b >= a) & there[b] & there[window - a - b]] if len(b) else b
-            out += [(a, int(x), window - a - int(x)) for x in b]
-    return np.array(out, np.int64).reshape(-1, 3)
-
-
-def non_negative_least_squares(rows: np.ndarray, counts: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """x >= 0 that minimises |A x - counts|, where column j of A counts the lengths of rows[j]; accelerated projected gradient."""
-    size = len(counts)
-    used = np.bincount(rows.ravel(), minlength=size).astype(float)
-    used[0] = 0
-    step = 1.0 / max(1.0, 3.0 * used.max(initial=0))
-    x = y = np.zeros(len(rows))
-    t = 1.0
+def combinations(counts: np.ndarray, window: int, most: int = COLUMNS) -> np.ndarray:
+    """Rows of two or three lengths (0: none) that fill the window and all occur.
+
+    All pairs, and triples a <= b <= c: all of them, or where there are more than `most`, those
+    with b a step apart; each length keeps its triples with the scarcest lengths' neighbours then.
+    """
+    there = counts > 0
+    pairs = np.arange(1, window // 2 + 1)
+    pairs = pairs[there[pairs] & there[window - pairs]]
+    a, b = np.divmod(np.arange((window // 3 + 1) * (window // 2 + 1)), window // 2 + 1)
+    c = window - a - b
+    good = (a >= 1) & (b >= a) & (c >= b) & there[a] & there[b] & there[np.clip(c, 0, window - 1)]
+    triples = np.stack([a, b, c], 1)[good]
+    if len(triples) > most:
+        step = -(-len(triples) // most)
+        triples = triples[(triples[:, 1] + triples[:, 0]) % step == 0]
+    return np.concatenate([np.stack([pairs, window - pairs, 0 * pairs], 1), triples]).astype(np.int64)
+
+
+def non_negative_least_squares(rows: np.ndarray, counts: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """x >= 0 that minimises |w (A x - counts)|, where column j of A counts the lengths of rows[j] and w are the lengths, so that tokens count; by active sets.
+
+    Each round takes in columns of the steepest descent that share no length, solves for the columns
+    taken in, and drops columns whose counts would be negative until none would. It ends when no
+    column outside descends, or after `rounds`.
+    """
+    size, x = len(counts), np.zeros(len(rows))
+    inside, weight = np.zeros(len(rows), bool), np.arange(size) / size
+    target = counts * weight
+    scale = max(1.0, target.max(initial=0))
+    places = np.full(size, -1)
+    places[np.flatnonzero(counts)] = np.arange(np.count_nonzero(counts))
+    places[0] = -1
+
+    def solved(columns: np.ndarray) -> np.ndarray:
+        part = np.zeros((len(columns), places.max() + 1))
+        own, at = rows[columns].ravel(), np.repeat(np.arange(len(columns)), rows.shape[1])
+        np.add.at(part, (at[own > 0], places[own[own > 0]]), weight[own[own > 0]])
+        aim = target[places >= 0]
+        if len(columns) <= part.shape[1]:
+            return np.linalg.solve(part @ part.T + 1e-9 * np.eye(len(part)), part @ aim)
+        return part @ np.linalg.solve(part.T @ part + 1e-9 * np.eye(part.shape[1]), aim)
+
     for _ in range(rounds):
-        left = np.bincount(rows.ravel(), np.repeat(y, 3), size) - counts
-        left[0] = 0
-        new = np.maximum(0, y - step * left[rows].sum(1))
-        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        y = new + (before - 1) / t * (new - x)
-        x = new
+        left = target - weight * np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), size)
+        descent = (left * weight)[rows].sum(1)
+        descent[inside] = 0
+        steep = np.argsort(-descent, kind="stable")[:4096]
+        steep = steep[descent[steep] > 1e-6 * scale]
+        if not len(steep):
+            break
+        used, taken = bytearray(size), []
+        for j, own in zip(steep.tolist(), rows[steep].tolist(), strict=True):
+            if not (used[own[0]] or used[own[1]] or (own[2] and used[own[2]])):
+                for v in own:
+                    used[v] = 1
+                taken.append(j)
+        inside[taken] = True
+        while inside.any():
+            at = np.flatnonzero(inside)
+            now = solved(at)
+            if now.min() >= -1e-9 * scale:
+                break
+            inside[at[now < 0]] = False
+        x[:] = 0
+        at = np.flatnonzero(inside)
+        x[at] = np.maximum(0, now) if len(at) else 0
     return x
 
 
-def solve(counts: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations with how often each is used; never more of a length than there is."""
-    rows = combinations(counts, window, stride)
+def solve(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Combinations with how often each is used, never more of a length than there is; and how many of them (the first ones) were solved for."""
     left, chosen = counts.astype(np.int64).copy(), []
+    left[0] = 0
 
-    def use(lengths: tuple[int, ...], most: int | None) -> None:
+    def use(lengths: tuple[int, ...], most: int | None) -> int:
         k = min(left[v] // lengths.count(v) for v in lengths)
         k = int(k if most is None else min(k, most))
         if k > 0:
             for v in lengths:
                 left[v] -= k
             chosen.append((lengths, k))
-
-    if len(rows):
-        repeats = non_negative_least_squares(rows, counts.astype(float))
-        for j in np.argsort(-repeats, kind="stable").tolist():
-            if repeats[j] < 1:
+        return max(k, 0)
+
+    least = 0.5
+    while len(rows := combinations(left, window)):
+        repeats = non_negative_least_squares(rows, left)
+        order = np.argsort(-repeats, kind="stable")
+        placed = 0
+        for j in order[: np.count_nonzero(repeats >= least)].tolist():
+            placed += use(tuple(v for v in rows[j].tolist() if v), int(repeats[j] + 1 - least))
+        if not placed:
+            if least <= 0.1:
                 break
-            use(tuple(v for v in rows[j].tolist() if v), int(repeats[j]))
-    for a in range(window // 2, 0, -1):  # what rounding left
+            least -= 0.2  # small counts only: what is nearest to one goes first
+    solved = len(chosen)
+    for a in range(window // 2, 0, -1):  # what is left of the histogram
         if left[a]:
             use((a, window - a), None)
     for a in range(window // 3, 0, -1):
@@ -86,24 +132,26 @@ def solve(counts: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> lis
             if left[b] and left[window - a - b]:
                 use((a, b, window - a - b), None)
             b += 1
-    return chosen
+    return chosen, solved
 
 
 class Plan:
-    """Where the rest of each length and rank goes; sequences are numbered from 0."""
+    """Where the rest of each length and rank goes; sequences are numbered from 0, those solved for first, then greedy ones, then the stream."""
 
     def __init__(self, counts: np.ndarray, window: int = WINDOW):
         self.window = window
         slots: dict[int, list[tuple[int, int, int]]] = {}
         taken = np.zeros(len(counts), np.int64)
-        sequence = 0
-        for lengths, repeats in solve(counts, window):
+        sequence = self.solved = 0
+        chosen, solved = solve(counts, window)
+        for i, (lengths, repeats) in enumerate(chosen):
             offset = 0
             for v in lengths:
                 slots.setdefault(v, []).append((int(taken[v]), sequence, offset))
                 taken[v] += repeats
                 offset += v
             sequence += repeats
+            self.solved += repeats if i < solved else 0
         self.slots = {v: np.array(x, np.int64) for v, x in slots.items()}
         self.taken, self.packed = taken, sequence
         left = counts - taken
@@ -111,6 +159,8 @@ class Plan:
         self.stream = (np.cumsum(sizes) - sizes)[::-1]  # longest first
         #: At most so many rests are cut: one at each window's end of the stream.
         self.cuts = int(sizes.sum()) // window
+        #: Sequences that hold rests, solved for or not.
+        self.sequences = sequence - (-int(sizes.sum()) // window)
 
     def place(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sequence and offset of each rest, and how much of it fits there: less than its length if it is cut."""
@@ -131,17 +181,15 @@ def tokenised(docs: DataFrame, definition: str, end_id: int, window: int, by_wor
     """doc_id, row, n_tokens, crcs (of each whole window), rest_crc and rest (the ids after the last whole window)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, size = encoder(definition, by_word), np.array([end_id], "<u4").tobytes(), 4 * window
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                n, crcs, rest = [], [], []
-                for ids in encode(some.column(1).to_pylist()):
-                    ids += end
-                    whole = len(ids) // size * size
-                    n.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, whole, size)])
-                    rest.append(ids[whole:])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array([zlib.crc32(x) for x in rest], pa.int64()), pa.array(rest, pa.binary())], ["doc_id", "n_tokens", "crcs", "rest_crc", "rest"])
+        for some, coded in in_slices(batches, encode):
+            n, crcs, rest = [], [], []
+            for ids in coded:
+                ids += end
+                whole = len(ids) // size * size
+                n.append(len(ids) // 4)
+                crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, whole, size)])
+                rest.append(ids[whole:])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array([zlib.crc32(x) for x in rest], pa.int64()), pa.array(rest, pa.binary())], ["doc_id", "n_tokens", "crcs", "rest_crc", "rest"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>, rest_crc long, rest binary").withColumn("row", F.monotonically_increasing_id())
@@ -152,12 +200,15 @@ def pack(docs: DataFrame, definition: str, end_id: int, window: int = WINDOW) ->
 
     Null and empty texts are their end id alone. Each row of docs is a document of its own, with
     equal doc_ids too; null doc_ids come first. Only the last sequence may have padding. The driver sees
-    the histogram of rests and one row for each range of documents. An empty table has no pieces.
+    the histogram of rests and one row for each range of documents. A very long text is encoded
+    whole, by itself; its windows are told by their checksums only. Columns of other names aren't
+    read. An empty table has no pieces.
     """
     spark = docs.sparkSession
     tokens = written(tokenised(docs, definition, end_id, window), texts=True, compression="zstd")
     rows = tokens.select("doc_id", "row", "n_tokens", "crcs", "rest_crc")
-    part = rows.withColumns({"range": ranges(tokens.select("doc_id"), "doc_id"), "whole": F.size("crcs").cast("long"), "rest": F.col("n_tokens") % window})
+    part = rows.withColumn("tie", F.xxhash64("row"))
+    part = part.withColumns({"range": ranges(part.select("doc_id", "tie"), "doc_id", F.col("tie")), "whole": F.size("crcs").cast("long"), "rest": F.col("n_tokens") % window})
     counted = written(part.groupBy("range", "rest").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")))
 
     full, base = 0, []
@@ -172,8 +223,8 @@ def pack(docs: DataFrame, definition: str, end_id: int, window: int = WINDOW) ->
 
     earlier = Window.partitionBy("rest").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counted.select("range", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    in_range = Window.partitionBy("range").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    alike = Window.partitionBy("range", "rest").orderBy("doc_id", "row")
+    in_range = Window.partitionBy("range").orderBy("doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    alike = Window.partitionBy("range", "rest").orderBy("doc_id", "tie", "row")
     local = part.withColumns({
         "first": F.coalesce(F.sum("whole").over(in_range), F.lit(0)) + F.get(longs(base or [0]), F.col("range")),
         "place": F.row_number().over(alike).cast("long") - 1,
