@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-from math import ceil, floor
+from math import floor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACE, table, written
+from folio.llm.common import SPACE, longs, table, written
 from folio.llm.sketch import BLANK
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -16,8 +15,9 @@ SHARE = 1.5
 REPEATS = 2
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 16
-MOST_SHARDS = 20_000
 SEED = 42
+LISTED = 100_000  # quotients that the driver puts in order
+SENT_SOURCES = 10_000  # rows of sources that a join may broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -26,69 +26,85 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = REPEATS) -> list[float]:
-    """Words wanted of each source: share x all sizes by weight, at most `most` x its size, the excess reshared by weight."""
-    caps = [most * s for s in sizes]
-    out, capped, total = [0.0] * len(sizes), set(), min(share * sum(sizes), sum(caps))
-    while len(capped) < len(sizes):
-        rest = total - sum(caps[i] for i in sorted(capped))
-        weight = sum(weights[i] for i in range(len(sizes)) if i not in capped)
-        over = {i for i in range(len(sizes)) if i not in capped and rest / weight * weights[i] > caps[i]}
-        if not over:
-            for i in range(len(sizes)):
-                out[i] = float(caps[i]) if i in capped else rest / weight * weights[i]
-            return out
-        capped |= over
-    return [float(c) for c in caps]
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources (source, source_size) with `index`, in code-point order, null last; the driver sees a count for each part of the sorted table."""
+    parted = written(sources.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id()))
+    before, bases = 0, []
+    for r in parted.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        bases += [0] * (r["part"] - len(bases)) + [before]
+        before += r["n"]
+    index = F.get(longs(bases or [0]), F.shiftright("at", 33)) + F.col("at").bitwiseAND((1 << 33) - 1)
+    return parted.withColumn("index", index).drop("at")
 
 
-def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
-    """Seats by highest quotients votes / (2 k + 1), ties to the earlier entry, never above `most`.
+def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> tuple[DataFrame, float]:
+    """(sources with `target`, all targets together). sources: index, source_size.
 
-    Starts from rounded shares and moves single seats until no quotient outside is higher than
-    one inside, so the number of steps follows the entries and not the seats.
+    Targets share `share` times all words by weight (weights in turn by index), none above `most`
+    times its size, the excess reshared by weight: a source takes its weight times one rate, or
+    its limit. The rate only rises while further sources reach their limits, and each step is an
+    aggregation; the driver sees four numbers a step.
     """
-    seats = min(seats, sum(m for v, m in zip(votes, most, strict=True) if v > 0))
-    total = sum(votes)
-    got = [min(m, floor(v * seats / total + 0.5)) if total else 0 for v, m in zip(votes, most, strict=True)]
-    joins = [(-v / (2 * g + 1), i) for i, (v, g, m) in enumerate(zip(votes, got, most, strict=True)) if v > 0 and g < m]
-    leaves = [(v / (2 * g - 1), -i) for i, (v, g) in enumerate(zip(votes, got, strict=True)) if g]
-    heapq.heapify(joins)
-    heapq.heapify(leaves)
-
-    def current(heap, sign):
-        """Drops what a move has made stale."""
-        while heap:
-            q, i = heap[0]
-            i = -i if sign > 0 else i
-            g = got[i]
-            true = votes[i] / (2 * g - 1) if sign > 0 and g else -votes[i] / (2 * g + 1) if sign < 0 and g < most[i] else None
-            if true == q:
-                return heap[0]
-            heapq.heappop(heap)
-        return None
-
-    def move(i: int, by: int) -> None:
-        got[i] += by
-        if got[i]:
-            heapq.heappush(leaves, (votes[i] / (2 * got[i] - 1), -i))
-        if got[i] < most[i]:
-            heapq.heappush(joins, (-votes[i] / (2 * got[i] + 1), i))
-
-    left = seats - sum(got)
-    while True:
-        enter, leave = current(joins, -1), current(leaves, 1)
-        if left > 0 and enter:
-            move(enter[1], 1)
-            left -= 1
-        elif left < 0 and leave:
-            move(-leave[1], -1)
-            left += 1
-        elif enter and leave and (-enter[0], -enter[1]) > (leave[0], leave[1]) and enter[1] != -leave[1]:
-            move(enter[1], 1)
-            move(-leave[1], -1)
-        else:
-            return got
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("index") % len(weights)).cast("int"))
+    rows = written(sources.withColumns({"weight": weight, "most": F.col("source_size") * float(most)}))
+    all_ = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("most"), F.lit(0.0)).alias("most"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    total, rate, known = min(share * all_["n"], all_["most"]), None, -1
+    while all_["weight"]:
+        full = F.lit(False) if rate is None else F.col("most") < F.lit(rate) * F.col("weight")
+        row = rows.agg(F.count_if(full).alias("k"), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)).alias("taken"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("w")).first()
+        if row["k"] == known or not row["w"]:
+            rate = rate if row["w"] else float("inf")
+            break
+        known, rate = row["k"], (total - row["taken"]) / row["w"]
+    target = F.least(F.col("most"), F.lit(0.0 if rate is None else rate) * F.col("weight")) if rate != float("inf") else F.col("most")
+    return rows.withColumn("target", target.cast("double")), total
+
+
+def apportioned(parties: DataFrame, seats: int, listed: int = LISTED) -> DataFrame:
+    """parties (index, shard, votes, most) with `seats`: by highest quotients votes / (2 k + 1), ties to the smaller index and shard, never above `most`.
+
+    With a divisor, each party has a number of seats of its own, so the quotient that comes last
+    is between two divisors that sums over all parties close in on, 32 at a time. Only the quotients
+    between the last two come to the driver: `listed` of them, or more where so many are equal.
+    """
+    rows = parties.where("votes > 0 and most > 0")
+    able = rows.agg(F.coalesce(F.sum("votes"), F.lit(0.0)).alias("v"), F.coalesce(F.sum("most"), F.lit(0)).alias("m")).first()
+    seats = min(seats, able["m"])
+
+    def at(x: float) -> Column:
+        return F.least(F.col("most"), F.floor(F.col("votes") * F.lit(x) + 0.5))
+
+    low, high, found = 0.0, 0.0, {0.0: 0}
+    if seats:
+        middle = seats / able["v"]
+        low, high = middle * 0.999, middle * 1.001
+        while True:
+            grid = [low + (high - low) * i / 31 for i in range(32)]
+            row = rows.agg(*[F.sum(at(x)).alias(f"s{i}") for i, x in enumerate(grid)]).first()
+            found |= {x: row[f"s{i}"] for i, x in enumerate(grid)}
+            if found[grid[0]] > seats:
+                low, high = 0.0, low
+                continue
+            if found[grid[-1]] < seats:
+                low, high = high, high * 2
+                continue
+            low = max(x for x in grid if found[x] <= seats)
+            high = min(x for x in grid if found[x] >= seats and x >= low)
+            if found[high] - found[low] <= listed or high - low <= 1e-11 * high:
+                break
+    # quotients within rounding of the two divisors are listed too
+    low, high = low * (1 - 1e-12), high * (1 + 1e-12)
+    own = parties.withColumn("__low", F.when((F.col("votes") > 0) & (F.col("most") > 0), at(low)).otherwise(0).cast("long"))
+    between = own.where((F.col("votes") > 0) & (F.col("most") > 0)).withColumn("__high", at(high)).where("__high > __low")
+    some = between.select("index", "shard", "votes", "__low", "__high").collect()
+    need = seats - (own.agg(F.coalesce(F.sum("__low"), F.lit(0)).alias("n")).first()["n"])
+    ordered = sorted((-r["votes"] / (2 * k + 1), r["index"], r["shard"]) for r in some for k in range(r["__low"], r["__high"]))
+    won: dict[tuple[int, int], int] = {}
+    for _, i, j in ordered[:need]:
+        won[i, j] = won.get((i, j), 0) + 1
+    more = parties.sparkSession.createDataFrame([(i, j, n) for (i, j), n in won.items()], "index long, shard long, __won long")
+    more = F.broadcast(more) if len(won) <= LISTED else more
+    return own.join(more, ["index", "shard"], "left").withColumn("seats", F.col("__low") + F.coalesce("__won", F.lit(0))).drop("__low", "__won")
 
 
 def seeded(doc_id: Column, seed: int) -> Column:
@@ -99,48 +115,45 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     """doc_id, size, source_size, target, whole (times all of it is taken), first (words taken once more), taken; and `keep`.
 
     Sources in code-point order, null last, weigh `weights` in turn. A source's documents are
-    dealt to shards by a seeded hash and put end to end there in its order; blocks are stretches
+    dealt to shards of about `shard_words` words, however large the table, by a seeded hash and put end to end there in its order; blocks are stretches
     of `block_words` words of a shard. Each shard gets a whole number of blocks: every block as
     often as it goes, and the rest from the start of the seeded order. So a document is taken at
     most twice, and one document a shard is cut.
 
-    The driver sees one row a source and one a shard (`shard_words`, at most 20,000 shards more
-    than sources). Empty and null texts have size 0 and are taken whole with 0 words. Rows with equal
-    doc_id are ordered by size. Empty sources have target 0; an empty table gives an empty result.
+    Sources and shards are tables; the driver sees sums of them and the quotients that are nearest to
+    the last seat. Empty and null texts have size 0 and are taken whole with 0 words; a very long
+    text is a shard's like any other. Rows with equal doc_id are ordered by size. Empty sources have
+    target 0; an empty table gives an empty result.
     """
     keep = keep or []
-    spark = docs.sparkSession
+
     def sized(*more: str) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("__source"), word_count(F.col("text").cast("string")).alias("size"), *more)
 
     own = written(sized())
-    by_source = {r["__source"]: r["n"] for r in own.groupBy("__source").agg(F.sum("size").alias("n")).collect()}
-    names = sorted((s for s in by_source if s is not None)) + [None] * (None in by_source)
-    sizes = [by_source[s] for s in names]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share)
-    per_shard = max(shard_words, sum(sizes) // MOST_SHARDS + 1)
-    rows = [(s, i, n, t, max(1, ceil(n / per_shard))) for i, (s, n, t) in enumerate(zip(names, sizes, wanted, strict=True))]
-    sources = spark.createDataFrame(rows, "__source string, __index int, source_size long, target double, __shards long")
+    sources, total = with_targets(numbered(own.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))), weights, share)
+    sources = written(sources.select("source", "index", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")))
+    few = sources.count() <= SENT_SOURCES
     key = seeded(F.col("doc_id"), seed)
 
     def deal(rows: DataFrame) -> DataFrame:
-        out = rows.join(F.broadcast(sources) if len(names) <= 10_000 else sources, rows["__source"].eqNullSafe(sources["__source"])).drop(sources["__source"])
-        return out.withColumns({"__key": key, "__shard": F.conv(F.substring(key, 1, 7), 16, 10).cast("long") % F.col("__shards")})
+        out = rows.join(F.broadcast(sources) if few else sources, F.col("__source").eqNullSafe(F.col("source"))).drop("source")
+        return out.withColumns({"__key": key, "shard": F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.col("shards")})
 
     dealt = deal(own)
-    held = sorted((r["__index"], r["__shard"], r["n"]) for r in dealt.groupBy("__index", "__shard").agg(F.sum("size").alias("n")).collect())
-    blocks = [ceil(n / block_words) for _, _, n in held]
-    votes = [wanted[i] * n / sizes[i] if sizes[i] else 0.0 for i, _, n in held]
-    quotas = sainte_lague(votes, floor(sum(wanted) / block_words + 0.5), [REPEATS * b for b in blocks])
-    plan = [(i, s, q // b if b else 0, q % b * block_words if b else 0) for (i, s, _), q, b in zip(held, quotas, blocks, strict=True)]
-    shards = spark.createDataFrame(plan, "__index int, __shard long, whole long, __words long")
-    shards = F.broadcast(shards) if len(plan) <= MOST_SHARDS * 2 else shards
-
-    order = Window.partitionBy("__index", "__shard").orderBy("__key", "doc_id", "size")
+    held = dealt.groupBy("index", "shard").agg(F.sum("size").alias("n"), F.first("target").alias("t"), F.first("source_size").alias("s"))
+    blocks = F.ceil(F.col("n") / block_words).cast("long")
+    votes = F.when(F.col("s") > 0, F.col("t") * F.col("n") / F.col("s")).otherwise(0.0)
+    parties = written(held.select("index", "shard", blocks.alias("blocks"), votes.alias("votes"), (REPEATS * blocks).alias("most")))
+    quotas = apportioned(parties, floor(total / block_words + 0.5))
+    some = F.col("blocks") > 0
+    plan = written(quotas.select("index", "shard", F.when(some, F.expr("seats div blocks")).otherwise(0).alias("whole"), F.when(some, F.col("seats") % F.col("blocks") * block_words).otherwise(0).alias("words")))
+
+    order = Window.partitionBy("index", "shard").orderBy("__key", "doc_id", "size")
     # what is kept of a row is carried from here on only, through one shuffle
     spread = (deal(sized(*keep)) if keep else dealt).withColumn("__end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__words") - (F.col("__end") - F.col("size"))))
-    out = spread.join(shards, ["__index", "__shard"]).withColumn("first", first)
+    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - (F.col("__end") - F.col("size"))))
+    out = spread.join(plan, ["index", "shard"]).withColumn("first", first)
     return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("first")).select("doc_id", "size", "source_size", "target", "whole", "first", "taken", *keep)
 
 
@@ -185,8 +198,7 @@ level AS (
 tgt AS (SELECT source, idx, source_size, least(most, w * coalesce((SELECT arg_min(rate, {{'r': most / w, 'i': idx}}) FROM level WHERE rate * w <= most), 1e300)) AS target FROM level),
 sharded AS (
   SELECT d.*, t.idx, t.source_size, t.target,
-         CAST('0x' || substr(d.k, 1, 7) AS BIGINT)
-           % greatest(1, CAST(ceil(t.source_size / greatest({SHARD_WORDS}, (SELECT sum(source_size) FROM src) // {MOST_SHARDS} + 1)) AS BIGINT)) AS shard
+         CAST('0x' || substr(d.k, 1, 15) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / {SHARD_WORDS}) AS BIGINT)) AS shard
   FROM doc d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
 held AS (
   SELECT idx, shard, CAST(ceil(sum(size) / {BLOCK_WORDS}.0) AS BIGINT) AS blocks,
@@ -196,7 +208,7 @@ quotient AS (SELECT idx, shard, votes / (2 * k + 1) AS q FROM held, LATERAL (SEL
 won AS (
   SELECT idx, shard, count(*) AS seats
   FROM (SELECT *, row_number() OVER (ORDER BY q DESC, idx, shard) AS place FROM quotient)
-  WHERE place <= (SELECT floor(sum(target) / {BLOCK_WORDS}.0 + 0.5) FROM tgt) GROUP BY idx, shard),
+  WHERE place <= (SELECT floor(least({SHARE}::DOUBLE * sum(source_size), sum(most)) / {BLOCK_WORDS}.0 + 0.5) FROM cap) GROUP BY idx, shard),
 plan AS (
   SELECT h.idx, h.shard, CASE WHEN blocks = 0 THEN 0 ELSE coalesce(seats, 0) // blocks END AS whole,
          CASE WHEN blocks = 0 THEN 0 ELSE coalesce(seats, 0) % blocks * {BLOCK_WORDS} END AS words

@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import duckdb
 import pytest
-from folio.llm.mixing import SQL, mix, op8_sainte_lague_mix, sainte_lague, targets
+from folio.llm.mixing import SQL, apportioned, mix, mixed, numbered, op8_sainte_lague_mix, with_targets
 
 
 def test_query_equals_sql(spark):
@@ -25,20 +25,44 @@ def test_sources_come_near_their_targets(spark):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_quotas_equal_the_quotient_table(seed):
+def test_quotas_equal_the_quotient_table(spark, seed):
     rng = random.Random(seed)
-    votes = [rng.choice([0, 1, 5, 5, rng.random() * 100, 10**rng.randint(0, 5)]) for _ in range(rng.randint(1, 30))]
+    votes = [float(rng.choice([0, 1, 5, 5, rng.random() * 100, 10**rng.randint(0, 5)])) for _ in range(rng.randint(1, 30))]
     most = [rng.randint(0, 400) for _ in votes]
     seats = rng.randint(0, 500)
     table = sorted(((-Fraction(v) / (2 * k + 1), i) for i, (v, m) in enumerate(zip(votes, most, strict=True)) if v for k in range(m)))[:seats]
-    assert sainte_lague([float(v) for v in votes], seats, most) == [sum(j == i for _, j in table) for i in range(len(votes))]
+    parties = spark.createDataFrame([(i // 7, i % 7, v, m) for i, (v, m) in enumerate(zip(votes, most, strict=True))], "index long, shard long, votes double, most long")
+    for listed in (0, 1000):
+        got = {(r["index"], r.shard): r.seats for r in apportioned(parties, seats, listed).collect()}
+        assert got == {(i // 7, i % 7): sum(j == i for _, j in table) for i in range(len(votes))}
 
 
-def test_targets_reshare_the_excess():
-    assert targets([100, 100, 100], [5, 2, 1]) == [200, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    got = targets([10, 1000, 1000], [5, 2, 1])
-    assert got[0] == 20 and sum(got) == pytest.approx(3015) and got[1] == 2 * got[2]
-    assert targets([], []) == [] and targets([0, 4], [5, 2]) == [0, 6]
+def reshared(sizes, weights, share=1.5, most=2):
+    """By hand: the sources above their limits are set to them, one round after another."""
+    limits, out = [most * s for s in sizes], {}
+    total = min(share * sum(sizes), sum(limits))
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in out]
+        rest, all_ = total - sum(out.values()), sum(weights[i] for i in open_)
+        over = [i for i in open_ if rest / all_ * weights[i] > limits[i]]
+        if not over:
+            return [out[i] if i in out else rest / all_ * weights[i] for i in range(len(sizes))]
+        out |= {i: limits[i] for i in over}
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 1000], [0, 4], [7], [1, 1, 1, 1, 1, 900], [5000, 3, 2, 1, 0, 80, 80], list(range(1, 60))])
+def test_targets_reshare_the_excess(spark, sizes):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "index long, source_size long")
+    got, total = with_targets(rows)
+    want = reshared(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))])
+    assert {r["index"]: r.target for r in got.collect()} == pytest.approx(dict(enumerate(want))) and total == pytest.approx(sum(want))
+
+
+def test_sources_are_numbered_by_code_points(spark):
+    names = ["b", "B", "é", "", "z", "zz", "日", None, *[f"s{i}" for i in range(200)]]
+    got = numbered(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5))
+    order = [r.source for r in sorted(got.collect(), key=lambda r: r["index"])]
+    assert order == [*sorted(n for n in names if n is not None), None] and sorted(r["index"] for r in got.collect()) == list(range(len(names)))
 
 
 def test_edges_and_reruns(spark):
@@ -54,8 +78,11 @@ def test_edges_and_reruns(spark):
 
 
 def test_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a b c", "s", 9, 9.0)], "doc_id long, text string, source string, size int, target double")
-    assert mix(df).collect()[0]["size"] == 3
+    names = ["size", "target", "index", "shard", "shards", "whole", "first", "taken", "words", "__source", "__key", "__row", "__text", "__end", "source_size"]
+    df = spark.createDataFrame([(1, "a b c " * 30, "s", *range(len(names)))], ["doc_id", "text", "source", *names])
+    assert mix(df).collect()[0]["size"] == 90
+    got = mixed(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {tuple(range(len(names)))}
 
 
 def test_many_shards(spark):
