@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, written
+from folio.llm.common import dropped, table, written
 
 TRAIN_DOCS = 8000
-KEPT_WORDS = 30_000  # of a language
 LONGEST = 5
 FOLDS, FOLD = 3, 1
-REMEMBERED = 300_000
+#: Bytes that a worker remembers unseen words in, and what an entry takes besides its numbers.
+REMEMBERED, ENTRY = 64 << 20, 200
 NONE = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,73 +37,98 @@ def grams(word: str, size: int) -> list[str]:
     return [whole[i : i + size] for i in range(len(whole) - size + 1)]
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Names (words or n-grams) with a count for each language that has them: name i's are from starts[i] to starts[i + 1]."""
+
+    names: list[str]
+    starts: np.ndarray
+    languages: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, languages: dict[str, int]) -> Counts:
+        """From a table of language, name and count, a row for each pair."""
+        codes = pa.compute.dictionary_encode(rows.column(1)).combine_chunks()
+        at = codes.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(codes.dictionary))))).astype(np.int64)
+        langs = np.array([languages[x] for x in rows.column(0).to_pylist()], np.int32)
+        return cls(codes.dictionary.to_pylist(), starts, langs[order], rows.column(2).to_numpy().astype(np.int64)[order])
+
+    def logs(self) -> np.ndarray:
+        """What a count adds to the log of the half that every name has in every language."""
+        return np.log1p(2.0 * self.counts)
+
+    def base(self, chosen: np.ndarray, size: int) -> np.ndarray:
+        """For each language, the log frequency of a name that it lacks, among the chosen names."""
+        which = np.repeat(chosen, np.diff(self.starts))
+        total = np.bincount(self.languages[which], self.counts[which], size)
+        return np.log(0.5 / (total + 0.5 * (np.count_nonzero(chosen) + 1)))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Counts of words by language, and the languages' shares of the documents learned from."""
+    """The languages' shares of the documents learned from, and the counts of their words and n-grams."""
 
     languages: tuple[str, ...]
     shares: tuple[float, ...]
-    counts: dict[str, tuple[int, ...]]
-    totals: tuple[int, ...]
+    words: Counts
+    grams: Counts
 
 
 class Scorer:
-    """A model made ready on a worker: log frequencies of words and of n-grams, in bounded memory."""
-
-    def __init__(self, model: Model):
-        self.model, size = model, len(model.languages)
-        self.index = {w: i for i, w in enumerate(model.counts)}
-        known = np.array(list(model.counts.values()), np.float64).reshape(len(model.counts), size)
-        total = np.array(model.totals, np.float64)
-        self.rows = np.log((known + 0.5) / (total + 0.5 * (len(known) + 1)))
-        if size:
-            self.rows -= self.rows.mean(1, keepdims=True)
-        self.known, self.extra = len(known), np.zeros((REMEMBERED, size))
-        self.parts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for n in range(1, LONGEST + 1 if size else 0):
-            found: dict[str, np.ndarray] = {}
-            for w, c in zip(model.counts, known, strict=True):
-                for g in grams(w, n):
-                    if g in found:
-                        found[g] += c
-                    else:
-                        found[g] = c.copy()
-            # languages without an n-gram count as if they had half of one
-            every = sum(found.values(), np.zeros(size)) + 0.5 * (len(found) + 1)
-            for g, c in found.items():
-                v = np.log((c + 0.5) / every)
-                self.parts[n][g] = v - v.mean()
+    """A model made ready on a worker. Unseen words are remembered in bounded memory."""
+
+    def __init__(self, model: Model, remembered: int = REMEMBERED):
+        self.model, self.size = model, len(model.languages)
+        size = self.size
+        self.index = {w: i for i, w in enumerate(model.words.names)}
+        self.known, self.most = len(self.index), max(16, remembered // (8 * max(1, size) + ENTRY))
+        self.adds, self.word_base = model.words.logs(), model.words.base(np.ones(self.known, bool), size)
+        self.grams = {g: i for i, g in enumerate(model.grams.names)}
+        self.gram_adds = model.grams.logs()
+        sizes = np.fromiter(map(len, model.grams.names), np.int64, len(self.grams))
+        self.gram_base = [model.grams.base(sizes == n, size) for n in range(LONGEST + 1)]
+        self.extra = np.zeros((256, size))
         self.prior = np.log(np.array(model.shares)) if size else np.zeros(0)
 
+    def _sum(self, counts: Counts, adds: np.ndarray, at: np.ndarray) -> np.ndarray:
+        first = counts.starts[at]
+        many = counts.starts[at + 1] - first
+        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(counts.languages[places], adds[places], self.size)
+
     def unseen(self, word: str) -> np.ndarray:
         """The mean over a word's known n-grams of the longest size that has any; zeros if not one letter is known."""
         for n in range(LONGEST, 0, -1):
-            part = self.parts[n]
-            found = [part[g] for g in grams(word, n) if g in part]
+            found = [self.grams[g] for g in grams(word, n) if g in self.grams]
             if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.model.languages))
+                return self.gram_base[n] + self._sum(self.model.grams, self.gram_adds, np.array(found)) / len(found)
+        return np.zeros(self.size)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         own = words(text)
-        if not self.model.languages or not any(c.isalpha() for w in own for c in w):
+        if not self.size or not any(c.isalpha() for w in own for c in w):
             return NONE, 0.0
         fresh = [w for w in set(own) if w not in self.index]
-        if len(self.index) + len(fresh) > self.known + REMEMBERED:
-            self.index = {w: i for i, w in enumerate(self.model.counts)}
+        if len(self.index) - self.known + len(fresh) > self.most:
+            self.index = {w: i for i, w in enumerate(self.model.words.names)}
             fresh = [w for w in set(own) if w not in self.index]
         total = self.prior.copy()
-        if len(fresh) > REMEMBERED:  # a text with more new words than are remembered: by counts
+        if len(fresh) > self.most:  # a text with more new words than are remembered: by counts
             for w, k in Counter(own).items():
-                total += k * (self.rows[self.index[w]] if w in self.index else self.unseen(w))
+                total += k * (self.word_base + self._sum(self.model.words, self.adds, np.array([self.index[w]])) if w in self.index else self.unseen(w))
         else:
+            while len(self.extra) < min(self.most, len(self.index) - self.known + len(fresh)):
+                self.extra = np.concatenate((self.extra, np.zeros_like(self.extra)))
             for w in fresh:
                 at = len(self.index)
                 self.index[w] = at
                 self.extra[at - self.known] = self.unseen(w)
             at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
             old = at < self.known
-            total += self.rows[at[old]].sum(0) + self.extra[at[~old] - self.known].sum(0)
+            total += np.count_nonzero(old) * self.word_base + self._sum(self.model.words, self.adds, at[old]) + self.extra[at[~old] - self.known].sum(0)
         best = int(total.argmax())
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -111,57 +137,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == FOLD, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept_words: int = KEPT_WORDS) -> Model:
+def counted(rows: DataFrame, found: Callable[[str], Counter]) -> DataFrame:
+    """lang, name, n: found(text) summed over all rows (lang, text, n)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, Counter] = {}
+            for lang, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(lang, Counter())
+                for name, k in found(text).items():
+                    own[name] += n * k
+            for lang, counts in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "name", "n"])
+
+    return rows.mapInArrow(run, "lang string, name string, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
+
+
+def all_grams(word: str) -> Counter:
+    return Counter(g for n in range(1, LONGEST + 1) for g in grams(word, n))
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from at most train_docs documents with text and language outside the held-out fold, those with the lowest hashed doc_ids.
 
-    Words are counted over all of their texts; the driver gets the commonest of each language, at
-    most kept_words of them: those with equal counts stay or go together.
+    All words of their whole texts are counted, and all n-grams of these words; the driver gets a row
+    for each pair of a language and a word or an n-gram of that sample.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     chosen = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
     ids = spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").distinct()
-    some = own.join(F.broadcast(ids), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(words(text))
-            for lang, counts in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
-
+    some = own.join(F.broadcast(ids), "doc_id").select("lang", "text", F.lit(1).cast("long").alias("n"))
+    some = written(some, texts=True, compression="zstd")
     shares = {r.lang: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    counted = written(some.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    # how many words have each count: the least count that is kept follows, without ordering words
-    by_count = sorted(((r.lang, -r["n"], r["words"]) for r in counted.groupBy("lang", "n").agg(F.count("*").alias("words")).collect()))
-    least, held, all_words = {}, {}, {}
-    for lang, minus, many in by_count:
-        all_words[lang] = all_words.get(lang, 0) - minus * many
-        held[lang] = held.get(lang, 0) + many
-        if held[lang] <= kept_words:
-            least[lang] = -minus
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= n))
-    rows = counted.where(keep).collect()
-    languages = tuple(sorted(shares))
-    at, totals, table_ = {x: i for i, x in enumerate(languages)}, [1] * len(languages), {}
-    for r in sorted(rows, key=lambda r: (r.word, r.lang)):
-        totals[at[r.lang]] = all_words[r.lang]
-        table_.setdefault(r.word, [0] * len(languages))[at[r.lang]] = r["n"]
-    every = sum(shares.values())
-    return Model(languages, tuple(shares[x] / every for x in languages), {w: tuple(c) for w, c in table_.items()}, tuple(totals))
+    spoken = written(counted(some, lambda text: Counter(words(text))))
+    parts = written(counted(spoken.select("lang", "name", "n"), all_grams))
+    languages, every = tuple(sorted(shares)), sum(shares.values())
+    at = {x: i for i, x in enumerate(languages)}
+    tables = [Counts.of(t.orderBy("name", "lang").toArrow(), at) for t in (spoken, parts)]
+    dropped(some, spoken, parts)
+    return Model(languages, tuple(shares[x] / every for x in languages), *tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score: the likeliest language of the whole text and its probability.
 
     A text that is null or has no letter is `und` with score 0, as is every text if nothing could
-    be learned. Ties go to the earlier language. Rows stay; other columns aren't read.
+    be learned. Ties go to the earlier language; very long texts are read whole. Rows stay, repeated
+    ones too; other columns aren't read. An empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by kept_words a language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that is learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ready(sent)

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import table, written
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 256  # of one document, evenly spread, in training only
+TRAIN_PASSAGES = 400_000  # of all documents learned from together
 HELD_OUT = 5
 LEAST = 0.3
 HIDDEN, GATE = 12, 8
@@ -105,28 +105,37 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dic
     return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "s": z @ w["c"] + w["c0"]}
 
 
+def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """The layers' weights before learning."""
+    return {"W": rng.normal(0, 0.3, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)), "w": rng.normal(0, 0.3, GATE), "c": np.zeros(HIDDEN), "c0": np.zeros(1)}
+
+
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss, by all weights."""
+    f = _forward(w, x, starts)
+    bag, h, t, g, a = (f[k] for k in ("bag", "h", "t", "g", "a"))
+    ds = (_sigmoid(f["s"]) - y) / len(y)
+    dz = ds[:, None] * w["c"]
+    da = (dz[bag] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, starts)[bag])
+    dg = de[:, None] * w["w"]
+    dt, du = dg * g * (1 - t * t), dg * t * g * (1 - g)
+    dh = (a[:, None] * dz[bag] + dt @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * g).T @ de, "c": f["z"].T @ ds, "c0": ds.sum(keepdims=True)}
+
+
 def learn(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 42) -> Model:
     """Fits all layers by full-batch Adam on the log loss of the documents' labels."""
     rows = np.concatenate(bags).astype(np.float64) if bags else np.zeros((1, FEATURES))
     mean, scale = rows.mean(0), rows.std(0) + 1e-3
-    rng = np.random.default_rng(seed)
-    w = {"W": rng.normal(0, 0.3, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)), "w": rng.normal(0, 0.3, GATE), "c": np.zeros(HIDDEN), "c0": np.zeros(1)}
+    w = initial(np.random.default_rng(seed))
     if not bags:
         return Model(mean, scale, w)
     x, starts, y = ((rows - mean) / scale).astype(np.float32), np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1])), labels.astype(np.float32)
     w = {k: p.astype(np.float32) for k, p in w.items()}
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
     for i in range(1, rounds + 1):
-        f = _forward(w, x, starts)
-        bag, h, t, g, a = (f[k] for k in ("bag", "h", "t", "g", "a"))
-        ds = (_sigmoid(f["s"]) - y) / len(y)
-        dz = ds[:, None] * w["c"]
-        da = (dz[bag] * h).sum(1)
-        de = a * (da - np.add.reduceat(a * da, starts)[bag])
-        dg = de[:, None] * w["w"]
-        dt, du = dg * g * (1 - t * t), dg * t * g * (1 - g)
-        dh = (a[:, None] * dz[bag] + dt @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-        grads = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * g).T @ de, "c": f["z"].T @ ds, "c0": ds.sum(keepdims=True)}
+        grads = gradients(w, x, starts, y)
         step = rate * min(1.0, 2 * (1 - i / (rounds + 1)))
         for k, p in w.items():
             d = grads[k] + decay * p
@@ -139,12 +148,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns labels.quality from at most train_docs labelled documents, those with the lowest hashed doc_ids.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> Model:
+    """Learns labels.quality from a bounded sample of labelled documents, all passages of each.
 
-    Held-out documents (crc32 of the doc_id as text, modulo 5, is 0) are never among them. Of a
-    document's repeated labels the highest counts; null labels and null doc_ids are left out. At most
-    TRAIN_PASSAGES passages a document reach the driver. Without labels every score is 0.5.
+    The sample is the documents with the lowest hashed doc_ids: at most train_docs, and no more than
+    have train_passages passages together (the first one stays whatever it has). Held-out documents
+    (crc32 of the doc_id as text, modulo 5, is 0) are never among them. Of a document's repeated
+    labels the highest counts; null labels and null doc_ids are left out. Without labels every score
+    is 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
@@ -157,12 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [passages(t) for t in batch.column(2).to_pylist()]
-            rows = [r if len(r) <= TRAIN_PASSAGES else r[np.linspace(0, len(r) - 1, TRAIN_PASSAGES).astype(int)] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "rows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "n", "rows"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = own.join(F.broadcast(marked), "doc_id").select("doc_id", "quality", "text")
-    found = sorted((r.doc_id, bytes(r.rows), r.quality) for r in joined.mapInArrow(run, "doc_id long, quality int, rows binary").collect())
+    encoded = written(joined.mapInArrow(run, "doc_id long, quality int, n long, rows binary"))
+    place, total, kept = {r.doc_id: i for i, r in enumerate(chosen)}, 0, []
+    for r in sorted(encoded.groupBy("doc_id").agg(F.sum("n").alias("n")).collect(), key=lambda r: place[r.doc_id]):
+        total += r.n
+        if kept and total > train_passages:
+            break
+        kept.append(r.doc_id)
+    found = sorted((r.doc_id, bytes(r.rows), r.quality) for r in encoded.where(F.col("doc_id").isin(kept)).collect())
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, b, _ in found]
     return learn(bags, np.array([q > 0 for _, _, q in found], np.float64))
 
@@ -193,6 +210,12 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     return docs.withColumn(column, F.pandas_udf(run, "double")(F.col("text").cast("string")))
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose score is at least `least`, as they are, whatever their columns' names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("item"), F.col("text").cast("string").alias("text"))
+    return score(rows, model).where(F.col("score") >= least).select("item.*")
+
+
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
