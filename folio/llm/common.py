@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share. A session that names none gets a local folder if it has no executors of its own, and an error if it has."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="folio-"))
     return _own[0]
@@ -50,7 +55,20 @@ def written(df: DataFrame, texts: bool = False, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
     with small_batches(spark) if texts else nullcontext():
         df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more, and lets Spark clear the shuffle files of jobs that are done."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_folio_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for spark in {id(df.sparkSession): df.sparkSession for df in tables}.values():
+        spark._jvm.System.gc()  # shuffle files go when the driver finds their plans unused
 
 
 def words(text: Column) -> Column:
@@ -58,21 +76,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def ranges(df: DataFrame, key: str, rows: int = 4096) -> Column:
-    """A column that numbers consecutive ranges of a long key, about `rows` rows each.
+def ranges(df: DataFrame, key: str, tie: Column, rows: int = 4096) -> Column:
+    """A column that numbers consecutive ranges of a long key and, among equal keys, of `tie`: about `rows` rows each.
 
     The bounds are approximate quantiles and are fixed here, on the driver; whatever they are,
-    every row has one range and ranges follow the key's order. At most 20,000 bounds; null keys
-    are in range 0.
+    every row has one range, and ranges follow the order of key (nulls first) and tie, a long that
+    is spread evenly, such as a hash. A key that many rows have, null too, has as many ranges as
+    quantiles fall on it. At most 20,000 bounds.
     """
-    n = df.count()
-    parts = max(1, min(20_000, n // rows))
+    seen = df.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("none")).first()
+    parts = max(1, min(20_000, seen["n"] // rows))
     if parts == 1:
         return F.lit(0)
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("at")).first()["at"] or []
+    size = seen["n"] / parts
+    known, nulls = seen["n"] - seen["none"], ceil(seen["none"] / size)
+    at = [i * size / known for i in range(1, parts) if i * size < known] if known else []
+    found = (df.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("at")).first()["at"] or []) if at else []
     bounds = sorted(set(found))
-    return between(F.col(key), bounds)
+    many = Counter(found)
+    share = (tie / F.lit(2.0**64) + 0.5).cast("double")  # of the range of longs that is below tie
+
+    def part(of: Column) -> Column:
+        return F.least(of - 1, F.floor(share * of).cast("int"))
+
+    first = nulls if seen["none"] else 0
+    if not bounds:
+        return F.when(F.col(key).isNull(), part(F.lit(first))).otherwise(F.lit(first)) if first else F.lit(0)
+    # the bound at or below a key; rows that equal it take as many ranges as it was found, the others the one after these
+    place, taken, bases, sizes = between(F.col(key), bounds), first + 1, [first], [0]
+    for b in bounds:
+        own = many[b] if many[b] > 1 else 0
+        bases.append(taken)
+        sizes.append(own)
+        taken += own + 1
+    base, split = F.get(longs(bases), place).cast("int"), F.get(longs(sizes), place).cast("int")
+    equal = F.get(longs([0, *bounds]), place) == F.col(key)
+    inner = F.when(split == 0, base).when(equal, base + part(split)).otherwise(base + split)
+    return F.when(F.col(key).isNull(), part(F.lit(max(1, first)))).otherwise(inner)
 
 
 def longs(values: list[int]) -> Column:
@@ -97,13 +137,15 @@ def components(edges: DataFrame) -> DataFrame:
     come to the driver. Loops and repeated links are allowed; nodes without links aren't returned.
     """
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, older = None, []
     while True:
         seen = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before:
+            dropped(*older)
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = seen
+        older.append(links)
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -72,12 +72,14 @@ def with_next(docs: DataFrame, key: str, columns: list[str], ties: str, rows: in
 
     Rows are ordered inside ranges of the key. The first rows of each range are also dealt to the
     range that comes before it, so no task needs more than its own range. Equal keys are ordered
-    by `ties`; null keys come last.
+    by the hash of `ties`, by which a key that many rows have falls into many ranges, and then by
+    `ties`; null keys come last.
     """
-    part = docs.withColumn("__range", ranges(docs, key, rows))
+    docs = docs.withColumn("__tie", F.xxhash64(ties))
+    part = docs.withColumn("__range", ranges(docs.select(key, "__tie"), key, F.col("__tie"), rows))
     heads = part.groupBy("__range").agg(F.max(key).alias("head")).orderBy(F.desc("__range")).collect()
     if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return docs.drop("__tie").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     before = {r["__range"]: heads[i - 1]["__range"] for i, r in enumerate(heads)}
     size = heads[0]["__range"] + 1
     at = {r["__range"]: r["head"] for r in heads}
@@ -87,9 +89,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str], ties: str, rows: in
     own = F.struct(F.col("__range").alias("range"), F.lit(0).alias("late"))
     dealt = part.withColumn("__to", F.explode(F.when(is_head, F.array(own, F.struct(to.alias("range"), F.lit(1).alias("late")))).otherwise(F.array(own))))
     dealt = dealt.withColumns({"__range": F.col("__to.range"), "__late": F.col("__to.late")})
-    order = Window.partitionBy("__range").orderBy("__late", F.desc_nulls_last(key), ties)
+    order = Window.partitionBy("__range").orderBy("__late", F.desc_nulls_last(key), F.desc("__tie"), ties)
     led = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return led.where("__late = 0").drop("__range", "__late", "__to")
+    return led.where("__late = 0").drop("__range", "__late", "__to", "__tie")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars (code points), text, edited, and hash and sketch of the text, of the edited
     text and of the next document's text. A null text is empty. Repeated doc_ids are ordered by
-    their text; rows with a null doc_id come after all others. A lone document is its own next.
+    a hash of their text; rows with a null doc_id come after all others. A lone document is its own next.
     An empty table gives an empty result; other columns aren't read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -117,4 +119,5 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("hash"), F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_hash"), F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("hash"), F.col("sketch"), F.col("edited_hash"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("hash"), F.col("sketch"), F.col("next_hash"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"), containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_in"),
     )
