@@ -68,7 +68,13 @@ def dropped(*tables: DataFrame) -> None:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     for spark in {id(df.sparkSession): df.sparkSession for df in tables}.values():
-        spark._jvm.System.gc()  # shuffle files go when the driver finds their plans unused
+        released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Shuffle files go when the driver finds their plans unused: it holds the last job's until another has run, and looks when it collects its garbage."""
+    spark.range(1).count()
+    spark._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, small_batches, table, written
+from folio.llm.common import components, table, written
 
 SEED = 42
 PIVOTS = 16
@@ -45,27 +45,6 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-SLOTS = 128
-
-
-def sketch(text: str | None, size: int) -> bytes:
-    """One byte of the least hash in each of 128 permutations of the shingles: equal bytes estimate their Jaccard similarity."""
-    hashes = np.unique(shingle_hashes(text, size))
-    if not len(hashes):
-        return b""
-    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    odd, add = _permutations()
-    for at in range(0, len(hashes), 2048):
-        low = np.minimum(low, ((hashes[at : at + 2048, None] * odd + add) >> np.uint64(16)).min(0))
-    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-@lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SLOTS, np.uint64)
-
-
 class PivotTable:
     """Hamming distances of fingerprints to fixed references, whole and by blocks of bits.
 
@@ -83,6 +62,12 @@ class PivotTable:
         self.combos = list(combinations(range(blocks), KEPT))
         self.references = np.random.default_rng(SEED).integers(0, 2**64 - 1, PIVOTS, np.uint64, endpoint=True)
         sets = [sum(1 << g for g in c) for c in self.combos]
+        #: For each choice, the bits outside its blocks in radius + 2 parts, of which two agree at least: by them a crowded cell is split.
+        self.parts = []
+        for combo in self.combos:
+            rest = [x for x in range(64) if not any(edges[g] <= x < edges[g + 1] for g in combo)]
+            cuts = [round(len(rest) * i / (radius + 2)) for i in range(radius + 3)]
+            self.parts.append([np.uint64(sum(1 << x for x in rest[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)])
         #: For a set of agreeing blocks, the first choice inside it: each pair is looked at in one cell only.
         self.first = np.array([next((i for i, s in enumerate(sets) if s & m == s), len(sets)) for m in range(1 << blocks)], np.int32)
 
@@ -102,13 +87,31 @@ class PivotTable:
             out[:, i] = mixed & ~np.uint64(255) | np.uint64(i)
         return out.view(np.int64)
 
+    def split(self, combo: int, cells: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """For rows of crowded cells of one combination: a row of smaller cells' numbers, one for each choice of two parts of the other bits.
+
+        A pair within the radius that agrees on the three blocks differs in at most `radius` of the
+        radius + 2 parts, so it shares one of these cells.
+        """
+        nibbles = np.uint64(4) * np.arange(PIVOTS, dtype=np.uint64)
+        by_part = [(np.bitwise_count((prints[:, None] ^ self.references[None, :]) & m).astype(np.uint64) << nibbles).sum(1, dtype=np.uint64) for m in self.parts[combo]]
+        chosen = list(combinations(range(len(by_part)), 2))
+        out = np.empty((len(prints), len(chosen)), np.uint64)
+        for k, two in enumerate(chosen):
+            mixed = cells.view(np.uint64) ^ np.uint64(k + 1)
+            for g in two:
+                mixed = (mixed ^ by_part[g]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            out[:, k] = mixed & ~np.uint64(255) | np.uint64(combo)
+        return out.view(np.int64)
+
     def first_combo(self, differing: np.ndarray) -> np.ndarray:
         agree = np.zeros(differing.shape, np.int64)
         for g, m in enumerate(self.masks):
             agree |= ((differing & m) == 0).astype(np.int64) << g
         return self.first[agree]
 
-    def linked(self, combo: int, prints: np.ndarray, sketches: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    def linked(self, combo: int, prints: np.ndarray) -> list[tuple[int, int]]:
         """A spanning forest of the links of one cell, as pairs of positions.
 
         Rows are in order of their distance to the first reference, so partners are in a window;
@@ -117,7 +120,6 @@ class PivotTable:
         table = self.distances(prints)
         order = np.argsort(table[:, 0], kind="stable")
         prints, table = prints[order], table[order]
-        sketches = None if sketches is None else sketches[order]
         free, found = np.ones(len(prints), bool), []
         for root in range(len(prints)):
             if not free[root]:
@@ -129,14 +131,12 @@ class PivotTable:
                 near = lo + np.flatnonzero(free[lo:hi])
                 near = near[np.abs(table[near] - table[x]).max(1, initial=0) <= self.radius]
                 near = near[self.confirmed(combo, prints[near] ^ prints[x])]
-                if sketches is not None:
-                    near = near[(sketches[near] == sketches[x]).mean(1) >= least]
                 free[near] = False
                 stack += near.tolist()
                 found += [(order[x], order[y]) for y in near]
         return found
 
-    def pairs(self, cells: np.ndarray, prints: np.ndarray, left: np.ndarray, sketches: np.ndarray | None, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, cells: np.ndarray, prints: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs of rows in many cells at once; left: how many rows of its cell come after a row.
 
         All rows are compared with the next of their cells, then with the next but one, and so on.
@@ -148,8 +148,6 @@ class PivotTable:
                 x = rows[at : at + (1 << 16)]
                 x = x[np.abs(table[x] - table[x + lag]).max(1) <= self.radius]
                 x = x[self.confirmed((cells[x] & 255).astype(np.int32), prints[x] ^ prints[x + lag])]
-                if sketches is not None and len(x):
-                    x = x[(sketches[x] == sketches[x + lag]).mean(1) >= least]
                 found.append((x, x + lag))
             lag += 1
             rows = rows[left[rows] >= lag]
@@ -183,89 +181,131 @@ def pivot_table(radius: int) -> PivotTable:
     return PivotTable(radius)
 
 
-def _spread(radius: int):
+BUCKETS = 1 << 16
+CROWD = 4096
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64)
+
+
+def bucket_counts(rows: DataFrame, keys) -> np.ndarray:
+    """How often the keys of all rows fall in each of 65,536 buckets; keys(batch) gives a batch's as long numbers. The driver sees one number a bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for some in keys(batch):
+                total += np.bincount(bucket(some), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    counted = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return out
+
+
+def crowded(counts: np.ndarray, most: int) -> np.ndarray:
+    """The buckets that have `most` rows more than usual: whatever key has so many rows is in one of them."""
+    return counts > np.median(counts) + most
+
+
+def _cells(radius: int):
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at in range(0, len(prints), 8192):
+            yield pivot_table(radius).cells(prints[at : at + 8192].view(np.uint64)).ravel()
+    return keys
+
+
+def _spread(radius: int, crowds: np.ndarray):
+    """A row for each cell of each fingerprint; cells in a crowded bucket are split, whatever row they come from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivot_table(radius)
         for batch in batches:
             nodes, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for at in range(0, len(nodes), 8192):
-                part = prints[at : at + 8192].astype(np.int64)
+            for at in range(0, len(nodes), 4096):
+                part, own = prints[at : at + 4096].astype(np.int64), nodes[at : at + 4096].astype(np.int64)
                 cells = pivots.cells(part.view(np.uint64))
-                k = cells.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(nodes[at : at + 8192].astype(np.int64), k)), pa.array(np.repeat(part, k))], ["cell", "node", "print"])
+                flat, row = cells.ravel(), np.repeat(np.arange(len(part)), cells.shape[1])
+                full = crowds[bucket(flat)]
+                out, rows = [flat[~full]], [row[~full]]
+                for combo in np.unique(flat[full] & 255).tolist():
+                    some = np.flatnonzero(full & ((flat & 255) == combo))
+                    smaller = pivots.split(combo, flat[some], part.view(np.uint64)[row[some]])
+                    out.append(smaller.ravel())
+                    rows.append(np.repeat(row[some], smaller.shape[1]))
+                rows = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(own[rows]), pa.array(part[rows])], ["cell", "node", "print"])
     return run
 
 
-def _search(radius: int, least: float | None):
+def _search(radius: int):
     """Links of each cell; rows arrive sorted by cell, and only the cell that is open is held."""
-    def links(cells, nodes, prints, sketches) -> Iterator[pa.RecordBatch]:
+    def links(cells, nodes, prints) -> Iterator[pa.RecordBatch]:
         pivots = pivot_table(radius)
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(cells)])))
         left = np.repeat(starts + sizes - 1, sizes) - np.arange(len(cells))
-        x, y = pivots.pairs(cells, prints, np.where(np.repeat(sizes, sizes) <= SMALL, left, 0), sketches, least)
+        x, y = pivots.pairs(cells, prints, np.where(np.repeat(sizes, sizes) <= SMALL, left, 0))
         a, b = forest(x.tolist(), y.tolist())
         for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            at = slice(start, start + size)
-            for i, j in pivots.linked(int(cells[start] & 255), prints[at], None if sketches is None else sketches[at], least):
+            for i, j in pivots.linked(int(cells[start] & 255), prints[start : start + size]):
                 a.append(start + int(i))
                 b.append(start + int(j))
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(cells[a]), pa.array(nodes[a]), pa.array(nodes[b])], ["cell", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
     def columns(batch):
-        cells, nodes, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        marks = None
-        if least is not None:
-            marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SLOTS)
-        return [cells.astype(np.int64), nodes.astype(np.int64), prints.astype(np.int64).view(np.uint64), marks]
+        cells, nodes, prints = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        return [cells, nodes, prints.view(np.uint64)]
 
-    def joined(parts: list[list]) -> list:
-        return [None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True)]
+    return _by_key(columns, links)
 
+
+def _by_key(columns, made):
+    """A function over batches in order of their first column: made(*columns) of stretches of about HELD_ROWS rows, no key of which goes on in the next."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list] = []
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
             if batch.num_rows:
                 parts.append(columns(batch))
-            if sum(len(p[0]) for p in parts) >= HELD_ROWS:
-                held = joined(parts)
-                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
-                if whole:
-                    yield from links(*[None if x is None else x[:whole] for x in held])
-                parts = [[None if x is None else x[whole:] for x in held]]
+            if sum(len(p[0]) for p in parts) >= HELD_ROWS and parts[-1][0][-1] != parts[0][0][0]:
+                held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+                yield from made(*[x[:whole] for x in held])
+                parts = [[x[whole:] for x in held]]
         if parts:
-            yield from links(*joined(parts))
+            yield from made(*[np.concatenate(x) for x in zip(*parts, strict=True)])
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 3, sketch_words: int = 0) -> DataFrame:
-    """doc_id, print (long) and, with sketch_words, the sketch of shingles of so many words.
+def close_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b: pairs of (node, print) rows, prints distinct, within the radius: of each cell a spanning forest, so that components are those of all such pairs."""
+    own = nodes.select("node", "print")
+    crowds = crowded(bucket_counts(own, _cells(radius)), CROWD)
+    cells = own.mapInArrow(_spread(radius, crowds), "cell long, node long, print long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(radius), "a long, b long")
 
-    Null, empty and blank texts have print zero and an empty sketch. Rows stay as they are;
-    other columns of docs are not read.
-    """
+
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id and print (long). Null, empty and blank texts have print zero. Rows stay as they are; other columns of docs are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            prints = [simhash(shingle_hashes(t.as_py(), size)) for t in texts]
-            out = [batch.column(0), pa.array(prints, pa.int64())]
-            if sketch_words:
-                out.append(pa.array([sketch(t.as_py(), sketch_words) for t in texts], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "print", "sketch"][: len(out)])
+            prints = [simhash(shingle_hashes(t.as_py(), size)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long" + ", sketch binary" * bool(sketch_words))
+    return rows.mapInArrow(run, "doc_id long, print long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: float | None = None, likeness_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, print (long), component_id: documents whose SimHash differ in at most `radius` bits are linked.
 
-    With `likeness`, a link also needs that estimated Jaccard similarity of shingles of
-    `likeness_words` words. component_id is the smallest doc_id that links reach, the document
-    itself included. Equal fingerprints (with equal sketches) are one node of the search, so a
-    group of copies costs one row, however large. No pair is listed: a cell gives a spanning
-    forest, with the same components.
+    component_id is the smallest doc_id that links reach, the document itself included. Equal
+    fingerprints are one node of the search, so a group of copies costs one row, however large. No
+    pair is listed: a cell gives a spanning forest, with the same components; a cell that very many
+    fingerprints share is split by further bits before it is shuffled.
 
     Empty texts are alike (fingerprint zero). A row with a null doc_id stays and takes the
     component of the rows with its fingerprint (null if there are none with a doc_id). Repeated
@@ -274,177 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, likeness: f
     """
     if not 0 <= radius <= 9:
         raise ValueError("radius must be from 0 to 9")
-    keys = ["print"] if likeness is None else ["print", "sketch"]
-    prints = written(fingerprints(docs, size, likeness_words if likeness is not None else 0), texts=True)
-    nodes = prints.groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    if likeness is not None:
-        nodes = written(nodes)
-    search = nodes.where("node is not null")
-    cells = search.select("node", "print").mapInArrow(_spread(radius), "cell long, node long, print long")
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(radius, None), "cell long, a long, b long")
-    if likeness is not None:
-        member = links.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-        marked = search.where(F.length("sketch") == SLOTS)
-        member = member.join(marked, "node").select("cell", "node", "print", "sketch")
-        links = member.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(radius, likeness), "cell long, a long, b long")
-    found = components(links.select("a", "b"))
-    named = nodes.join(found, "node", "left").select(*[F.col(k).alias(f"n_{k}") for k in keys], F.coalesce("component", "node").alias("component_id"))
-    same = [F.col(k) == F.col(f"n_{k}") for k in keys]
-    joined = prints.join(named, same[0] if len(same) == 1 else same[0] & same[1], "left")
-    return joined.select("doc_id", "print", "component_id")
-
-
-def _rows_with_shingles(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """row, doc_id, text_key, print, set_key, shingles: the sorted hashes of a text's distinct shingles of `words` words, as bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(3)]
-            prints = [simhash(shingle_hashes(t, size)) for t in texts]
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
-            keys = [xxhash.xxh3_128_digest(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["row", "doc_id", "text_key", "print", "set_key", "shingles"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, text_key string, print long, set_key binary, shingles binary")
-
-
-def _text_key():
-    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def _frequent(nodes: DataFrame, sample: int = 4096, most: int = 50_000) -> np.ndarray:
-    """Shingles that many texts of a bounded sample have, the most frequent last. They only order the search: no result depends on them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["token"])
-
-    some = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample)
-    counts = nodes.join(F.broadcast(some), "node", "left_semi").select("shingles").mapInArrow(run, "token long").groupBy("token").count()
-    found = counts.where("count >= 3").orderBy(F.desc("count"), "token").limit(most).collect()
-    return np.array([r.token for r in reversed(found)], np.int64).view(np.uint64)
-
-
-def _prefixes(least: float, frequent: np.ndarray):
-    """The shingles by which a set has to be looked up: two sets of the wanted similarity share one, whatever the order."""
-    order = np.argsort(frequent, kind="stable")
-    ordered = frequent[order]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, groups = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for node, group, x in zip(nodes.tolist(), groups.tolist(), batch.column(2), strict=True):
-                own = np.frombuffer(x.as_py(), np.uint64)
-                if not len(own):
-                    continue
-                rank = np.full(len(own), -1, np.int64)
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
-                    rank = np.where(ordered[at] == own, order[at], -1)
-                own = own[np.argsort(rank, kind="stable")]
-                n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
-                head = own[:n].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(head), *(pa.array(np.full(len(head), v, t)) for v, t in ((node, np.int64), (group, np.int64), (len(own), np.int32))), pa.array(np.arange(len(head), dtype=np.int32))], ["token", "node", "known", "size", "place"])
-    return run
-
-
-def _candidates(least: float):
-    """Pairs of one shingle's rows that sizes and places leave possible and that aren't in one group yet; rows arrive by shingle and size."""
-    def pairs(token, node, known, size, place) -> Iterator[pa.RecordBatch]:
-        last = np.searchsorted(token, token, "right")
-        rows, lag, found, held = np.flatnonzero(np.arange(len(token)) + 1 < last), 1, [], 0
-
-        def out():
-            both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-        while len(rows):
-            other = rows + lag
-            rows = rows[size[rows] >= least * size[other] - 1e-9]  # sizes only grow with the lag
-            other = rows + lag
-            overlap = np.minimum(size[rows] - place[rows], size[other] - place[other])
-            good = (known[rows] != known[other]) & (overlap >= least / (1 + least) * (size[rows] + size[other]) - 1e-9)
-            if good.any():
-                x, y = node[rows[good]], node[other[good]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                held += len(x)
-                if held > 1 << 20:
-                    yield out()
-                    found, held = [], 0
-            lag += 1
-            rows = rows[rows + lag < last[rows]]
-        if found:
-            yield out()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        for batch in batches:
-            if batch.num_rows:
-                parts.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            if sum(len(p[0]) for p in parts) >= HELD_ROWS:
-                held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on
-                if whole:
-                    yield from pairs(*[x[:whole] for x in held])
-                parts = [[x[whole:] for x in held]]
-        if parts:
-            yield from pairs(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-    return run
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def similar_groups(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float = 0.8, likeness_words: int = 5) -> DataFrame:
-    """row, doc_id, text_key, component: rows are linked if the Jaccard similarity of their shingle sets is at least `likeness`.
-
-    Every such pair is in one component, and no other link is made. Equal sets are one node.
-    Links among close SimHash fingerprints come first, so that a crowd of copies is one group
-    at the cost of a spanning forest; pairs of different groups are then looked for by their sets'
-    prefixes, which loses none. All links are verified on the sets. Texts without words are alike.
-    """
-    if not 0 < likeness <= 1:
-        raise ValueError("likeness must be above 0 and at most 1")
-    rows = written(_rows_with_shingles(docs, size, likeness_words), texts=True)
-    spark = docs.sparkSession
-    firsts = written(rows.groupBy("set_key").agg(F.min("row").alias("node")))
-    sets = written(rows.join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "print", "shingles"), texts=True)
-    with small_batches(spark):
-        cells = sets.select("node", "print").mapInArrow(_spread(radius), "cell long, node long, print long")
-        close = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(radius, None), "cell long, a long, b long")
-        seeds = written(_alike(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, likeness), texts=True)
-        known = components(seeds).select("node", F.col("component").alias("known"))
-        grouped = sets.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "shingles")
-        entries = grouped.mapInArrow(_prefixes(likeness, _frequent(sets)), "token long, node long, known long, size int, place int")
-        entries = entries.repartition("token").sortWithinPartitions("token", "size")
-        pairs = written(entries.mapInArrow(_candidates(likeness), "a long, b long").distinct())
-        links = written(_alike(pairs, sets, likeness), texts=True)
-    found = components(seeds.union(links))
-    named = firsts.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    return rows.select("row", "doc_id", "text_key", "set_key").join(named, "set_key").drop("set_key")
-
-
-def deduplicated(docs: DataFrame, size: int = 3, radius: int = 8, likeness: float = 0.8, likeness_words: int = 5) -> DataFrame:
-    """docs with one row of each near-duplicate group of texts: that with the smallest doc_id, null last, whatever ids repeat."""
-    groups = similar_groups(docs, size, radius, likeness, likeness_words)
-    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("__kept"), F.col("best.text_key").alias("__kept_key"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _text_key()})
-    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
-    order = Window.partitionBy("__id", "__key").orderBy("text")
-    return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", "__id", "__key")
+    prints = written(fingerprints(docs, size), texts=True)
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
+    found = components(close_pairs(nodes.where("node is not null"), radius))
+    named = nodes.join(found, "node", "left").select(F.col("print").alias("n_print"), F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, F.col("print") == F.col("n_print"), "left").select("doc_id", "print", "component_id")
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from folio.llm import quality
-from folio.llm.mixing import targets
-from folio.llm.simhash import shingle_hashes, simhash, sketch
 
+from tests.llm.test_mixing import reshared
+from tests.llm.test_models import forward
 from tests.llm.test_pii import PATTERNS, holds
+from tests.llm.test_similar import groups
 from tests.llm.test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +35,7 @@ def test_columns(steps):
 def test_quality_rejects_by_the_score(spark, steps):
     model = quality.fit(steps[0], spark.read.parquet(f"{SF}/labels.parquet"))
     rows = {r.doc_id: r.text for r in steps[0].collect()}
-    good = {d for d, t in rows.items() if model.score((b := quality.passages(t)), np.array([0]))[0] >= 0.3 and len(b)}
+    good = {d for d, t in rows.items() if forward(model.weights, quality.passages(t).tolist(), model.mean.tolist(), model.scale.tolist()) >= 0.3}
     kept = {r.doc_id: r.text for r in steps[1].collect()}
     assert kept == {d: rows[d] for d in good}
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
@@ -43,30 +44,10 @@ def test_quality_rejects_by_the_score(spark, steps):
 
 
 def test_one_of_each_group_stays(steps):
-    rows = {r.doc_id: r.text for r in steps[1].collect()}
-    ids = sorted(rows)
-    prints = {d: simhash(shingle_hashes(rows[d], 3)) & (1 << 64) - 1 for d in ids}
-    marks = {d: np.frombuffer(sketch(rows[d], 5), np.uint8) for d in ids}
-    label = {d: d for d in ids}
-
-    def root(d):
-        while label[d] != d:
-            d = label[d]
-        return d
-
-    def linked(a, b):
-        if (prints[a] ^ prints[b]).bit_count() > 8:
-            return False
-        if prints[a] == prints[b] and marks[a].tobytes() == marks[b].tobytes():
-            return True
-        return len(marks[a]) == len(marks[b]) == 128 and (marks[a] == marks[b]).mean() >= 0.8
-
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if linked(a, b):
-                x, y = sorted((root(a), root(b)))
-                label[y] = x
-    assert {r.doc_id for r in steps[2].collect()} == {root(d) for d in ids} != set(ids)
+    """Groups by the true similarity of all pairs."""
+    rows = sorted((r.doc_id, r.text) for r in steps[1].collect())
+    want = {rows[i][0] for i in groups([t for _, t in rows])}
+    assert {r.doc_id for r in steps[2].collect()} == want and len(want) < len(rows)
 
 
 def test_personal_data_is_gone(steps):
@@ -93,7 +74,7 @@ def test_mix_comes_near_targets(steps):
         of[r.doc_id] = of.get(r.doc_id, 0) + len(own)
     assert all(n <= 2 * len(words(before[d].text)) for d, n in of.items())
     names = sorted(sizes)
-    want = targets([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
+    want = reshared([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
     assert all(abs(taken.get(s, 0) - t) <= 64 for s, t in zip(names, want, strict=True))
 
 
@@ -120,15 +101,20 @@ def test_packing_of_what_the_mix_gave(steps):
 
 
 def test_run_and_odd_rows(spark, tmp_path, steps):
+    """Nulls, repeats, long texts, empty tables, and columns with the names that the stages use inside."""
     assert corpus_pipeline.run(spark, SF).count() == steps[5].count()
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, component_id string"
-    rows = [(1, None, None, None, None, 1, "x"), (2, "", "en", "s", 0, 1, "x"), (3, "a b c", "en", "s", 5, 1, "x"), (3, "a b c", "en", "s", 5, 1, "x"), (None, "a b c d", "en", None, 7, 1, "x"), (4, "mail me@x.org " + "w " * 20_000, "en", "s", 9, 1, "x")]
-    for name, some in (("odd", rows), ("none", [])):
-        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    names = ["__score", "score", "__spans", "spans", "found", "masked", "item", "row", "key", "component", "__kept", "__place", "__row", "__text", "__source", "__key", "index", "shard", "size", "target", "taken", "first", "whole", "words", "tie", "component_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    some = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (None, "a b c d", "en", None, 7), (4, "mail me@x.org " + "w " * 20_000, "en", "s", 9)]
+    rows = [(*r, *range(len(names))) for r in some]
+    for name, own in (("odd", rows), ("none", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(3, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{i}")
             docs = spark.read.parquet(f"{tmp_path}/{name}/{i}")
-            assert i == 4 or docs.columns == [c.split()[0] for c in schema.split(", ")]
+            if i < 4:
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+                assert {tuple(r)[5:] for r in docs.collect()} == ({tuple(range(len(names)))} if own else set())
         assert (docs.count() == 0) == (name == "none")

@@ -7,7 +7,7 @@ import pytest
 import pyarrow as pa
 import xxhash
 from folio.llm import simhash as module
-from folio.llm.simhash import near_duplicates, op1_simhash_groups, pivot_table, simhash, sketch
+from folio.llm.simhash import near_duplicates, op1_simhash_groups, pivot_table, simhash
 
 
 def brute_print(text, size=3):
@@ -95,7 +95,36 @@ def test_crowded_cells_over_batches(monkeypatch, radius, small):
     cells = table.cells(np.array(prints, np.uint64))
     rows = sorted((int(c), int(n)) for n, own in zip(nodes, cells, strict=True) for c in own)
     flat = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows]), pa.array([n for _, n in rows]), pa.array(np.array([prints[n] for _, n in rows], np.uint64).view(np.int64))], ["cell", "node", "print"])
-    edges = [e for out in module._search(radius, None)(flat.slice(i, 997) for i in range(0, len(rows), 997)) for e in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+    edges = [e for out in module._search(radius)(flat.slice(i, 997) for i in range(0, len(rows), 997)) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    check_edges(edges, prints, radius)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 6, 9])
+def test_split_cells_lose_no_link(radius):
+    """All cells crowded: prints that share most of their blocks are found in the smaller cells."""
+    rng = random.Random(radius)
+    centre = rng.getrandbits(64)
+    prints = list({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(500)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(prints))), pa.array(np.array(prints, np.uint64).view(np.int64))], ["node", "print"])
+    all_cells, none = (pa.Table.from_batches(module._spread(radius, np.full(module.BUCKETS, x))([batch])) for x in (True, False))
+    sizes = [max(c["counts"].as_py() for c in t.column("cell").value_counts()) for t in (all_cells, none)]
+    assert sizes[0] < sizes[1] or radius != 3
+    rows = all_cells.sort_by("cell").to_batches()
+    edges = [e for out in module._search(radius)(rows) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    check_edges(edges, prints, radius)
+
+
+def test_crowded_buckets_hold_every_crowded_cell(spark):
+    rng = random.Random(1)
+    keys = [rng.getrandbits(63) for _ in range(20_000)] + [7] * 900 + [11] * 800
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
+    counts = module.bucket_counts(df, lambda batch: [batch.column(0).to_numpy()])
+    assert counts.sum() == len(keys)
+    full = module.crowded(counts, 500)
+    assert full[module.bucket(np.array([7, 11]))].all() and full.sum() == 2
+
+
+def check_edges(edges, prints, radius):
     assert all((prints[a] ^ prints[b]).bit_count() <= radius for a, b in edges)
     label = list(range(len(prints)))
 
@@ -118,23 +147,3 @@ def test_edges(spark):
     by = {r.doc_id: r.component_id for r in got}
     assert by[1] == by[2] == by[3] == 1 and by[5] == 4 and by[6] == 6 and by[None] == 4
     assert near_duplicates(df.limit(0)).count() == 0
-
-
-def test_likeness_refuses_different_texts(spark):
-    rng = random.Random(9)
-    words = [f"word{i}" for i in range(500)]
-    base = [rng.choice(words) for _ in range(400)]
-    near, far = list(base), list(base)
-    near[7] = "other"
-    for i in range(0, 400, 9):
-        far[i] = "other"
-    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(df, radius=9, likeness=0.8).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
-
-
-def test_sketch_estimates_jaccard():
-    words = [f"w{i}" for i in range(2000)]
-    a, b = sketch(" ".join(words[:1500]), 5), sketch(" ".join(words[500:]), 5)
-    assert abs(np.mean([x == y for x, y in zip(a, b, strict=True)]) - 0.5) < 0.15
-    assert sketch("", 5) == b"" and simhash(np.empty(0, np.uint64)) == 0

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
-from folio.llm.simhash import deduplicated
+from folio.llm import similar
+from folio.llm.similar import deduplicated
 
 
 def shingles(text, size=5):
@@ -53,3 +55,75 @@ def test_rows_with_repeated_and_null_ids(spark):
     texts = sorted((r.text or "")[:1] for r in got)
     assert texts == ["", "x", "y", "z"]
     assert {(r.doc_id, (r.text or "")[:1]) for r in got} == {(1, "x"), (1, "y"), (None, "z"), (3, "")}
+
+
+def crowd(seed):
+    """Texts round one long template, some of them similar to one another, some only to a few."""
+    rng = random.Random(seed)
+    base, out = [f"t{i}" for i in range(60)], []
+    for i in range(260):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            text[rng.randrange(60)] = f"x{rng.randrange(2000)}"
+        out.append(" ".join(text[rng.randint(0, 6) : 60 - rng.randint(0, 6)]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20, 50_000])
+def test_crowds_of_one_template(spark, monkeypatch, hot):
+    """A shingle that most texts share: rows are dealt over cells and bring their parities, and no link is lost."""
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "DENSE", 5)
+    texts = crowd(3)
+    want = groups(texts)
+    assert 10 < len(set(want)) < len(texts)
+    got = deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+def test_hot_shingles_are_dealt(spark):
+    rows = [(7, i, 1, 10, 0) for i in range(300)] + [(7, 1000 + i, 1000 + i, 10, 0) for i in range(5)] + [(i, i, i, 10, 1) for i in range(100, 400)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "token long, node long, known long, size int, place int, odd binary")
+    counts = np.zeros(similar.bucket(np.array([0])).dtype.type(1) * (1 << 16), np.int64)
+    np.add.at(counts, similar.bucket(np.array([r[0] for r in rows])), 1)
+    before, similar.HOT = similar.HOT, 100
+    try:
+        got = similar._dealt(df, counts).collect()
+    finally:
+        similar.HOT = before
+    cells = {}
+    for r in got:
+        cells.setdefault(r.cell, []).append(r.node)
+    own = {c: x for c, x in cells.items() if any(n < 300 for n in x) and any(n >= 1000 for n in x)}
+    assert len(own) == 3 and sorted(n for x in own.values() for n in x if n < 300) == list(range(300))
+    assert all(sorted(n for n in x if n >= 1000) == list(range(1000, 1005)) for x in own.values())
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 3000, int(rng.integers(0, 900)))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        x, y = (int.from_bytes(similar.parities(s), "big") for s in (a, b))
+        assert (x ^ y).bit_count() <= len(np.setxor1d(a, b)) and len(similar.parities(a)) == similar.PARITIES // 8
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 50, 1 << 16)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, 1 + len(a) // 5)):], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 5))).astype(np.uint64))))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(similar.prefix(a, counts, 0.8), similar.prefix(b, counts, 0.8)))
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    names = ["row", "item", "key", "print", "size", "head", "m", "node", "component", "known", "best", "__kept", "__place", "__id", "__key", "none"]
+    x = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, x), (1, x), (2, x + " more"), (3, None), (4, ""), (None, " "), (5, "one two"), (6, "ONE  two"), (7, "w " * 50_000), (8, "w " * 50_001)]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ["doc_id", "text", *names])
+    got = deduplicated(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 5, 7]
+    assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(len(names)))}
+    assert deduplicated(df.limit(0)).count() == 0
