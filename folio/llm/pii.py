@@ -16,7 +16,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import table, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "structure", "gazetteer", "context", "border")
@@ -31,8 +31,8 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}(?![0-9.])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\.)[A-Za-z0-9-]{1,63}){1,5}(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{3,6}(?:[\x20./-]{1,3}[0-9]{3,6}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.+])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?0?[1-9][0-9]{1,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}(?![0-9A-Za-z])",
 }
@@ -242,12 +242,18 @@ def logistic(rows: list[tuple[tuple[int, ...], int, float, float]], rounds: int
     return bias, weights, lengths
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learns from all candidates of all texts; the driver sees counts of vote patterns, at most 4 x 3^5 x 4 rows.
+def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as a struct `item`, and all candidates of each text: written, so that texts are matched once. A null text has none."""
+    found = candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return written(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("item"), found.alias("found")), compression="zstd")
+
+
+def fit(rows: DataFrame) -> Model:
+    """Learns from all candidates of scanned() rows; the driver sees counts of vote patterns, at most 4 x 3^5 x 4 rows.
 
     A kind without a candidate, as in an empty table, gets a weight of one for each vote.
     """
-    found = docs.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
+    found = rows.select(F.explode("found").alias("c"))
     rows = found.select("c.kind", "c.votes.*").groupBy("kind", *LABELERS, "long").count().collect()
     bias, weights, lengths, reliability = [], [], [], []
     for k in range(len(KINDS)):
@@ -265,16 +271,24 @@ def fit(docs: DataFrame) -> Model:
     return Model(tuple(bias), tuple(weights), tuple(lengths), tuple(reliability))
 
 
-def personal_data(docs: DataFrame, model: Model, least: float = 0.5, column: str = "spans") -> DataFrame:
+def spans(found: Column, model: Model, least: float = 0.5) -> Column:
+    """Of an array of candidates those that stay, as spans: kind, start, end, base; sorted by kind, then start."""
+    kept = F.filter(found, lambda c: c["base"] | (model.score(c["kind"], c["votes"]) >= least))
+    return F.array_sort(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))))
+
+
+def personal_data(docs: DataFrame, model: Model | None = None, least: float = 0.5, column: str = "spans") -> DataFrame:
     """docs with an array column of spans: kind, start, end (code points, end exclusive), base; sorted by kind, then start.
 
-    Candidates of fixed patterns always stay; others stay from `least` on. A null or empty text
-    has none. Rows, repeated ones too, and other columns stay as they are; a column of the name
-    given is replaced. Spans of one kind never overlap; those of different kinds may. An empty
-    table gives an empty result.
+    Candidates of fixed patterns always stay; others stay from `least` on, by a model that is
+    learned from docs if none is given. A null or empty text has none; very long texts are matched
+    whole. Rows, repeated ones too, and other columns stay as they are, whatever their names; a
+    column of the name given is replaced. Spans of one kind never overlap; those of different kinds
+    may. An empty table gives an empty result.
     """
-    kept = F.filter(candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda c: c["base"] | (model.score(c["kind"], c["votes"]) >= least))
-    return docs.withColumn(column, F.array_sort(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))))
+    rows = scanned(docs, docs.columns)
+    own = [F.col(f"item.`{c}`").alias(c) for c in docs.columns if c != column]
+    return rows.select(*own, spans(F.col("found"), model or fit(rows), least).alias(column))
 
 
 def listed(spans: Column) -> Column:
@@ -300,17 +314,18 @@ def masked(text: Column, spans: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in their texts; n_chars, if there, follows the text.
 
-    Null texts stay null, texts without personal data as they are; no row goes. An empty table
-    gives an empty result.
+    Null texts stay null, texts without personal data as they are; no row goes, and other columns
+    stay, whatever their names. An empty table gives an empty result.
     """
-    rows = personal_data(docs, fit(docs), column="__spans")
-    out = rows.withColumn("text", masked(F.col("text").cast("string"), F.col("__spans"))).drop("__spans")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    rows = scanned(docs, docs.columns)
+    out = rows.select("item", masked(F.col("item.text").cast("string"), spans(F.col("found"), fit(rows))).alias("masked"))
+    changed = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("long")}
+    return out.select(*[changed.get(c, F.col(f"item.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = personal_data(docs, fit(docs)).select("doc_id", "spans")
+    found = scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = found.select("item.doc_id", spans(F.col("found"), fit(found)).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
