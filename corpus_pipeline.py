@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import mixing, packing, pii, quality, simhash
+from folio.llm import mixing, packing, pii, quality, similar
 from folio.llm.common import table, written
 from folio.llm.tokens import load, vocabulary
 
@@ -17,28 +17,53 @@ END_ID = 0
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from labels, doesn't reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "__score").where(f"__score >= {quality.LEAST}").drop("__score")
+    """Documents that the classifier, learned from labels, doesn't reject.
+
+    Null, empty and blank texts are scored as one passage without words; very long texts by all their
+    passages. Repeated rows are kept or go together. Columns stay, whatever their names; an
+    empty table stays empty, and without labels all documents stay.
+    """
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 of five-word shingles."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 or more of five-word shingles.
+
+    Texts without words, null ones too, are one group. Of a group the smallest doc_id stays, a null
+    one only where there is no other; repeated rows are one. Long texts are compared whole. Columns
+    stay, whatever their names; an empty table stays empty.
+    """
+    return similar.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked.
+
+    Null and empty texts stay as they are, and so do repeated rows and ties; long texts are matched
+    whole. n_chars follows the text; other columns stay, whatever their names; an empty table stays
+    empty.
+    """
     return pii.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeated or cut as it takes them."""
+    """The documents that the mix takes, repeated or cut as it takes them.
+
+    Documents without words, null ones too, go, as no word of them is taken. A null source is a
+    source, the last one; ties of the seeded order go by doc_id and size; a long text may be cut like
+    any other. n_chars follows the text; other columns stay, whatever their names; an empty table
+    stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Each row is a document of its own, with repeated and null doc_ids too; null and empty texts are
+    their end id. Long texts fill windows of their own. Other columns aren't read; an empty table has
+    no pieces.
+    """
     return packing.pack(docs, load(vocabulary(VOCABULARY)), END_ID)
 
 
