@@ -33,12 +33,25 @@ def prefix(members: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return members[np.argsort(counts[bucket(members)], kind="stable")[:n]]
 
 
-def parities(members: np.ndarray) -> bytes:
-    """Whether an odd number of a set's members falls in each of 1,024 places: two sets differ in at least as many members as their parities differ."""
-    odd = np.bincount(((members * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+def parities(members: np.ndarray, places: int = PARITIES) -> bytes:
+    """Whether an odd number of a set's members falls in each of the places (a power of two): two sets differ in at least as many members as their parities differ."""
+    shift = np.uint64(65 - places.bit_length())
+    odd = np.bincount(((members * np.uint64(0x9FB21C651E98DF25)) >> shift).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_parities(members: np.ndarray) -> bytes | None:
+    """Parities over twice to four times as many places as a set has members; None for sets that PARITIES places are enough for."""
+    places = 1 << (2 * len(members) - 1).bit_length() if len(members) else 0
+    return parities(members, places) if places > PARITIES else None
+
+
+def parities_differ(x: bytes, y: bytes) -> int:
+    """In how many places two sets' parities differ, the longer ones taken together to as few places as the shorter have."""
+    x, y = sorted((np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y)), key=len)
+    return int((np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1) ^ x).sum(dtype=np.int64))
+
+
 def _shingles_of(words: int):
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in batch.column(0):
@@ -47,11 +60,11 @@ def _shingles_of(words: int):
 
 
 def _marks(size: int, words: int, least: float, sent):
-    """For rows (row, text): row, print (fingerprint), key (a digest of the shingle set), the set's size, head (its prefix) and odd (its parities)."""
+    """For rows (row, text): row, print (fingerprint), key (a digest of the shingle set), the set's size, head (its prefix), odd (its parities) and wide (a large set's parities over more places)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            prints, keys, sizes, heads, odd = [], [], [], [], []
+            prints, keys, sizes, heads, odd, wide = [], [], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 members = np.unique(shingle_hashes(text, words))
@@ -60,27 +73,69 @@ def _marks(size: int, words: int, least: float, sent):
                 sizes.append(len(members))
                 heads.append(prefix(members, counts, least).tobytes())
                 odd.append(parities(members))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *(pa.array(x, t) for x, t in ((keys, pa.binary()), (sizes, pa.int32()), (heads, pa.binary()), (odd, pa.binary())))], ["row", "print", "key", "size", "head", "odd"])
+                wide.append(wide_parities(members))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *(pa.array(x, t) for x, t in ((keys, pa.binary()), (sizes, pa.int32()), (heads, pa.binary()), (odd, pa.binary()), (wide, pa.binary())))], ["row", "print", "key", "size", "head", "odd", "wide"])
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their first column, those whose key another row has too; one row is held back, however long a key's stretch is."""
+    held, seen = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        same = keys[1:] == keys[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        keep[0] |= seen
+        held, seen = batch.slice(len(keys) - 1), bool(keep[-1])
+        yield batch.slice(0, len(keys) - 1).filter(pa.array(keep[:-1]))
+    if seen:
+        yield held
+
+
+def _shared(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """node, size, odd, tokens, places: each node's prefix without the shingles that no other prefix has, which make no pair.
+
+    Shingles of hot buckets are kept unseen, so that no task gets all rows of one.
+    """
+    hot = nodes.sparkSession.sparkContext.broadcast(crowded(counts, HOT))  # one bit a bucket
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                heads = [np.frombuffer(x.as_py(), np.int64) for x in some.column(1)]
+                many = np.array([len(h) for h in heads], np.int64)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                tokens = np.concatenate(heads)
+                node = np.repeat(some.column(0).to_numpy(zero_copy_only=False), many)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array(place.astype(np.int32)), pa.array(hot.value[bucket(tokens)])], ["token", "node", "place", "hot"])
+
+    entries = nodes.select("node", "head").mapInArrow(members, "token long, node long, place int, hot boolean")
+    shared = entries.where("not hot").select("token", "node", "place").repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, place int")
+    if hot.value.any():
+        shared = shared.union(entries.where("hot").select("token", "node", "place"))
+    lists = shared.groupBy("node").agg(F.collect_list(F.struct("token", "place")).alias("m"))
+    return nodes.select("node", "size", "odd").join(lists, "node").select("node", "size", "odd", F.col("m.token").alias("tokens"), F.col("m.place").alias("places"))
+
+
 def _entries(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, node, known, size, place, odd: a row for each member of each node's prefix; the parities only for shingles of crowded buckets."""
+    """token, node, known, size, place, odd: a row for each shared member of each node's prefix; the parities only for shingles of crowded buckets."""
     dense = nodes.sparkSession.sparkContext.broadcast(crowded(counts, DENSE))  # one bit a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                node, known, size = (some.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                heads = [np.frombuffer(x.as_py(), np.int64) for x in some.column(3)]
-                many = np.array([len(h) for h in heads], np.int64)
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                tokens = np.concatenate(heads) if heads else np.empty(0, np.int64)
-                columns = [tokens, *(np.repeat(c, many) for c in (node, known, size)), place.astype(np.int32)]
+                many = some.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                tokens, place = (some.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+                columns = [tokens, *(np.repeat(some.column(i).to_numpy(zero_copy_only=False), many) for i in range(3)), place]
                 row = pa.array(np.repeat(np.arange(len(many)), many), mask=~dense.value[bucket(tokens)])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), some.column(4).take(row)], ["token", "node", "known", "size", "place", "odd"])
-    return nodes.select("node", "known", "size", "head", "odd").mapInArrow(run, "token long, node long, known long, size int, place int, odd binary")
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), some.column(5).take(row)], ["token", "node", "known", "size", "place", "odd"])
+    return nodes.select("node", "known", "size", "tokens", "places", "odd").mapInArrow(run, "token long, node long, known long, size int, place int, odd binary")
 
 
 def _candidates(least: float, some_only: bool = False):
@@ -187,32 +242,51 @@ def _dealt(entries: DataFrame, counts: np.ndarray) -> DataFrame:
     return spread.select("token", "node", "known", "size", "place", "odd", F.when(F.col("part") == 0, F.col("token")).otherwise(F.xxhash64("token", "part")).alias("cell"))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: node, text."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "members"])
-
+def _tested(pairs: DataFrame, values, keep) -> DataFrame:
+    """Those of the pairs (a, b) that keep(values of a, values of b) marks; values(wanted): node and value of the wanted nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            yield batch.filter(pa.array(keep(batch.column(2), batch.column(3)), pa.bool_())).select([0, 1])
 
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT_NODES else wanted
-    own = written(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, members binary"), texts=True)
-    left, right = (own.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+    own = written(values(F.broadcast(wanted) if wanted.count() <= SENT_NODES else wanted), texts=True)
+    left, right = (own.select(F.col("node").alias(c), F.col("value").alias(f"m{c}")) for c in "ab")
     few = pairs.count() <= SENT_NODES
     out = written(left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"), texts=True)
-    dropped(own)
+    dropped(own, wanted)
     return out
 
 
+def possibly_alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) without those whose parities differ in more places than sets of the wanted similarity may; nodes: node, size, odd, wide."""
+    most = 1 - 2 * least / (1 + least)
+
+    def keep(x: pa.StructArray, y: pa.StructArray) -> np.ndarray:
+        sizes = x.field("size").to_numpy(zero_copy_only=False).astype(np.int64) + y.field("size").to_numpy(zero_copy_only=False)
+        differ = [parities_differ(*both) for both in zip(x.field("odd").to_pylist(), y.field("odd").to_pylist(), strict=True)]
+        return np.array(differ, np.int64) <= most * sizes + 1e-9
+
+    return _tested(pairs, lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", F.struct("size", F.coalesce("wide", "odd").alias("odd")).alias("value")), keep)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: node, text."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "value"])
+
+    def keep(left: pa.Array, right: pa.Array) -> list[bool]:
+        marks = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            marks.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
+        return marks
+
+    return _tested(pairs, lambda wanted: texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, value binary"), keep)
+
+
 def one_each(pairs: DataFrame) -> DataFrame:
     """For each b, its pair with the smallest a: as many pairs as texts, whatever their groups."""
     return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -225,7 +299,8 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
     least `likeness`: every such pair is in one component, and no other link is made. Equal sets are
     one node, so that a crowd of copies is one row of the search; those without words are alike.
     Close SimHash fingerprints give the first links, one for each text; pairs of different groups
-    are looked for by prefixes; and all links are verified on the sets.
+    are looked for by those members of prefixes that others have too; and all links are verified, on
+    parities first and then on the sets.
     """
     if not 0 < likeness <= 1:
         raise ValueError("likeness must be above 0 and at most 1")
@@ -237,22 +312,32 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
     with small_batches(spark):
         counts = bucket_counts(rows.select(text), _shingles_of(words))
     sent = spark.sparkContext.broadcast(counts)
-    marks = written(rows.select("row", text).mapInArrow(_marks(size, words, likeness, sent), "row long, print long, key binary, size int, head binary, odd binary"), texts=True)
+    marks = written(rows.select("row", text).mapInArrow(_marks(size, words, likeness, sent), "row long, print long, key binary, size int, head binary, odd binary, wide binary"), texts=True)
     firsts = written(marks.groupBy("key").agg(F.min("row").alias("node")))
     keys = written(marks.select("row", "key"))
-    nodes = written(marks.select(F.col("row").alias("node"), "print", "size", "head", "odd").join(firsts.select("node"), "node", "left_semi"))
+    nodes = written(marks.select(F.col("row").alias("node"), "print", "size", "head", "odd", "wide").join(firsts.select("node"), "node", "left_semi"))
     dropped(marks)
     alone = nodes.groupBy("print").agg(F.min("node").alias("node"))
     close = close_pairs(alone, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     same = nodes.join(alone.select("print", F.col("node").alias("a")), "print").where("node <> a").select("a", F.col("node").alias("b"))
     near = written(one_each(close.union(same)))
     released(spark)
-    seeds = alike(near, texts, words, likeness)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = possibly_alike(pairs, nodes, likeness)
+        out = alike(some, texts, words, likeness)
+        dropped(some)
+        return out
+
+    seeds = verified(near)
+    with small_batches(spark):
+        lists = written(_shared(nodes, counts))
+    released(spark)
     known = written(components(seeds).select("node", F.col("component").alias("known")))
     dropped(near)
 
     def candidates(known: DataFrame, some_only: bool, salt: int) -> DataFrame:
-        grouped = nodes.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "size", "head", "odd")
+        grouped = lists.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "size", "tokens", "places", "odd")
         with small_batches(spark):
             dealt = _dealt(_entries(grouped, counts), counts).withColumn("turn", F.xxhash64("node", F.lit(salt)))
             dealt = dealt.repartition("cell").sortWithinPartitions("cell", "size", "turn").select("cell", "node", "known", "size", "place", "odd")
@@ -262,13 +347,14 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
     for turn in range(ROUNDS):
         tried = written(one_each(candidates(known, True, turn)))
         released(spark)
-        fresh = alike(tried, texts, words, likeness)
+        fresh = verified(tried)
         both = written(seeds.union(fresh))
         dropped(tried, fresh, seeds, known)
         seeds, known = both, written(components(both).select("node", F.col("component").alias("known")))
     pairs = written(candidates(known, False, ROUNDS).distinct())
-    dropped(nodes, known)
-    links = alike(pairs, texts, words, likeness)
+    dropped(lists, known)
+    links = verified(pairs)
+    dropped(nodes)
     found = written(components(seeds.union(links)))
     named = firsts.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     groups = keys.join(named, "key").select("row", "component")

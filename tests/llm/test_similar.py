@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from folio.llm import similar
 from folio.llm.similar import deduplicated
@@ -127,3 +128,31 @@ def test_odd_rows_and_clashing_columns(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 5, 7]
     assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(len(names)))}
     assert deduplicated(df.limit(0)).count() == 0
+
+
+def test_parities_bound_what_sets_differ_in():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 512, 513, 3000, 9000):
+        base = rng.integers(0, 2**63, n, np.int64).view(np.uint64)
+        for share in (0.0, 0.05, 0.5, 1.0):
+            other = np.concatenate([base[int(share * n):], rng.integers(0, 2**63, int(share * n * 1.2), np.int64).view(np.uint64)])
+            found = [similar.wide_parities(np.unique(x)) or similar.parities(np.unique(x)) for x in (base, other)]
+            differ = similar.parities_differ(*found)
+            assert differ <= len(np.setxor1d(base, other)) and differ == similar.parities_differ(*found[::-1])
+            if share == 1.0 and n >= 40:
+                assert differ > 0.25 * (len(base) + len(other)), "sets without common members are told apart at every size"
+    assert similar.parities_differ(similar.parities(base, 4096), similar.parities(base, 1024)) == 0
+
+
+def test_keys_that_repeat_are_kept_whatever_batches_they_fall_in():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, 30, rng.integers(0, 40)))
+        batch, at = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)))], ["token", "node"]), 0
+        parts = []
+        while at < len(keys):
+            step = int(rng.integers(0, 5))
+            parts.append(batch.slice(at, step))
+            at += step
+        got = [n for b in similar._repeated(iter(parts)) for n in b.column(1).to_pylist()]
+        assert got == [i for i, k in enumerate(keys) if (keys == k).sum() > 1]
