@@ -122,9 +122,9 @@ def _shared(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     return nodes.select("node", "size", "odd").join(lists, "node").select("node", "size", "odd", F.col("m.token").alias("tokens"), F.col("m.place").alias("places"))
 
 
-def _entries(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, node, known, size, place, odd: a row for each shared member of each node's prefix; the parities only for shingles of crowded buckets."""
-    dense = nodes.sparkSession.sparkContext.broadcast(crowded(counts, DENSE))  # one bit a bucket
+def _entries(nodes: DataFrame, counts: np.ndarray, all_parities: bool) -> DataFrame:
+    """token, node, known, size, place, odd: a row for each shared member of each node's prefix; the parities of all, or only for shingles of crowded buckets."""
+    dense = nodes.sparkSession.sparkContext.broadcast(crowded(counts, DENSE) | all_parities)  # one bit a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +339,7 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
     def candidates(known: DataFrame, some_only: bool, salt: int) -> DataFrame:
         grouped = lists.join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "size", "tokens", "places", "odd")
         with small_batches(spark):
-            dealt = _dealt(_entries(grouped, counts), counts).withColumn("turn", F.xxhash64("node", F.lit(salt)))
+            dealt = _dealt(_entries(grouped, counts, not some_only), counts).withColumn("turn", F.xxhash64("node", F.lit(salt)))
             dealt = dealt.repartition("cell").sortWithinPartitions("cell", "size", "turn").select("cell", "node", "known", "size", "place", "odd")
             return dealt.mapInArrow(_candidates(likeness, some_only), "a long, b long")
 
