@@ -10,7 +10,9 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import file_name, joined_hyphens, relative_parent, suffix, text_path, unix_lines
@@ -47,13 +49,75 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
-    """path, hash: BLAKE2b of each file's contents."""
+    """path, hash: BLAKE2b of each file's contents, of which a part at a time is in memory.
+
+    Files of a local file system, which all executors see, are opened where they are. Those of
+    other stores come through Spark's reader of lines; there a stretch without a line feed, or a
+    file that this reader would unpack, is read whole. Spark lists no empty files.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    if at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).getUri().getScheme() != "file":
+        return _line_hashes(spark, directory, pattern)
+
     @F.pandas_udf("string")
-    def digest(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: hashlib.blake2b(b).hexdigest())
+    def digest(paths: pd.Series) -> pd.Series:
+        def of(path: str) -> str:
+            with open(path, "rb") as file:
+                return hashlib.file_digest(file, hashlib.blake2b).hexdigest()
+        return paths.map(of)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), digest("content").alias("hash"))
+    path = F.regexp_replace("path", "^file:/+", "/")
+    return _listed(spark, "binaryFile", pattern).load(directory).select(path.alias("path"), digest(path).alias("hash"))
+
+
+def _listed(spark: SparkSession, kind: str, pattern: str) -> DataFrameReader:
+    return spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+
+
+MARK = b"\xef\xbb\xbf"  # the reader of lines leaves it out at the start of a file
+PACKED = r"\.(bz2|deflate|gz|lz4|snappy|zst)$"
+
+
+def _line_hashes(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """content_hashes by Spark's readers alone: a file's lines come to one task in their order, as the hash needs them."""
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, read, plain, marked = None, 0, 0, None, None
+
+        def ended() -> pa.RecordBatch:
+            rest = size - read
+            if rest not in (0, 1, len(MARK), len(MARK) + 1):
+                raise ValueError(f"{name}: {read} of {size} bytes read")
+            done = marked if rest >= len(MARK) else plain
+            done.update(b"\n" * (rest % len(MARK)))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([done.hexdigest()])], ["file", "hash"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for run in pc.run_end_encode(batch.column(0)).values.to_pylist():
+                some = batch.filter(pc.equal(batch.column(0), run))
+                lines = b"\n".join(some.column(2).to_pylist())
+                if run == name:
+                    lines = b"\n" + lines
+                else:
+                    if name is not None:
+                        yield ended()
+                    name, size, read, plain, marked = run, some.column(1)[0].as_py(), 0, hashlib.blake2b(), hashlib.blake2b(MARK)
+                read += len(lines)
+                plain.update(lines)
+                marked.update(lines)
+        if name is not None:
+            yield ended()
+
+    file, size = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
+    whole = F.udf(lambda b: hashlib.blake2b(b).hexdigest(), "string")
+    lines = _listed(spark, "text", pattern).option("lineSep", "\n").load(directory).where(~F.col("_metadata.file_path").rlike(PACKED))
+    lines = lines.select(file, size, F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.repartition("file").sortWithinPartitions("file", "block", "n").select("file", "size", "line").mapInArrow(digests, "file string, hash string")
+    files = _listed(spark, "binaryFile", pattern).load(directory)
+    packed = files.where(F.col("_metadata.file_path").rlike(PACKED)).select(file, whole("content").alias("hash"))
+    mark = F.when(F.col("size") == len(MARK), hashlib.blake2b(MARK).hexdigest())  # a mark alone gives no line
+    return files.select("path", file, size).join(lines.union(packed), "file", "left").select("path", F.coalesce("hash", mark, F.raise_error(F.concat("path", F.lit(": no bytes read")))).alias("hash"))
 
 
 def missing_texts(docs: DataFrame, texts: DataFrame, text_dir: str, extractor: str) -> DataFrame:

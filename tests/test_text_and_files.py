@@ -1,3 +1,4 @@
+import hashlib
 import os
 import unicodedata
 from pathlib import Path
@@ -171,3 +172,21 @@ def test_feather_audit_and_settings(spark, tmp_path):
     assert texts.first().text.startswith("name: old")
     both = files.compare_texts(texts.select("path"), ("cat", "{path}"), ("tac", "{path}")).first()
     assert both["first"] != both["second"] and both.same is False
+
+
+def test_hashes_of_contents_in_parts(spark, folder):
+    contents = {"b": b"\n", "c": b"x", "d": b"x\ny\r\n\n", "e": files.MARK, "f": files.MARK + b"z\n", "g": b"\n" + files.MARK, "h": bytes(range(256)) * 50_000, "i": os.urandom(3_000_000), "j.gz": b"no gzip\n", "k l%20": b"\xff\n"}
+    for name, data in contents.items():
+        Path(f"{folder}/sub/{name}.bin").write_bytes(data) if "gz" not in name else Path(f"{folder}/sub/{name}").write_bytes(data)
+    want = {n if "gz" in n else f"{n}.bin": hashlib.blake2b(d).hexdigest() for n, d in contents.items()}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.parts.link./in", f"file://{folder}")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # no longer file's contents may be one value
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        for at in (folder, "viewfs://parts/in"):
+            found = files.content_hashes(spark, at, "*.{bin,gz}").collect()
+            assert {Path(r.path).name: r.hash for r in found} == want and len(found) == len(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
