@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+FEW_LINKS = 2_000_000  # links that one task may join: 32 MB
 
 _own: list[str] = []
 
@@ -135,14 +138,39 @@ def between(key: Column, bounds: list[int], step: int = 128) -> Column:
     return F.when(key.isNull() | (at == 0), 0).otherwise((at - 1) * step + inner)
 
 
+def reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of undirected links (a, b), in order, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))  # never after the node itself
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+    return nodes, nodes[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+    if links:
+        nodes, least = reached(*(np.concatenate(c) for c in zip(*links, strict=True)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (nodes, least)], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): node, component (the smallest node it reaches).
 
-    Alternating large and small stars, which end after a number of rounds that grows with the
-    logarithm of the size. Each round is written to the shared folder; only two numbers a round
-    come to the driver. Loops and repeated links are allowed; nodes without links aren't returned.
+    Up to FEW_LINKS different links are one task's work, as a round of queries costs the driver
+    more than they do. More are joined in alternating large and small stars, which end after a
+    number of rounds that grows with the logarithm of the size. Each round is written to the shared
+    folder; only two numbers a round come to the driver. Loops and repeated links are allowed; nodes
+    without links aren't returned.
     """
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if links.count() <= FEW_LINKS:
+        return links.coalesce(1).mapInArrow(_joined, "node long, component long")
     before, older = None, []
     while True:
         seen = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

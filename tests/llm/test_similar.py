@@ -156,3 +156,32 @@ def test_keys_that_repeat_are_kept_whatever_batches_they_fall_in():
             at += step
         got = [n for b in similar._repeated(iter(parts)) for n in b.column(1).to_pylist()]
         assert got == [i for i, k in enumerate(keys) if (keys == k).sum() > 1]
+
+
+def test_components_of_few_and_of_many_links(spark, monkeypatch):
+    from folio.llm import common
+
+    rng = np.random.default_rng(7)
+    links = [*zip(*rng.integers(0, 900, (2, 500)).tolist(), strict=True), *((i, i + 1) for i in range(2000, 2300)), (5, 5), (-3, 2001), (2001, -3)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    label = {}
+
+    def root(i):
+        while label.setdefault(i, i) != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            label[b] = a
+    want = {i: root(i) for i in label}
+    asked, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, **o: asked.append(1) or write(df, **o))
+    for few, most in ((len(links), 1), (0, 99)):  # few links take no rounds of queries
+        monkeypatch.setattr(common, "FEW_LINKS", few)
+        asked.clear()
+        got = common.components(edges).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want) and len(asked) <= most
+    monkeypatch.setattr(common, "FEW_LINKS", 9)
+    assert common.components(edges.where("a = b")).collect() == []
