@@ -15,13 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, dropped, released, small_batches, written
+from folio.llm.common import components, dropped, reached, released, small_batches, written
 from folio.llm.simhash import _by_key, bucket, bucket_counts, close_pairs, crowded, shingle_hashes, simhash
 
 ROUNDS, ROUND_LAGS = 2, 64
 DENSE = 200  # rows of one shingle that bring their parities along
 PARITIES = 1024
 HOT = 50_000  # rows of one shingle that are compared in one task
+HELD_PAIRS = 1 << 20  # pairs that a task gathers before it sums them up
+HELD_MEMBERS = 2_000_000  # members of the sets that one task compares: 16 MB
 SENT_NODES = 500_000  # numbers of texts that a join may broadcast
 
 
@@ -138,13 +140,48 @@ def _entries(nodes: DataFrame, counts: np.ndarray, all_parities: bool) -> DataFr
     return nodes.select("node", "known", "size", "tokens", "places", "odd").mapInArrow(run, "token long, node long, known long, size int, place int, odd binary")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as join the same numbers: each with the smallest that it reaches."""
+    nodes, least = reached(a, b)
+    apart = nodes != least
+    return least[apart], nodes[apart]
+
+
+def least_partners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each b, its pair with the smallest a."""
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    first = np.append(True, b[1:] != b[:-1])
+    return a[first], b[first]
+
+
+def _summed_up(pairs, less):
+    """pairs(batches), of which a task sends what less(a, b) leaves of all its pairs: in both uses fewer than the numbers that it has seen."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, most = [], 0, HELD_PAIRS
+        for batch in pairs(batches):
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            held += batch.num_rows
+            if held > most:
+                parts = [less(*(np.concatenate(c) for c in zip(*parts, strict=True)))]
+                held = len(parts[0][0])
+                most = max(HELD_PAIRS, 2 * held)
+        if held:
+            a, b = less(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            for at in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (a, b)], ["a", "b"])
+    return run
+
+
 def _candidates(least: float, some_only: bool = False):
-    """Pairs of one cell's rows that sizes and places leave possible and that aren't in one group yet.
+    """What pairs of one cell's rows sizes and places leave possible and that aren't in one group yet, as stars: the pairs' components, not the pairs.
 
-    With some_only, each row gives its first such pair among the next ROUND_LAGS rows of a cell.
+    With some_only, each row gives its first such pair among the next ROUND_LAGS rows of a cell, and
+    a task sends one pair of each text.
     Sets of the wanted similarity differ in (1 - s) / (1 + s) of their members together, and
     so do their parities at most. A pair's smaller set has the member within its first (1 - 2 s / (1 + s)) n places. In a large
-    cell, the rows of its largest group are compared with the others only: they are together already.
+    cell, a row leaves the search when a pair has reached it, and the rows of its largest group are
+    compared with the others only: they are together already.
     """
     share = least / (1 + least)
 
@@ -160,15 +197,27 @@ def _candidates(least: float, some_only: bool = False):
         return good
 
     def across(first, last, known, size, place, odd) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A large cell: each row outside its largest group with all rows of that group, and with those outside after it."""
+        """A large cell: pairs that join the same rows as all its pairs do."""
         rows = np.arange(first, last)
         groups, which, counts = np.unique(known[rows], return_inverse=True, return_counts=True)
-        crowd, others = rows[which == counts.argmax()], rows[which != counts.argmax()]
-        for i, x in enumerate(others.tolist()):
-            for some in (crowd, others[i + 1 :]):
-                y = some[possible(np.full(len(some), x), some, known, size, place, odd)]
-                if len(y):
+        own = which == counts.argmax()
+        crowd, others = rows[own], rows[~own]
+        while len(others):
+            stack, others = [int(others[0])], others[1:]
+            while stack:
+                x, met = stack.pop(), []
+                if len(others):
+                    good = possible(np.full(len(others), x), others, known, size, place, odd)
+                    met.append(others[good])
+                    others = others[~good]
+                if len(crowd) and not own[x - first]:
+                    good = possible(np.full(len(crowd), x), crowd, known, size, place, odd)
+                    met.append(crowd[good])
+                    crowd = crowd[~good]
+                if sum(map(len, met)):
+                    y = np.concatenate(met)
                     yield np.full(len(y), x), y
+                    stack += y.tolist()
 
     def made(cell, node, known, size, place, odd) -> Iterator[pa.RecordBatch]:
         early = size - place >= 2 * share * size - 1e-9  # could be the smaller one of a pair
@@ -194,7 +243,7 @@ def _candidates(least: float, some_only: bool = False):
             good = possible(rows, rows + lag, known, size, place, odd)
             if good.any():
                 add(rows[good], rows[good] + lag)
-            if held > 1 << 20:
+            if held > HELD_PAIRS:
                 yield out()
                 found, held = [], 0
             lag += 1
@@ -204,7 +253,7 @@ def _candidates(least: float, some_only: bool = False):
         for i in np.flatnonzero(useful & ~small).tolist():
             for x, y in across(int(starts[i]), int(ends[i]), known, size, place, odd):
                 add(x, y)
-                if held > 1 << 20:
+                if held > HELD_PAIRS:
                     yield out()
                     found, held = [], 0
         if found:
@@ -217,7 +266,22 @@ def _candidates(least: float, some_only: bool = False):
             odd[at] = np.frombuffer(b"".join(told.take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
         return [*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)), odd]
 
-    return _by_key(columns, made)
+    return _summed_up(_by_key(columns, made), least_partners if some_only else stars)
+
+
+def _any_hot(lists: DataFrame, counts: np.ndarray) -> bool:
+    """Whether more than HOT of the prefixes have one shingle."""
+    hot = crowded(counts, HOT)
+    if not hot.any():
+        return False
+    sent = lists.sparkSession.sparkContext.broadcast(hot)  # one bit a bucket
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[sent.value[bucket(tokens)]])], ["token"])
+
+    return lists.select("tokens").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > HOT).limit(1).count() > 0
 
 
 def _dealt(entries: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -269,13 +333,17 @@ def possibly_alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
     return _tested(pairs, lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", F.struct("size", F.coalesce("wide", "odd").alias("odd")).alias("value")), keep)
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: node, text."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(words: int):
+    """For rows (node, text): node and value, its set of shingles as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "value"])
+    return run
+
 
+def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `least`; texts: node, text."""
     def keep(left: pa.Array, right: pa.Array) -> list[bool]:
         marks = []
         for x, y in zip(left, right, strict=True):
@@ -284,7 +352,154 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
             marks.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
         return marks
 
-    return _tested(pairs, lambda wanted: texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, value binary"), keep)
+    return _tested(pairs, lambda wanted: texts.join(wanted, "node", "left_semi").mapInArrow(_sets(words), "node long, value binary"), keep)
+
+
+def joined_sets(node: np.ndarray, known: np.ndarray, part: np.ndarray, across: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of nodes of a Jaccard similarity of at least `least` that join the same groups (known) as all such pairs do, without pairs of one part that both are across: another cell has them.
+
+    A group leaves the search when it is reached, so that a crowd of near copies costs a comparison each.
+    Sets that parities leave possible are compared whole.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    odd = np.frombuffer(b"".join(parities(s) for s in sets), np.uint64).reshape(len(sets), -1)
+    seen, most = np.zeros(int(flat.max(initial=-1)) + 1, bool), 1 - 2 * least / (1 + least)
+    group = np.unique(known, return_inverse=True)[1].reshape(-1)
+    by_group = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    rest, found = np.arange(len(sets)), []
+    while len(rest):
+        stack = by_group[group[rest[0]]].tolist()
+        rest = rest[group[rest] != group[rest[0]]]
+        while stack and len(rest):
+            x = stack.pop()
+            small, large = np.minimum(size[rest], size[x]), np.maximum(size[rest], size[x])
+            near = rest[(small >= least * large - 1e-9) & ~(across[rest] & across[x] & (part[rest] == part[x]))]
+            near = near[np.bitwise_count(odd[near] ^ odd[x]).sum(1, dtype=np.int64) <= most * (size[near] + size[x]) + 1e-9]
+            if not len(near):
+                continue
+            own, met = flat[ends[x] - size[x] : ends[x]], set()
+            seen[own] = True
+            for y in near.tolist():
+                if group[y] not in met:
+                    shared = int(np.count_nonzero(seen[flat[ends[y] - size[y] : ends[y]]]))
+                    if shared > 0 and shared / (size[x] + size[y] - shared) >= least:
+                        met.add(group[y])
+                        found.append((int(node[x]), int(node[y])))
+                        stack += by_group[group[y]].tolist()
+            seen[own] = False
+            if met:
+                rest = rest[~np.isin(group[rest], list(met))]
+    return found
+
+
+def joined_parities(node: np.ndarray, known: np.ndarray, part: np.ndarray, across: np.ndarray, size: np.ndarray, odd: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Pairs of nodes of different groups (known) that join the same nodes as all pairs that sizes and parities leave possible, without pairs of one part that both are across.
+
+    Sets of possible pairs have parities over as many places, or one over twice as many as the other.
+    """
+    width = np.array([len(v) for v in odd], np.int64)
+    full, half, at = {}, {}, np.zeros(len(odd), np.int64)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        at[rows] = np.arange(len(rows))
+        full[w] = np.frombuffer(b"".join(odd[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1)
+        if w // 2 in full:
+            bits = (np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(odd[i], np.uint8)).reshape(-1, 2), axis=1) for i in rows.tolist())
+            half[w] = np.frombuffer(b"".join(np.packbits(v).tobytes() for v in bits), np.uint64).reshape(len(rows), -1)
+
+    def differ(x: int, rows: np.ndarray) -> np.ndarray:
+        out, w = np.zeros(len(rows), np.int64), int(width[x])
+        for other, own in ((w, full), (2 * w, half), (w // 2, full)):
+            some = np.flatnonzero(width[rows] == other)
+            if len(some):
+                mine = (half if other < w else full)[w][at[x]]
+                out[some] = np.bitwise_count(own[other][at[rows[some]]] ^ mine).sum(1, dtype=np.int64)
+        return out
+
+    most, rest, found = 1 - 2 * least / (1 + least), np.arange(len(odd)), []
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            x = stack.pop()
+            good = (known[rest] != known[x]) & (np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x]) - 1e-9)
+            good &= ~(across[rest] & across[x] & (part[rest] == part[x]))
+            some = np.flatnonzero(good)
+            good[some] = differ(x, rest[some]) <= most * (size[rest[some]] + size[x]) + 1e-9
+            met = rest[good].tolist()
+            found += [(int(node[x]), int(node[y])) for y in met]
+            rest, stack = rest[~good], stack + met
+    return found
+
+
+def _joined_cells(joined):
+    """joined(node, known, part, across, size, values) of each cell; rows (cell, node, known, part, across, size, value) in order of cells, of which the open one is held."""
+    def links(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        columns = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(1, 6)]
+        return joined(*columns, [v.as_py() for b in held for v in b.column(6)])
+
+    def sent(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            cells, found = batch.column(0).to_numpy(zero_copy_only=False), []
+            cuts = [0, *(1 + np.flatnonzero(cells[1:] != cells[:-1])).tolist(), len(cells)] if len(cells) else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and cells[i] != cell:
+                    found += links(held)
+                    held = []
+                cell = cells[i]
+                held.append(batch.slice(i, j - i))
+            if found:
+                yield sent(found)
+        if held:
+            yield sent(links(held))
+    return run
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, known: DataFrame, values, joined) -> DataFrame:
+    """Pairs (a, b) that `joined` finds inside each component of the given pairs, whose rows are brought together.
+
+    A component of more than HELD_MEMBERS numbers of 8 bytes is dealt into parts, and each two parts
+    meet in a cell of their own. nodes: node, size, weight (8 bytes each); known: node, known (the groups
+    so far); values(wanted): node and value of the wanted nodes.
+    """
+    clusters = written(components(pairs).join(nodes, "node"))
+    wanted = clusters.select("node")
+    own = written(values(F.broadcast(wanted) if wanted.count() <= SENT_NODES else wanted), texts=True)
+    large = clusters.groupBy(F.col("component").alias("c")).agg(F.sum("weight").alias("n")).where(F.col("n") > HELD_MEMBERS)
+    large = large.select("c", F.ceil(F.col("n") / HELD_MEMBERS).cast("int").alias("parts"))
+    placed = clusters.join(known, "node", "left").join(large, F.col("component") == F.col("c"), "left").select("node", "component", F.coalesce("known", "node").alias("known"), F.col("size").cast("long").alias("size"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
+    placed = written(placed.select("node", cell.alias("cell"), "known", "part", (F.col("part") != F.col("other")).alias("across"), "size"))
+    with small_batches(pairs.sparkSession):
+        few = placed.count() <= SENT_NODES
+        cells = own.join(F.broadcast(placed) if few else placed, "node").select("cell", "node", "known", "part", "across", "size", "value").repartition("cell").sortWithinPartitions("cell")
+        links = written(cells.mapInArrow(_joined_cells(joined), "a long, b long"))
+    dropped(clusters, own, placed)
+    return links
+
+
+def possible_within(pairs: DataFrame, nodes: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different groups that join the same texts as all those inside each component of the pairs that parities over as many places as large sets need leave possible; nodes: node, size, odd, wide."""
+    value = F.coalesce("wide", "odd")
+
+    def joined(*columns) -> list[tuple[int, int]]:
+        return joined_parities(*columns, least)
+
+    return _within(pairs, nodes.select("node", "size", (F.octet_length(value) / 8).alias("weight")), known, lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", value.alias("value")), joined)
+
+
+def linked_within(pairs: DataFrame, nodes: DataFrame, known: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) that join the same texts as all links inside each component of the pairs do: none is listed, each set goes to its component's task. nodes: node, size; texts: node, text."""
+    def joined(node, known, part, across, size, values) -> list[tuple[int, int]]:
+        return joined_sets(node, known, part, across, [np.frombuffer(v, np.uint64) for v in values], least)
+
+    return _within(pairs, nodes.select("node", "size", F.col("size").alias("weight")), known, lambda wanted: texts.join(wanted, "node", "left_semi").mapInArrow(_sets(words), "node long, value binary"), joined)
 
 
 def one_each(pairs: DataFrame) -> DataFrame:
@@ -298,9 +513,10 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
     Rows are linked if the Jaccard similarity of their texts' sets of shingles of `words` words is at
     least `likeness`: every such pair is in one component, and no other link is made. Equal sets are
     one node, so that a crowd of copies is one row of the search; those without words are alike.
-    Close SimHash fingerprints give the first links, one for each text; pairs of different groups
-    are looked for by those members of prefixes that others have too; and all links are verified, on
-    parities first and then on the sets.
+    Close SimHash fingerprints give the first links, one for each text, verified on parities first
+    and then on the sets. Pairs of different groups are possible by those members of prefixes that
+    others have too; they aren't listed: what they join is brought together, and its sets are compared
+    in one task, or, if they are too many, part by part.
     """
     if not 0 < likeness <= 1:
         raise ValueError("likeness must be above 0 and at most 1")
@@ -343,18 +559,19 @@ def similar_groups(docs: DataFrame, size: int = 3, radius: int = 6, likeness: fl
             dealt = dealt.repartition("cell").sortWithinPartitions("cell", "size", "turn").select("cell", "node", "known", "size", "place", "odd")
             return dealt.mapInArrow(_candidates(likeness, some_only), "a long, b long")
 
-    # a few partners of each text first, so that a crowd of near copies is one group before all pairs of groups are looked for
-    for turn in range(ROUNDS):
+    # where a shingle is too frequent for one task, a few partners of each text first, so that a crowd of near copies is one group, which _dealt can spread
+    for turn in range(ROUNDS if _any_hot(lists, counts) else 0):
         tried = written(one_each(candidates(known, True, turn)))
         released(spark)
         fresh = verified(tried)
         both = written(seeds.union(fresh))
         dropped(tried, fresh, seeds, known)
         seeds, known = both, written(components(both).select("node", F.col("component").alias("known")))
-    pairs = written(candidates(known, False, ROUNDS).distinct())
-    dropped(lists, known)
-    links = verified(pairs)
-    dropped(nodes)
+    pairs = written(candidates(known, False, ROUNDS))
+    dropped(lists)
+    some = possible_within(pairs, nodes, known, likeness)
+    links = linked_within(some, nodes, known, texts, words, likeness)
+    dropped(nodes, known, some)
     found = written(components(seeds.union(links)))
     named = firsts.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     groups = keys.join(named, "key").select("row", "component")

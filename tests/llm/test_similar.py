@@ -185,3 +185,73 @@ def test_components_of_few_and_of_many_links(spark, monkeypatch):
         assert {r.node: r.component for r in got} == want and len(got) == len(want) and len(asked) <= most
     monkeypatch.setattr(common, "FEW_LINKS", 9)
     assert common.components(edges.where("a = b")).collect() == []
+
+
+@pytest.mark.parametrize("n", [100, 600])
+def test_a_crowd_gives_fewer_rows_than_it_has_texts(n):
+    """Rows of one group's cells: not its pairs, which grow with the square of its size, but what joins the same texts."""
+    rng = np.random.default_rng(8)
+    crowd = np.unique(rng.integers(0, 2**63, 300, np.int64).view(np.uint64))
+    odd = [similar.parities(np.append(crowd[: 290 + i % 10], np.uint64(i))) for i in range(n)]
+    odd += [similar.parities(rng.integers(0, 2**63, 300, np.int64).view(np.uint64)) for _ in range(20)]  # alike to none
+    known = [i if i % 3 else 0 for i in range(n + 20)]
+    cells = [(cell, i, known[i], 300, place, odd[i]) for cell, place in ((5, 0), (9, 1)) for i in range(n + 20)]
+    names = ["cell", "node", "known", "size", "place", "odd"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells[at : at + 333], strict=True), kinds, strict=True)], names) for at in range(0, len(cells), 333)]
+    pairs = [tuple(p.values()) for b in similar._candidates(0.8)(iter(batches)) for p in b.to_pylist()]
+    assert len(pairs) == n - 1 and {x for p in pairs for x in p} == set(range(n))
+    first = [tuple(p.values()) for b in similar._candidates(0.8, True)(iter(batches)) for p in b.to_pylist()]
+    assert 0 < len(first) < n and len({b for _, b in first}) == len(first)
+
+
+@pytest.mark.parametrize("held", [900, 2_000_000])
+def test_links_of_a_component_in_one_cell_or_dealt(spark, monkeypatch, held):
+    monkeypatch.setattr(similar, "HELD_MEMBERS", held)
+    texts = crowd(4)[:120]
+    sets = [shingles(t) for t in texts]
+    n = len(texts)
+    known = {i: i - i % 2 for i in range(0, 20)}
+    nodes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "node long, size int")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 100)] + [(100, i) for i in range(101, n)], "a long, b long")
+    got = similar.linked_within(pairs, nodes, spark.createDataFrame(list(known.items()), "node long, known long"), spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8)
+    links = [tuple(r) for r in got.collect()]
+    alike = {(j, i) for i in range(n) for j in range(i) if (i < 100) == (j < 100) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert {(min(p), max(p)) for p in links} <= alike and (held == 900 or len(links) < n)
+
+    def named(pairs):
+        label = list(range(n))
+        for _ in range(n):
+            before = list(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    assert named([*links, *known.items()]) == named([*alike, *known.items()])
+    assert 10 < len(set(named([*links, *known.items()]))) < n
+
+
+def test_parities_of_a_component_join_what_they_leave_possible():
+    rng, seen = np.random.default_rng(9), 0
+    for _ in range(40):
+        n, bases = 20, [rng.integers(0, 2**63, k, np.int64).view(np.uint64) for k in (300, 520, 1000, 1100)]
+        sets = []
+        for _ in range(n):
+            base = bases[rng.integers(4)].copy()
+            gone = int(rng.integers(0, len(base) // 5))
+            sets.append(np.unique(np.append(base[gone:], rng.integers(0, 2**63, gone // 2, np.int64).view(np.uint64))))
+        odd, size = [similar.wide_parities(s) or similar.parities(s) for s in sets], np.array([len(s) for s in sets])
+        known, part = np.arange(n) - np.arange(n) % 3 % 2, rng.integers(0, 2, n)
+        possible = [(i, j) for i in range(n) for j in range(i) if known[i] != known[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and similar.parities_differ(odd[i], odd[j]) <= (size[i] + size[j]) / 9 + 1e-9]
+        seen += len(possible)
+        want = similar.stars(*np.array(possible).T)
+
+        def found(rows, across, n=n, known=known, part=part, size=size, odd=odd):
+            return similar.joined_parities(rows, known[rows], part[rows], np.full(len(rows), across), size[rows], [odd[i] for i in rows], 0.8)
+
+        whole = found(np.arange(n), False)
+        assert len(whole) < n and np.array_equal(similar.stars(*np.array(whole).T), want)
+        dealt = [p for i in (0, 1) for p in found(np.flatnonzero(part == i), False)] + found(np.arange(n), True)
+        assert np.array_equal(similar.stars(*np.array(dealt).T), want)
+    assert seen > 500
